@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 SEARCH_LIMIT = 20
@@ -59,15 +61,22 @@ def asset_context(assets: DataFrame, fields: DataFrame, owners: DataFrame) -> Da
     return described.join(columns, "urn", "left").join(people, "urn", "left")
 
 
-def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))
+def query_terms(text: str) -> list[str]:
+    """Distinct lower-case words of a query, in order."""
+    return list(dict.fromkeys(re.findall("[a-z0-9]+", text.lower())))
+
+
+def has_term(text: Column, term: str) -> Column:
+    """Whole-word match; the plain substring test spares most rows the pattern."""
+    return F.contains(text, F.lit(term)) & text.rlike(f"(^|[^a-z0-9]){term}($|[^a-z0-9])")
 
 
 def search(assets: DataFrame, text: str, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Assets by number of query terms found in name or description, best first."""
-    wanted = terms_of(F.lit(text))
-    found = terms_of(F.concat_ws(" ", "name", "description"))
-    score = F.size(F.filter(F.array_intersect(found, wanted), lambda t: t != ""))
+    body = F.lower(F.concat_ws(" ", "name", "description"))
+    score = F.lit(0)
+    for term in query_terms(text):
+        score = score + has_term(body, term).cast("int")
     return (
         assets.select("urn", "name", score.alias("score"))
         .filter(F.col("score") > 0)

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftlens.plans.revenue import Warehouse, lagged_median, usd_orders
+from driftlens.plans.revenue import Warehouse, lagged_median
 
 RESULT_COLUMNS = ["check", "param", "observed", "lower", "upper", "passed", "message"]
 
@@ -53,33 +53,56 @@ def _unknown(column: str, known: tuple[str, ...]) -> Column:
     return F.count_if(F.coalesce(~F.col(column).isin(*known), F.lit(True)))
 
 
-def order_checks(orders: DataFrame, params: CheckParams) -> DataFrame:
-    """Every predicate on staged orders in one pass, summed over the days."""
-    per_day = orders.groupBy("order_day").agg(
+def order_checks(orders: DataFrame, rates: DataFrame, params: CheckParams) -> DataFrame:
+    """Every predicate on staged orders, and both rate checks, in one pass.
+
+    Orders shrink to one row per day and currency before they meet the rates, so no
+    order row is joined or shuffled. Rates are reduced to one row per key as well: a
+    feed that repeats a key must not multiply the counts.
+    """
+    per_key = orders.groupBy("order_day", "currency").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("order_id").isNull()).alias("no_key"),
         F.count_if(F.col("amount").isNull()).alias("no_amount"),
         F.count_if(F.col("order_ts").isNull()).alias("no_ts"),
-        _unknown("currency", params.currencies).alias("bad_currency"),
         _unknown("payment_processor", params.processors).alias("bad_processor"),
         F.count_if(F.col("amount") <= 0).alias("nonpositive"),
+        F.min("amount").alias("lo"),
+        F.max("amount").alias("hi"),
+    )
+    per_rate = rates.groupBy(F.col("rate_day").alias("order_day"), "currency").agg(
+        F.count_if(F.col("usd_rate").isNull()).alias("gaps"),
+        F.min("usd_rate").alias("rate_lo"),
+        F.max("usd_rate").alias("rate_hi"),
+    )
+    unpriced = F.col("n") * F.coalesce("gaps", F.lit(1))
+    largest = F.greatest(
+        *[F.col(a) * F.col(r) for a in ("lo", "hi") for r in ("rate_lo", "rate_hi")]
+    )
+    known = F.coalesce(F.col("currency").isin(*params.currencies), F.lit(False))
+    sums = {
+        "key_unique": F.col("n"),
+        "key_not_null": F.col("no_key"),
+        "amount_not_null": F.col("no_amount"),
+        "timestamp_not_null": F.col("no_ts"),
+        "currency_known": F.when(known, 0).otherwise(F.col("n")),
+        "processor_known": F.col("bad_processor"),
+        "amount_positive": F.col("nonpositive"),
+        "row_conservation": F.col("n"),
+        "order_sum_matches": -F.col("n"),
+        "fx_coverage": unpriced,
+    }
+    totals = per_key.join(per_rate, ["order_day", "currency"], "left").agg(
+        F.count_distinct("order_day").alias("_days"),
+        F.max(largest).alias("_largest"),
+        *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()],
     )
     return signed_rows(
-        per_day.agg(
-            F.count("order_day").alias("days"),
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per_day.columns if c != "order_day"],
-        ),
+        totals,
         {
-            "key_unique": F.col("n"),
-            "key_not_null": F.col("no_key"),
-            "amount_not_null": F.col("no_amount"),
-            "timestamp_not_null": F.col("no_ts"),
-            "currency_known": F.col("bad_currency"),
-            "processor_known": F.col("bad_processor"),
-            "amount_positive": F.col("nonpositive"),
-            "row_conservation": F.col("n"),
-            "day_count_matches": -F.col("days"),
-            "order_sum_matches": -F.col("n"),
+            **{k: F.col(k) for k in sums},
+            "day_count_matches": -F.col("_days"),
+            "max_usd_sane": F.col("_largest"),
         },
     )
 
@@ -95,15 +118,8 @@ def raw_rows(raw: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
     return signed_rows(kept, {"row_conservation": -F.col("n")})
 
 
-def rate_checks(orders: DataFrame, rates: DataFrame) -> DataFrame:
-    """Largest order in base currency and orders without a rate, in one join."""
-    priced = usd_orders(orders.select("order_day", "currency", "amount"), rates, "left")
-    return signed_rows(
-        priced.agg(F.max("usd").alias("m"), F.count_if(F.col("usd_rate").isNull()).alias("gap")),
-        {"max_usd_sane": F.col("m"), "fx_coverage": F.col("gap")},
-    ).unionByName(
-        signed_rows(rates.agg(F.min("usd_rate").alias("m")), {"fx_positive": F.col("m")})
-    )
+def rate_check(rates: DataFrame) -> DataFrame:
+    return signed_rows(rates.agg(F.min("usd_rate").alias("m")), {"fx_positive": F.col("m")})
 
 
 def mart_totals(daily: DataFrame) -> DataFrame:
@@ -235,10 +251,10 @@ def day_results(cases: DataFrame) -> DataFrame:
 def run_checks(wh: Warehouse, baseline: DataFrame, params: CheckParams) -> DataFrame:
     """All cases: check, param, observed, lower, upper, passed, message."""
     parts = [
-        order_checks(wh.stg_orders, params),
+        order_checks(wh.stg_orders, wh.stg_fx_rates, params),
         distinct_keys(wh.stg_orders),
         raw_rows(wh.raw_orders, wh.excluded),
-        rate_checks(wh.stg_orders, wh.stg_fx_rates),
+        rate_check(wh.stg_fx_rates),
         mart_totals(wh.fct_revenue),
         kpi_checks(wh.exec_revenue_metric, wh.fct_revenue),
         history_check(wh.fct_revenue, baseline, params),

@@ -43,13 +43,15 @@ def roots_of(spark: SparkSession, edges: DataFrame, *urns) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(u).cast(kind) for u in urns])).alias("urn"))
 
 
-def one_hop(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
-    """Direct neighbours (root, urn) of a frontier (root, urn)."""
+def _neighbours(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
     near, far = _ends(direction)
     pairs = edges.select(F.col(near).alias("urn"), F.col(far).alias("_far"))
-    return pairs.join(frontier.select("root", "urn"), "urn").select(
-        "root", F.col("_far").alias("urn")
-    ).distinct()
+    return pairs.join(frontier.select("root", "urn"), "urn").select("root", F.col("_far").alias("urn"))
+
+
+def one_hop(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
+    """Distinct direct neighbours (root, urn) of a frontier (root, urn)."""
+    return _neighbours(edges, frontier, direction).distinct()
 
 
 def reach(
@@ -69,12 +71,12 @@ def reach(
     schema = None
     while rows and (max_hops is None or hop < max_hops):
         hop += 1
-        step = one_hop(edges, _sized(frontier, rows), direction)
-        if layers:
-            visited = spark.read.schema(schema).parquet(*layers)
-            step = step.join(visited.select("root", "urn"), ["root", "urn"], "left_anti")
-        layer = step.withColumn("hop", F.lit(hop))
+        layer = _neighbours(edges, _sized(frontier, rows), direction).withColumn("hop", F.lit(hop))
         schema = layer.schema
+        if layers:
+            layer = layer.unionByName(spark.read.schema(schema).parquet(*layers))
+        # One shuffle both removes duplicates and drops what an earlier hop had reached.
+        layer = layer.groupBy("root", "urn").agg(F.min("hop").alias("hop")).filter(F.col("hop") == hop)
         path = f"{base}/hop-{hop}"
         frontier, stats = _store(layer, path)
         rows = stats["rows"]

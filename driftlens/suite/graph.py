@@ -50,10 +50,15 @@ column_lineage AS (
 
 
 def edges(spark, sf) -> DataFrame:
-    keys = fx.table(spark, sf, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").alias("target"))
-    halves = keys.select(F.expr("target div 2").alias("source"), "target")
-    thirds = keys.select(F.expr("target div 3").alias("source"), "target")
-    return halves.unionByName(thirds).distinct()
+    """The edge table of the catalog."""
+
+    def derive() -> DataFrame:
+        keys = fx.table(spark, sf, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").alias("target"))
+        halves = keys.select(F.expr("target div 2").alias("source"), "target")
+        thirds = keys.select(F.expr("target div 3").alias("source"), "target")
+        return halves.unionByName(thirds).distinct()
+
+    return fx.stored(spark, sf, "lineage-edges", derive)
 
 
 def edges_with_maps(spark, sf) -> DataFrame:

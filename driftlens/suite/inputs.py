@@ -7,11 +7,12 @@ Two order fixtures: ``incident`` (90 days, one provider may report minor units)
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftlens.functions.numeric import round_to
-from driftlens.operators.repairs import scale_cohort, shift_units
+from driftlens.operators.repairs import scale_cohort, shift_units, truncate_feed
 from driftlens.session import scratch_dir
 
 ANCHOR = dt.date(2026, 8, 9)
@@ -32,17 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_FEEDS: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def _stored_feed(name: str, sf_dir: str, feed: DataFrame) -> DataFrame:
-    """The derived feed stands in for a source table: written once per application."""
-    spark = feed.sparkSession
+def stored(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that stands in for a source table: written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _FEEDS:
-        _FEEDS[key] = scratch_dir(spark, f"feed-{name}")
-        feed.write.parquet(_FEEDS[key])
-    return spark.read.schema(feed.schema).parquet(_FEEDS[key])
+    if key not in _STORED:
+        path = scratch_dir(spark, name)
+        derive().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 def _fx_rate() -> Column:
@@ -86,15 +87,18 @@ def cohort_repair() -> Column:
 
 def incident_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates for every order day up to the day the feed went stale."""
-    days = incident_orders(spark, sf_dir, "healthy").select(
-        F.col("order_ts").cast("date").alias("rate_day")
-    ).distinct()
-    feed = (
-        days.filter(F.col("rate_day") <= F.lit(FEED_LAST_DAY))
-        .withColumn("currency", F.explode(F.array(*[F.lit(c) for c in FX_BASE])))
-        .withColumn("usd_rate", _fx_rate() + F.datediff("rate_day", F.lit(FIRST_DAY)) * FX_DRIFT)
-    )
-    return _stored_feed("incident", sf_dir, feed)
+
+    def derive() -> DataFrame:
+        days = incident_orders(spark, sf_dir, "healthy").select(
+            F.col("order_ts").cast("date").alias("rate_day")
+        ).distinct()
+        return (
+            truncate_feed(days, F.lit(FEED_LAST_DAY))
+            .withColumn("currency", F.explode(F.array(*[F.lit(c) for c in FX_BASE])))
+            .withColumn("usd_rate", _fx_rate() + F.datediff("rate_day", F.lit(FIRST_DAY)) * FX_DRIFT)
+        )
+
+    return stored(spark, sf_dir, "incident-feed", derive)
 
 
 def natural_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,14 +116,19 @@ def natural_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def natural_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed with gaps: no rates on days 5, 10, 15, … of a month."""
-    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("rate_day")).distinct()
-    feed = (
-        days.filter(F.dayofmonth("rate_day") % 5 != 0)
-        .withColumn("currency", F.explode(F.array(*[F.lit(c) for c in FX_BASE])))
-        .withColumn("usd_rate", _fx_rate() + F.dayofyear("rate_day") * FX_DRIFT)
-    )
-    return _stored_feed("natural", sf_dir, feed)
+    """A feed with gaps: no rates on weekends."""
+
+    def derive() -> DataFrame:
+        days = table(spark, sf_dir, "orders").select(
+            F.col("o_orderdate").cast("date").alias("rate_day")
+        ).distinct()
+        return (
+            days.filter(~F.dayofweek("rate_day").isin(1, 7))
+            .withColumn("currency", F.explode(F.array(*[F.lit(c) for c in FX_BASE])))
+            .withColumn("usd_rate", _fx_rate() + F.dayofyear("rate_day") * FX_DRIFT)
+        )
+
+    return stored(spark, sf_dir, "natural-feed", derive)
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:

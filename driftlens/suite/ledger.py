@@ -240,12 +240,13 @@ def node_status(spark, sf):
     "E6_confirm_on_asset",
     sql(LEDGER, f"""SELECT hypothesis_id, case when hit then 'confirmed' else status end AS status,
         {rnd('case when hit then greatest(confidence, 0.95) else confidence end', 4)} AS confidence
-        FROM (SELECT *, target_urn = 'click' AND incident_id % 2 = 0 AND status <> 'eliminated' AS hit FROM current_hyp)"""),
+        FROM (SELECT *, target_urn = 'click' AND status <> 'eliminated' AND incident_id IN
+          (SELECT user_id FROM events GROUP BY 1 HAVING max(value) > 220) AS hit FROM current_hyp)"""),
 )
 def confirm_on_asset(spark, sf):
     now = E.current_hypotheses(hypotheses(spark, sf), judged(spark, sf))
-    accepted = claims(spark, sf).select(
-        "incident_id", F.lit("click").alias("asset_urn"), (F.col("incident_id") % 2 == 0).alias("accepted")
+    accepted = fx.table(spark, sf, "events").groupBy(F.col("user_id").alias("incident_id")).agg(
+        F.lit("click").alias("asset_urn"), (F.max("value") > 220).alias("accepted")
     )
     return E.confirm_on_asset(now, accepted).select(
         "hypothesis_id", "status", N.round_to(F.col("confidence"), 4).alias("confidence")
@@ -360,23 +361,24 @@ def terminal_class(spark, sf):
 def causes(spark, sf) -> DataFrame:
     return fx.table(spark, sf, "events").groupBy(F.col("user_id").alias("incident_id")).agg(
         F.lit("click").alias("asset_urn"), F.max("ts").alias("ts"),
-        F.max_by("props", F.struct("ts", "event_id")).alias("summary"),
+        F.max_by("props", F.struct("ts", "event_id")).alias("summary"), F.max("value").alias("largest"),
     )
 
 
 @query(
     "E9_incident_records",
-    sql(_NODES + """, causes AS (SELECT user_id AS incident_id, arg_max(props, (ts, event_id)) AS summary FROM events GROUP BY 1),
+    sql(_NODES + """, causes AS (SELECT user_id AS incident_id, arg_max(props, (ts, event_id)) AS summary,
+          max(value) > 220 AS repaired FROM events GROUP BY 1),
         raised AS (SELECT DISTINCT incident_id, urn FROM (SELECT incident_id, 'click' AS urn FROM causes
           UNION ALL SELECT incident_id, urn FROM nodes WHERE status IN ('affected', 'root_cause')))""",
-        """SELECT r.incident_id, r.urn, case when r.incident_id % 3 = 0 then 'RESOLVED' else 'ACTIVE' end AS state,
-           case when r.incident_id % 3 = 0 then 'FIXED' else 'INVESTIGATION' end AS phase, c.summary AS title
+        """SELECT r.incident_id, r.urn, case when c.repaired then 'RESOLVED' else 'ACTIVE' end AS state,
+           case when c.repaired then 'FIXED' else 'INVESTIGATION' end AS phase, c.summary AS title
            FROM raised r JOIN causes c ON r.incident_id = c.incident_id"""),
 )
 def incident_records(spark, sf):
     cause = causes(spark, sf)
     raised = I.raised_records(cause, incident_nodes(spark, sf))
-    repaired = cause.filter(F.col("incident_id") % 3 == 0).select(
+    repaired = cause.filter(F.col("largest") > 220).select(
         "incident_id", (F.col("ts") + F.expr("interval 1 day")).alias("ts")
     )
     latest = I.upsert_latest(raised, I.resolved_records(raised, repaired), ["incident_id", "urn"], "ts")

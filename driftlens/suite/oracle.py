@@ -31,7 +31,7 @@ def orders_ctes(fixture: str, p: str = "") -> str:
   SELECT DISTINCT cast(o_orderdate AS date) AS rate_day FROM orders),
 {p}feed AS (
   SELECT rate_day, currency, {_RATE} + dayofyear(rate_day) * {fx.FX_DRIFT}::double AS usd_rate
-  FROM (SELECT rate_day, {_CODES} AS currency FROM {p}feed_days WHERE day(rate_day) % 5 <> 0))"""
+  FROM (SELECT rate_day, {_CODES} AS currency FROM {p}feed_days WHERE dayofweek(rate_day) NOT IN (0, 6)))"""
     amount = rnd("o_totalprice / 4000", 2)
     if fixture == "incident":
         amount = f"case when o_orderkey % 90 <= 2 then round({amount} * 100) else {amount} end"

@@ -136,22 +136,17 @@ _register_suites()
 
 
 # One query per check, each planning only what that check needs.
+_ORDERS = lambda wh, base: C.order_checks(wh.stg_orders, wh.stg_fx_rates, PARAMS)
+_MART = lambda wh, base: C.mart_totals(wh.fct_revenue).unionByName(_ORDERS(wh, base))
+_KPI = lambda wh, base: C.kpi_checks(wh.exec_revenue_metric, wh.fct_revenue)
 _PARTS = {
-    "Q1": lambda wh, base: C.distinct_keys(wh.stg_orders).unionByName(
-        C.order_checks(wh.stg_orders, PARAMS).filter("check = 'key_unique'")),
-    **{
-        q: (lambda wh, base: C.order_checks(wh.stg_orders, PARAMS))
-        for q in ("Q2", "Q3", "Q4", "Q5", "Q6", "Q10")
-    },
-    "Q7": lambda wh, base: C.mart_totals(wh.fct_revenue).unionByName(C.order_checks(wh.stg_orders, PARAMS)),
-    "Q8": lambda wh, base: C.raw_rows(wh.raw_orders, wh.excluded).unionByName(C.order_checks(wh.stg_orders, PARAMS)),
-    "Q9": lambda wh, base: C.mart_totals(wh.fct_revenue).unionByName(C.order_checks(wh.stg_orders, PARAMS)),
-    "Q11": lambda wh, base: C.rate_checks(wh.stg_orders, wh.stg_fx_rates),
+    "Q1": lambda wh, base: C.distinct_keys(wh.stg_orders).unionByName(_ORDERS(wh, base)),
+    **dict.fromkeys(("Q2", "Q3", "Q4", "Q5", "Q6", "Q10", "Q11", "Q16"), _ORDERS),
+    **dict.fromkeys(("Q7", "Q9"), _MART),
+    "Q8": lambda wh, base: C.raw_rows(wh.raw_orders, wh.excluded).unionByName(_ORDERS(wh, base)),
     "Q14": lambda wh, base: C.history_check(wh.fct_revenue, base, PARAMS),
-    "Q16": lambda wh, base: C.rate_checks(wh.stg_orders, wh.stg_fx_rates),
-    "Q17": lambda wh, base: C.rate_checks(wh.stg_orders, wh.stg_fx_rates),
-    "Q18": lambda wh, base: C.kpi_checks(wh.exec_revenue_metric, wh.fct_revenue),
-    "Q19": lambda wh, base: C.kpi_checks(wh.exec_revenue_metric, wh.fct_revenue),
+    "Q17": lambda wh, base: C.rate_check(wh.stg_fx_rates),
+    **dict.fromkeys(("Q18", "Q19"), _KPI),
 }
 _BY_DAY = {"Q12", "Q13", "Q15"}
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftlens.functions import numeric as N
 from driftlens.operators import baseline as B, checks as C, joins, profile as P, repairs
 from driftlens.plans import guarded, revenue as R
-from driftlens.session import materialize, scratch_dir
+from driftlens.session import materialize
 from driftlens.suite import inputs as fx
 from driftlens.suite.oracle import mart_ctes, orders_ctes, rnd, sql, stage_ctes
 from driftlens.suite.registry import query
@@ -27,17 +27,9 @@ def incident_build(spark: SparkSession, sf: str, mode: str = "incident", amount=
     )
 
 
-_BASELINES: dict[tuple[str, str], str] = {}
-
-
 def healthy_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """Daily rows of a healthy build, recorded once per application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BASELINES:
-        path = scratch_dir(spark, "baseline")
-        incident_build(spark, sf, "healthy").fct_revenue.write.parquet(path)
-        _BASELINES[key] = path
-    return spark.read.parquet(_BASELINES[key])
+    return fx.stored(spark, sf, "healthy-baseline", lambda: incident_build(spark, sf, "healthy").fct_revenue)
 
 
 def natural_staged(spark: SparkSession, sf: str) -> DataFrame:
