@@ -11,7 +11,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftlens.plans.revenue import Warehouse, lagged_median
 
@@ -43,14 +43,19 @@ class CheckParams:
     )
 
 
-def signed_rows(one_row: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Turn a one-row aggregate into (check, observed) rows."""
-    parts = [F.struct(F.lit(k).alias("check"), v.cast("double").alias("observed")) for k, v in values.items()]
-    return one_row.select(F.inline(F.array(*parts)))
+def sql_list(values: tuple[str, ...]) -> str:
+    quoted = [v.replace("\\", "\\\\").replace("'", "\\'") for v in values]
+    return ", ".join(f"'{v}'" for v in quoted)
 
 
-def _unknown(column: str, known: tuple[str, ...]) -> Column:
-    return F.count_if(F.coalesce(~F.col(column).isin(*known), F.lit(True)))
+def signed_rows(one_row: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Turn a one-row aggregate into (check, observed) rows; values are SQL expressions."""
+    parts = [f"struct('{k}' AS check, cast({v} AS double) AS observed)" for k, v in values.items()]
+    return one_row.selectExpr(f"inline(array({', '.join(parts)}))")
+
+
+def agg_sql(df: DataFrame, *expressions: str) -> DataFrame:
+    return df.agg(*[F.expr(e) for e in expressions])
 
 
 def order_checks(orders: DataFrame, rates: DataFrame, params: CheckParams) -> DataFrame:
@@ -60,109 +65,95 @@ def order_checks(orders: DataFrame, rates: DataFrame, params: CheckParams) -> Da
     order row is joined or shuffled. Rates are reduced to one row per key as well: a
     feed that repeats a key must not multiply the counts.
     """
-    per_key = orders.groupBy("order_day", "currency").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("order_id").isNull()).alias("no_key"),
-        F.count_if(F.col("amount").isNull()).alias("no_amount"),
-        F.count_if(F.col("order_ts").isNull()).alias("no_ts"),
-        _unknown("payment_processor", params.processors).alias("bad_processor"),
-        F.count_if(F.col("amount") <= 0).alias("nonpositive"),
-        F.min("amount").alias("lo"),
-        F.max("amount").alias("hi"),
+    per_key = agg_sql(
+        orders.groupBy("order_day", "currency"),
+        "count(*) AS n",
+        "count_if(order_id IS NULL) AS no_key",
+        "count_if(amount IS NULL) AS no_amount",
+        "count_if(order_ts IS NULL) AS no_ts",
+        f"count_if(coalesce(payment_processor NOT IN ({sql_list(params.processors)}), true)) AS bad_processor",
+        "count_if(amount <= 0) AS nonpositive",
+        "min(amount) AS lo",
+        "max(amount) AS hi",
     )
-    per_rate = rates.groupBy(F.col("rate_day").alias("order_day"), "currency").agg(
-        F.count_if(F.col("usd_rate").isNull()).alias("gaps"),
-        F.min("usd_rate").alias("rate_lo"),
-        F.max("usd_rate").alias("rate_hi"),
+    per_rate = agg_sql(
+        rates.withColumnRenamed("rate_day", "order_day").groupBy("order_day", "currency"),
+        "count_if(usd_rate IS NULL) AS gaps",
+        "min(usd_rate) AS rate_lo",
+        "max(usd_rate) AS rate_hi",
     )
-    unpriced = F.col("n") * F.coalesce("gaps", F.lit(1))
-    largest = F.greatest(
-        *[F.col(a) * F.col(r) for a in ("lo", "hi") for r in ("rate_lo", "rate_hi")]
-    )
-    known = F.coalesce(F.col("currency").isin(*params.currencies), F.lit(False))
     sums = {
-        "key_unique": F.col("n"),
-        "key_not_null": F.col("no_key"),
-        "amount_not_null": F.col("no_amount"),
-        "timestamp_not_null": F.col("no_ts"),
-        "currency_known": F.when(known, 0).otherwise(F.col("n")),
-        "processor_known": F.col("bad_processor"),
-        "amount_positive": F.col("nonpositive"),
-        "row_conservation": F.col("n"),
-        "order_sum_matches": -F.col("n"),
-        "fx_coverage": unpriced,
+        "key_unique": "n",
+        "key_not_null": "no_key",
+        "amount_not_null": "no_amount",
+        "timestamp_not_null": "no_ts",
+        "currency_known": f"if(coalesce(currency IN ({sql_list(params.currencies)}), false), 0, n)",
+        "processor_known": "bad_processor",
+        "amount_positive": "nonpositive",
+        "row_conservation": "n",
+        "order_sum_matches": "-n",
+        "fx_coverage": "n * coalesce(gaps, 1)",
     }
-    totals = per_key.join(per_rate, ["order_day", "currency"], "left").agg(
-        F.count_distinct("order_day").alias("_days"),
-        F.max(largest).alias("_largest"),
-        *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()],
+    totals = agg_sql(
+        per_key.join(per_rate, ["order_day", "currency"], "left"),
+        "count(DISTINCT order_day) AS _days",
+        "max(greatest(lo * rate_lo, lo * rate_hi, hi * rate_lo, hi * rate_hi)) AS _largest",
+        *[f"coalesce(sum({v}), 0) AS {k}" for k, v in sums.items()],
     )
     return signed_rows(
-        totals,
-        {
-            **{k: F.col(k) for k in sums},
-            "day_count_matches": -F.col("_days"),
-            "max_usd_sane": F.col("_largest"),
-        },
+        totals, {**{k: k for k in sums}, "day_count_matches": "-_days", "max_usd_sane": "_largest"}
     )
 
 
 def distinct_keys(orders: DataFrame) -> DataFrame:
-    return signed_rows(
-        orders.agg(F.count_distinct("order_id").alias("k")), {"key_unique": -F.col("k")}
-    )
+    return signed_rows(agg_sql(orders, "count(DISTINCT order_id) AS k"), {"key_unique": "-k"})
 
 
 def raw_rows(raw: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
-    kept = raw.filter(~F.col("status").isin(*excluded)).agg(F.count(F.lit(1)).alias("n"))
-    return signed_rows(kept, {"row_conservation": -F.col("n")})
+    kept = raw.filter(f"status NOT IN ({sql_list(excluded)})") if excluded else raw
+    return signed_rows(agg_sql(kept, "count(*) AS n"), {"row_conservation": "-n"})
 
 
 def rate_check(rates: DataFrame) -> DataFrame:
-    return signed_rows(rates.agg(F.min("usd_rate").alias("m")), {"fx_positive": F.col("m")})
+    return signed_rows(agg_sql(rates, "min(usd_rate) AS m"), {"fx_positive": "m"})
 
 
 def mart_totals(daily: DataFrame) -> DataFrame:
     return signed_rows(
-        daily.agg(F.count(F.lit(1)).alias("days"), F.sum("order_count").alias("orders")),
-        {"day_count_matches": F.col("days"), "order_sum_matches": F.col("orders")},
+        agg_sql(daily, "count(*) AS days", "sum(order_count) AS orders"),
+        {"day_count_matches": "days", "order_sum_matches": "orders"},
     )
 
 
 def kpi_checks(kpi: DataFrame, daily: DataFrame) -> DataFrame:
     """KPI row minus latest daily row, for the day and for the revenue."""
-    latest = daily.agg(F.max_by(F.struct("day", "revenue_usd"), "day").alias("d"))
+    latest = agg_sql(daily, "max_by(struct(day, revenue_usd), day) AS d")
     return signed_rows(
-        kpi, {"kpi_day_latest": F.unix_date("kpi_day"), "kpi_revenue_latest": F.col("revenue")}
+        kpi, {"kpi_day_latest": "unix_date(kpi_day)", "kpi_revenue_latest": "revenue"}
     ).unionByName(
         signed_rows(
-            latest,
-            {"kpi_day_latest": -F.unix_date("d.day"), "kpi_revenue_latest": -F.col("d.revenue_usd")},
+            latest, {"kpi_day_latest": "-unix_date(d.day)", "kpi_revenue_latest": "-d.revenue_usd"}
         )
     )
 
 
-def deviates(actual: Column, expected: Column, tolerance: float) -> Column:
+def deviates(tolerance: float) -> str:
     """Outside the tolerance of the baseline; a day without a baseline deviates too."""
-    return ~F.coalesce(F.abs(actual - expected) <= F.lit(tolerance) * expected, F.lit(False))
+    return f"NOT coalesce(abs(revenue_usd - base) <= {tolerance!r}D * base, false)"
 
 
 def history_check(daily: DataFrame, baseline: DataFrame, params: CheckParams) -> DataFrame:
     """Number of deviating days up to the cutoff; NULL (a failure) without any day."""
-    past = daily.filter(F.col("day") <= F.lit(params.immutable_through)).select("day", "revenue_usd")
-    joined = past.join(baseline.select("day", F.col("revenue_usd").alias("base")), "day", "left")
-    bad = F.count_if(deviates(F.col("revenue_usd"), F.col("base"), params.tolerance))
-    return signed_rows(
-        joined.agg(F.when(F.count(F.lit(1)) > 0, bad).alias("bad")), {"history_immutable": F.col("bad")}
-    )
+    past = daily.filter(f"day <= date'{params.immutable_through}'").select("day", "revenue_usd")
+    joined = past.join(baseline.selectExpr("day", "revenue_usd AS base"), "day", "left")
+    bad = f"if(count(*) > 0, count_if({deviates(params.tolerance)}), null) AS bad"
+    return signed_rows(agg_sql(joined, bad), {"history_immutable": "bad"})
 
 
 def _days(daily: DataFrame, days: list[dt.date]) -> DataFrame:
     """The listed days, each with its daily row or NULLs."""
-    wanted = daily.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(d) for d in days])).alias("day")
-    )
-    return wanted.join(daily, "day", "left")
+    listed = ", ".join(f"date'{d}'" for d in days)
+    return daily.sparkSession.range(1).selectExpr(f"explode(array({listed})) AS day").join(daily, "day", "left")
 
 
 def day_checks(daily: DataFrame, baseline: DataFrame, params: CheckParams) -> DataFrame:
@@ -172,45 +163,32 @@ def day_checks(daily: DataFrame, baseline: DataFrame, params: CheckParams) -> Da
         "day", "revenue_usd", "aov_median_usd",
         lagged_median(daily, params.trailing_days, 1).alias("trailing"),
     )
-    lo, hi = params.median_band
-    clo, chi = params.continuity_band
-    bands = _days(series, recent).select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("median_in_band").alias("check"), F.col("day"),
-                    F.col("aov_median_usd").alias("observed"),
-                    F.lit(lo).alias("lower"), F.lit(hi).alias("upper"),
-                ),
-                F.struct(
-                    F.lit("revenue_continuity").alias("check"), F.col("day"),
-                    F.try_divide("revenue_usd", "trailing").alias("observed"),
-                    F.lit(clo).alias("lower"), F.lit(chi).alias("upper"),
-                ),
-            )
+
+    def band(name: str, observed: str, low: float, high: float) -> str:
+        return (
+            f"struct('{name}' AS check, day, {observed} AS observed, {low!r}D AS lower, {high!r}D AS upper,"
+            f" coalesce({observed} BETWEEN {low!r}D AND {high!r}D, false) AS inside)"
         )
+
+    medians = band("median_in_band", "aov_median_usd", *params.median_band)
+    continuity = band("revenue_continuity", "try_divide(revenue_usd, trailing)", *params.continuity_band)
+    bands = _days(series, recent).selectExpr(f"inline(array({medians}, {continuity}))")
+    base = baseline.selectExpr("day", "revenue_usd AS base")
+    margin = f"{params.tolerance!r}D * base"
+    spots = _days(daily.select("day", "revenue_usd"), list(params.spot_days)).join(base, "day", "left").selectExpr(
+        "'spot_day' AS check", "day", "revenue_usd AS observed", f"base - {margin} AS lower",
+        f"base + {margin} AS upper", f"NOT ({deviates(params.tolerance)}) AS inside",
     )
-    base = baseline.select("day", F.col("revenue_usd").alias("base"))
-    spots = _days(daily.select("day", "revenue_usd"), list(params.spot_days)).join(base, "day", "left").select(
-        F.lit("spot_day").alias("check"), "day",
-        F.col("revenue_usd").alias("observed"),
-        (F.col("base") - F.lit(params.tolerance) * F.col("base")).alias("lower"),
-        (F.col("base") + F.lit(params.tolerance) * F.col("base")).alias("upper"),
-        (~deviates(F.col("revenue_usd"), F.col("base"), params.tolerance)).alias("inside"),
-    )
-    inside = F.col("observed").between(F.col("lower"), F.col("upper"))
-    return bands.withColumn("inside", F.coalesce(inside, F.lit(False))).unionByName(spots)
+    return bands.unionByName(spots)
+
+
+_MESSAGE = """if(passed, null, concat_ws(' ', check, if(param <> '', concat('on ', param), null),
+    concat('observed ', coalesce(cast(observed AS string), 'nothing')),
+    concat('expected from ', lower), concat('up to ', upper))) AS message"""
 
 
 def _report(rows: DataFrame) -> DataFrame:
-    text = F.concat_ws(
-        " ", "check",
-        F.when(F.col("param") != "", F.concat(F.lit("on "), F.col("param"))),
-        F.concat(F.lit("observed "), F.coalesce(F.col("observed").cast("string"), F.lit("nothing"))),
-        F.concat(F.lit("expected from "), F.col("lower").cast("string")),
-        F.concat(F.lit("up to "), F.col("upper").cast("string")),
-    )
-    return rows.withColumn("message", F.when(~F.col("passed"), text)).select(*RESULT_COLUMNS)
+    return rows.selectExpr(*RESULT_COLUMNS[:-1], _MESSAGE)
 
 
 def judge(rows: DataFrame, params: CheckParams) -> DataFrame:
@@ -218,32 +196,27 @@ def judge(rows: DataFrame, params: CheckParams) -> DataFrame:
 
     A side without a value (an empty mart) must fail, so NULLs may not be skipped.
     """
-    totals = rows.groupBy("check").agg(
-        F.sum("observed").alias("_sum"), F.count_if(F.col("observed").isNull()).alias("_gaps")
-    ).withColumn("observed", F.when(F.col("_gaps") == 0, F.col("_sum")))
-    zero = F.col("check").isin(*params.zero_checks)
-    verdict = (
-        F.when(zero, F.col("observed") == 0)
-        .when(F.col("check") == "max_usd_sane", F.col("observed") < params.max_usd)
-        .when(F.col("check") == "fx_positive", F.col("observed") > 0)
+    totals = agg_sql(
+        rows.groupBy("check"), "if(count_if(observed IS NULL) = 0, sum(observed), null) AS observed"
     )
+    zero = f"check IN ({sql_list(params.zero_checks)})"
     return _report(
-        totals.select(
+        totals.selectExpr(
             "check",
-            F.lit("").alias("param"),
+            "'' AS param",
             "observed",
-            F.when(zero | (F.col("check") == "fx_positive"), 0.0).alias("lower"),
-            F.when(zero, 0.0).when(F.col("check") == "max_usd_sane", params.max_usd).alias("upper"),
-            F.coalesce(verdict, F.lit(False)).alias("passed"),
+            f"if({zero} OR check = 'fx_positive', 0D, null) AS lower",
+            f"CASE WHEN {zero} THEN 0D WHEN check = 'max_usd_sane' THEN {params.max_usd!r}D END AS upper",
+            f"""coalesce(CASE WHEN {zero} THEN observed = 0 WHEN check = 'fx_positive' THEN observed > 0
+                ELSE observed < {params.max_usd!r}D END, false) AS passed""",
         )
     )
 
 
 def day_results(cases: DataFrame) -> DataFrame:
     return _report(
-        cases.select(
-            "check", F.col("day").cast("string").alias("param"), "observed", "lower", "upper",
-            F.col("inside").alias("passed"),
+        cases.selectExpr(
+            "check", "cast(day AS string) AS param", "observed", "lower", "upper", "inside AS passed"
         )
     )
 
@@ -265,25 +238,22 @@ def run_checks(wh: Warehouse, baseline: DataFrame, params: CheckParams) -> DataF
 
 # The KPI's day and revenue are two checks but one case of the suite.
 KPI_CASE = "kpi_matches_latest"
-
-
-def case_name() -> Column:
-    kpi = F.col("check").isin("kpi_day_latest", "kpi_revenue_latest")
-    named = F.concat_ws(":", "check", F.when(F.col("param") != "", F.col("param")))
-    return F.when(kpi, KPI_CASE).otherwise(named)
+_CASE = f"""if(check IN ('kpi_day_latest', 'kpi_revenue_latest'), '{KPI_CASE}',
+    concat_ws(':', check, if(param <> '', param, null))) AS name"""
 
 
 def tally(results: DataFrame, message_chars: int = 400) -> DataFrame:
     """Total, passed, failed and the failing cases with shortened messages."""
-    cases = results.groupBy(case_name().alias("name")).agg(
-        F.every("passed").alias("passed"), F.min("message").alias("message")
+    cases = agg_sql(
+        results.groupBy(F.expr(_CASE)), "every(passed) AS passed", "min(message) AS message"
     )
-    failure = F.struct("name", F.substring("message", 1, message_chars).alias("message"))
-    return cases.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("passed")).alias("passed"),
-        F.count_if(~F.col("passed")).alias("failed"),
-        F.array_sort(F.collect_list(F.when(~F.col("passed"), failure))).alias("failures"),
+    failure = f"named_struct('name', name, 'message', substring(message, 1, {message_chars}))"
+    return agg_sql(
+        cases,
+        "count(*) AS total",
+        "count_if(passed) AS passed",
+        "count_if(NOT passed) AS failed",
+        f"array_sort(collect_list(if(passed, null, {failure}))) AS failures",
     )
 
 

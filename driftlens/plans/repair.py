@@ -25,15 +25,14 @@ def report(
     wh = build(raw_orders, raw_fx_rates, excluded, amount, store_daily=True)
     counts = tally(run_checks(wh, baseline, params))
     # Both sides are one row by construction; without a KPI row the verdict is false.
-    verdict = (
-        (F.col("failed") == 0)
-        & (F.col("total") > 0)
-        & F.coalesce(F.col("anomaly_ratio").between(*KPI_BAND), F.lit(False))
-    )
-    return (
-        counts.join(F.broadcast(wh.exec_revenue_metric), how="left", on=F.lit(True))
-        .withColumn("status", health_status(F.col("anomaly_ratio")))
-        .withColumn("accepted", verdict)
+    both = counts.join(F.broadcast(wh.exec_revenue_metric), how="left", on=F.lit(True))
+    low, high = KPI_BAND
+    return both.withColumn("status", health_status(F.col("anomaly_ratio"))).withColumn(
+        "accepted",
+        F.expr(
+            "failed = 0 AND total > 0 AND "
+            f"coalesce(anomaly_ratio BETWEEN {low!r}D AND {high!r}D, false)"
+        ),
     )
 
 

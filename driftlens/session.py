@@ -18,6 +18,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "dr
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Call-site capture for every column costs more than planning small queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
