@@ -20,7 +20,7 @@ HEADLINES = [
     "F1_integer_share", "F3_cohort_share", "F4_counterfactual", "F6_foreign_share", "F10_contract_conformity",
     "L2_upstream", "L4_edge_columns", "L6_blast_radius", "L8_catalog_search", "L9_asset_context", "L11_estate_health",
     "E2_root_cause_gate", "E4_current_hypotheses", "E7_stage_fold", "G1_positive_grade", "A16_outcome_rollup",
-    "S1_csv_pipeline", "R1_live_incident_state",
+    "S1_csv_build", "R1_live_incident_state",
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,17 +10,29 @@ from driftlens.functions.numeric import round_to, safe_ratio
 from driftlens.operators.baseline import KPI_BAND
 from driftlens.operators.evidence import METADATA_SOURCES, QUANTITATIVE
 
-# The answer key of the unit-shift scenario.
+# Wording that shows the unit defect was understood, the least number of
+# checks a verified repair has to pass, and the stages a repaired incident ends in.
 SEMANTIC_PATTERN = r"(?i)(cent|minor.?unit|100(x|×)|scal(e|ing)|unit)"
-ORIGIN_SUFFIX = "raw.raw_orders,PROD)"
-ACCEPTED_SUFFIXES = (ORIGIN_SUFFIX, "staging.stg_orders,PROD)")
-CAUSE_FIELD = "amount"
-REPAIR_FILE = "pipeline/transforms/stg_orders.sql"
-DISTRACTOR = "raw_fx_rates"
 MIN_CHECKS = 30
 FINISHED = ("VERIFIED", "WRITEBACK_COMPLETE")
 
 
+@dataclass(frozen=True)
+class AnswerKey:
+    """What a correct investigation of a scenario blames and repairs.
+
+    ``cohort_words`` name the defective cohort: a repair is targeted when its added
+    lines mention one of them.
+    """
+
+    origin_suffix: str
+    accepted_suffixes: tuple[str, ...]
+    field: str
+    repair_file: str
+    distractor: str
+    cohort_words: tuple[str, ...]
+
+
 def _true(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False))
 
@@ -34,15 +46,15 @@ def transcript_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def cause_correct(urn: Column, field: Column) -> Column:
+def cause_correct(urn: Column, field: Column, key: AnswerKey) -> Column:
     suffix = F.lit(False)
-    for s in ACCEPTED_SUFFIXES:
+    for s in key.accepted_suffixes:
         suffix = suffix | urn.endswith(s)
-    return _true(suffix & (field == CAUSE_FIELD))
+    return _true(suffix & (field == key.field))
 
 
-def blamed_origin(urn: Column) -> Column:
-    return _true(urn.endswith(ORIGIN_SUFFIX))
+def blamed_origin(urn: Column, key: AnswerKey) -> Column:
+    return _true(urn.endswith(key.origin_suffix))
 
 
 def evidence_facts(evidence: DataFrame, citations: DataFrame) -> DataFrame:
@@ -57,14 +69,10 @@ def evidence_facts(evidence: DataFrame, citations: DataFrame) -> DataFrame:
     )
 
 
-def grade_positive(incidents: DataFrame, facts: DataFrame, cohort_words: Sequence[str]) -> DataFrame:
-    """Eleven checks per incident, plus two reported metrics.
-
-    ``cohort_words`` name the defective cohort; a repair counts as targeted when its
-    added lines mention one of them or the provider column.
-    """
+def grade_positive(incidents: DataFrame, facts: DataFrame, key: AnswerKey) -> DataFrame:
+    """Eleven checks per incident, plus two reported metrics."""
     c = F.col
-    words = [F.contains(F.lower("patch_added"), F.lit(w.lower())) for w in (*cohort_words, "payment_processor")]
+    words = [F.contains(F.lower("patch_added"), F.lit(w.lower())) for w in key.cohort_words]
     targeted = words[0]
     for w in words[1:]:
         targeted = targeted | w
@@ -73,21 +81,21 @@ def grade_positive(incidents: DataFrame, facts: DataFrame, cohort_words: Sequenc
     return incidents.join(facts, "incident_id", "left").select(
         "incident_id",
         c("stage").isin(*FINISHED).alias("terminal_ok"),
-        cause_correct(c("cause_urn"), c("cause_field")).alias("root_cause_correct"),
+        cause_correct(c("cause_urn"), c("cause_field"), key).alias("root_cause_correct"),
         (has_cause & text.rlike(SEMANTIC_PATTERN)).alias("semantic_identified"),
-        (~_true(F.contains("cause_urn", F.lit(DISTRACTOR)))).alias("distractor_avoided"),
-        _true(c("patch_file") == REPAIR_FILE).alias("repair_correct_file"),
+        (~_true(F.contains("cause_urn", F.lit(key.distractor)))).alias("distractor_avoided"),
+        _true(c("patch_file") == key.repair_file).alias("repair_correct_file"),
         _true(
             (c("checks_failed") == 0) & (c("checks_total") >= MIN_CHECKS) & c("ratio_after").between(*KPI_BAND)
         ).alias("repair_verified"),
         _true(targeted).alias("repair_targeted"),
         _true(c("baseline_restored")).alias("repair_restores_baseline"),
         F.forall(
-            F.coalesce("changed_files", F.array().cast("array<string>")), lambda f: f == REPAIR_FILE
+            F.coalesce("changed_files", F.array().cast("array<string>")), lambda f: f == F.lit(key.repair_file)
         ).alias("repair_single_file"),
         (_true(c("catalog_lineage")) & _true(c("cited_quantitative"))).alias("evidence_coverage"),
         _true((c("writeback_status") == "complete") & c("writeback_urn").isNotNull()).alias("writeback_done"),
-        blamed_origin(c("cause_urn")).alias("blamed_most_upstream"),
+        blamed_origin(c("cause_urn"), key).alias("blamed_most_upstream"),
         _true(c("distractor_examined")).alias("distractor_examined"),
     )
 
@@ -110,14 +118,14 @@ def grade_control(incidents: DataFrame) -> DataFrame:
     )
 
 
-def grade_ablation(incidents: DataFrame, transcripts: DataFrame) -> DataFrame:
+def grade_ablation(incidents: DataFrame, transcripts: DataFrame, key: AnswerKey) -> DataFrame:
     """Without metadata: the run took turns and raised no false all-clear; accuracy is reported."""
     return incidents.join(transcripts, "incident_id", "left").select(
         "incident_id",
         (F.coalesce("turns", F.lit(0)) > 0).alias("run_executed"),
         (F.col("stage") != "NO_INCIDENT").alias("no_false_all_clear"),
         F.col("stage").isin(*FINISHED).alias("reached_terminal"),
-        cause_correct(F.col("cause_urn"), F.col("cause_field")).alias("root_cause_correct"),
+        cause_correct(F.col("cause_urn"), F.col("cause_field"), key).alias("root_cause_correct"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from driftlens.functions.numeric import round_to
 
@@ -21,31 +21,52 @@ def stage_rank(stage: Column) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
-def fold_aggregates() -> list[Column]:
+def _exit_order(events: DataFrame) -> Column:
+    """One comparable value for (ts, event_id).
+
+    For integer ids it is a decimal, which hash aggregation can update in place; a
+    struct would force a sort of every event before the first combine. The factor
+    exceeds the range of a shifted 64-bit id, so the timestamp always decides first.
+    """
+    if isinstance(events.schema["event_id"].dataType, (T.LongType, T.IntegerType)):
+        return F.expr(
+            "cast(unix_micros(cast(ts AS timestamp)) AS decimal(17,0)) * 100000000000000000000"
+            " + (cast(event_id AS decimal(19,0)) + 9223372036854775808)"
+        )
+    return F.struct("ts", "event_id")
+
+
+def fold_aggregates(events: DataFrame) -> list[Column]:
     """The stage fold as plain aggregates over (ts, event_id, target_stage).
 
     Ordinary stages only move forward, so before any exit the stage is the highest
     one reached. Exits are always reachable and block ordinary stages after them, so
-    once there is an exit the stage is the last exit. Both are order-free aggregates:
+    once there is an exit the stage is the last exit. All are order-free aggregates:
     no incident's history has to be sorted in one task, and a stream can keep them.
     """
-    is_exit = F.col("target_stage").isin(*EXITS)
+    order = _exit_order(events)
     return [
         F.max(stage_rank(F.col("target_stage"))).alias("_rank"),
-        F.max(F.when(is_exit, F.struct("ts", "event_id", "target_stage"))).alias("_exit"),
+        *[F.max(F.when(F.col("target_stage") == e, order)).alias(f"_{e.lower()}") for e in EXITS],
         F.count(F.lit(1)).alias("events"),
-        F.max(F.struct("ts", "event_id")).alias("_last"),
+        F.max("ts").alias("_last"),
     ]
 
 
 def folded_stage() -> Column:
     by_rank = F.element_at(F.array(*[F.lit(s) for s in STAGES]), F.coalesce("_rank", F.lit(0)) + 1)
-    return F.coalesce(F.col("_exit.target_stage"), by_rank)
+    first, second = EXITS
+    a, b = F.col(f"_{first.lower()}"), F.col(f"_{second.lower()}")
+    return (
+        F.when(a.isNull() & b.isNull(), by_rank)
+        .when(b.isNull() | (a > b), F.lit(first))
+        .otherwise(F.lit(second))
+    )
 
 
 def fold_stages(events: DataFrame) -> DataFrame:
     """Final stage per incident."""
-    return events.groupBy("incident_id").agg(*fold_aggregates()).select(
+    return events.groupBy("incident_id").agg(*fold_aggregates(events)).select(
         "incident_id", folded_stage().alias("stage"), "events"
     )
 

@@ -16,9 +16,9 @@ from driftlens.session import scratch_dir
 
 def live_stages(events: DataFrame) -> DataFrame:
     """Streaming version of the fold: a full snapshot of each incident that changed."""
-    return events.groupBy("incident_id").agg(*fold_aggregates()).select(
+    return events.groupBy("incident_id").agg(*fold_aggregates(events)).select(
         "incident_id", folded_stage().alias("stage"), "events",
-        F.col("_last.ts").alias("updated_at"),
+        F.col("_last").alias("updated_at"),
     )
 
 

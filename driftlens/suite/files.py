@@ -36,10 +36,10 @@ def csv_scan(spark, sf):
 
 
 @query(
-    "S1_csv_pipeline",
+    "S1_csv_build",
     sql(mart_ctes("natural"), "SELECT * FROM fct"),
 )
-def csv_pipeline(spark, sf):
+def csv_build(spark, sf):
     """The daily fact from CSV extracts, as a fresh checkout would build it."""
     feed_path = scratch_dir(spark, "csv-feed")
     feed = fx.natural_feed(spark, sf).withColumn("rate_day", F.col("rate_day").cast("string"))

@@ -415,8 +415,8 @@ _SUMMARY = (
     " when 1 then 'provider reports minor-units' when 2 then 'rows were duplicated' else 'values are 100× too high' end end"
 )
 _FILE = (
-    "case o_orderkey % 6 when 0 then null when 1 then 'pipeline/transforms/fct_revenue.sql'"
-    " else 'pipeline/transforms/stg_orders.sql' end"
+    "case o_orderkey % 6 when 0 then null when 1 then 'transforms/fct_revenue.sql'"
+    " else 'transforms/stg_orders.sql' end"
 )
 _ADDED = (
     "case when o_orderkey % 6 = 0 then null else case o_custkey % 4 when 0 then '+ amount / 100'"
@@ -452,11 +452,11 @@ positive AS (SELECT i.incident_id,
    cause_urn IS NOT NULL AND regexp_matches(concat_ws(' ', cause_summary, cause_detail),
      '(cent|minor.?unit|100(x|×)|scal(e|ing)|unit)', 'i') AS semantic_identified,
    NOT coalesce(contains(cause_urn, 'raw_fx_rates'), false) AS distractor_avoided,
-   coalesce(patch_file = 'pipeline/transforms/stg_orders.sql', false) AS repair_correct_file,
+   coalesce(patch_file = 'transforms/stg_orders.sql', false) AS repair_correct_file,
    coalesce(checks_failed = 0 AND checks_total >= 30 AND ratio_after BETWEEN 0.8 AND 1.3, false) AS repair_verified,
    coalesce(contains(lower(patch_added), 'provider_c') OR contains(lower(patch_added), 'payment_processor'), false) AS repair_targeted,
    baseline_restored AS repair_restores_baseline,
-   patch_file IS NULL OR (patch_file = 'pipeline/transforms/stg_orders.sql' AND NOT two_files) AS repair_single_file,
+   patch_file IS NULL OR (patch_file = 'transforms/stg_orders.sql' AND NOT two_files) AS repair_single_file,
    coalesce(catalog_lineage AND cited_quantitative, false) AS evidence_coverage,
    coalesce(writeback_status = 'complete' AND writeback_urn IS NOT NULL, false) AS writeback_done,
    coalesce(cause_urn LIKE '%raw.raw_orders,PROD)', false) AS blamed_most_upstream,
@@ -467,7 +467,7 @@ positive AS (SELECT i.incident_id,
 def graded_incidents(spark, sf) -> DataFrame:
     changed = (
         F.when(F.col("patch_file").isNull(), F.array().cast("array<string>"))
-        .when(F.col("incident_id") % 10 == 0, F.array(F.col("patch_file"), F.lit("pipeline/transforms/other.sql")))
+        .when(F.col("incident_id") % 10 == 0, F.array(F.col("patch_file"), F.lit("transforms/other.sql")))
         .otherwise(F.array("patch_file"))
     )
     return fx.table(spark, sf, "orders").select(
@@ -488,9 +488,19 @@ def graded_citations(spark, sf) -> DataFrame:
     )
 
 
+KEY = G.AnswerKey(
+    origin_suffix="raw.raw_orders,PROD)",
+    accepted_suffixes=("raw.raw_orders,PROD)", "staging.stg_orders,PROD)"),
+    field="amount",
+    repair_file="transforms/stg_orders.sql",
+    distractor="raw_fx_rates",
+    cohort_words=(fx.COHORT, "payment_processor"),
+)
+
+
 def positive_grades(spark, sf) -> DataFrame:
     facts = G.evidence_facts(graded_evidence(spark, sf), graded_citations(spark, sf))
-    return G.grade_positive(graded_incidents(spark, sf), facts, (fx.COHORT,))
+    return G.grade_positive(graded_incidents(spark, sf), facts, KEY)
 
 
 @query("G1_positive_grade", sql(GRADED, "SELECT * FROM positive"))
@@ -502,8 +512,8 @@ def positive_grade(spark, sf):
 def root_cause_grade(spark, sf):
     return graded_incidents(spark, sf).select(
         "incident_id",
-        G.cause_correct(F.col("cause_urn"), F.col("cause_field")).alias("root_cause_correct"),
-        G.blamed_origin(F.col("cause_urn")).alias("blamed_most_upstream"),
+        G.cause_correct(F.col("cause_urn"), F.col("cause_field"), KEY).alias("root_cause_correct"),
+        G.blamed_origin(F.col("cause_urn"), KEY).alias("blamed_most_upstream"),
     )
 
 
@@ -540,7 +550,7 @@ def transcript_stats(spark, sf):
         FROM inc i JOIN positive p ON i.incident_id = p.incident_id LEFT JOIN stats s ON i.incident_id = s.incident_id"""),
 )
 def ablation_grade(spark, sf):
-    return G.grade_ablation(graded_incidents(spark, sf), G.transcript_stats(transcripts(spark, sf)))
+    return G.grade_ablation(graded_incidents(spark, sf), G.transcript_stats(transcripts(spark, sf)), KEY)
 
 
 _ALL = " AND ".join(G.POSITIVE_CHECKS)

@@ -46,6 +46,17 @@ def test_fold_equals_replay(spark):
     assert got == expected(rows)
 
 
+def test_fold_with_text_ids_and_equal_timestamps(spark):
+    rows = [(i, ts, f"e{e:05d}", t) for i, ts, e, t in sample(11)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("event_id bigint", "event_id string"))
+    assert {r["incident_id"]: r["stage"] for r in I.fold_stages(df).collect()} == expected(rows)
+
+
+def test_fold_combines_without_sorting(spark):
+    plan = I.fold_stages(spark.createDataFrame(sample(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_stream_equals_batch_and_replayed_batches_change_nothing(spark):
     rows = sample(9)
     source, log = scratch_dir(spark, "events"), scratch_dir(spark, "log")
