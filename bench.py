@@ -14,7 +14,7 @@ import time
 from driftlens.session import local_session
 
 HEADLINES = [
-    "A1_daily_fact", "A1_daily_fact_two_pass", "A2_executive_kpi", "A3_column_profile", "A4_daily_profile",
+    "A1_daily_fact", "A1_daily_fact_bracketed", "A2_executive_kpi", "A3_column_profile", "A4_daily_profile",
     "J1_rate_join", "J7_unmatched_orders", "W2_trailing_median", "W3_lagged_reference",
     "Q_suite_healthy", "Q_suite_incident", "B1_compare_to_baseline", "B6_verify_repair", "B7_bad_repair_report",
     "F1_integer_share", "F3_cohort_share", "F4_counterfactual", "F6_foreign_share", "F10_contract_conformity",

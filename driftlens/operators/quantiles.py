@@ -2,10 +2,12 @@
 
 ``median()`` keeps every distinct value of a group in one buffer, which fails when a
 single day holds a third of the table. Here a mergeable sketch first brackets the
-middle of each group; a second pass counts what lies below the bracket and groups
-only the values inside it. Both passes combine map-side, so a hot group costs each
-task a few rows. The result is exact, not an estimate: the sketch only decides which
-values are worth ranking, and a bracket that missed the middle raises an error.
+middle of each group. On large inputs a second pass counts the rows of each slice of
+the bracket and narrows it to the slices that hold the middle ranks. The last pass
+counts what lies below the bracket and ranks only the distinct values inside. All
+passes combine map-side, so a hot group costs each task a bounded number of rows. The
+result is exact, not an estimate: sketch and slices only decide which values are worth
+ranking, and a bracket that missed the middle raises an error.
 """
 
 from __future__ import annotations
@@ -21,10 +23,56 @@ from driftlens.session import materialize
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
 
+# Slices of the bracket counted by the narrowing pass.
+SLICES = 4096
+
+# Up to this many rows the bracket alone leaves few enough values to rank.
+NARROW_ROWS = 1_000_000_000
+
 # Up to this many rows in total the whole input fits one aggregation buffer.
 BUFFER_ROWS = 1_000_000
 
-BELOW, INSIDE, ABOVE, MISSING = -1, 0, 1, 2
+BELOW, INSIDE, ABOVE, MISSING = -1, 0, SLICES, SLICES + 1
+LOW_RANK, HIGH_RANK = "(_n - 1) div 2", "_n div 2"
+
+
+def _side(inside: Column) -> Column:
+    """Where a value lies relative to its group's bracket."""
+    return (
+        F.when(F.col("_v").isNull(), MISSING)
+        .when(F.col("_v") < F.col("_lo"), BELOW)
+        .when(F.col("_v") > F.col("_hi"), ABOVE)
+        .otherwise(inside)
+    )
+
+
+def _running(counts: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """``_end``: rows of the group up to and including this one."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("_end", F.sum("_c").over(upto))
+
+
+def _covers(rank: str) -> str:
+    return f"(_end - _c <= {rank} AND {rank} < _end)"
+
+
+def _narrow(rows: DataFrame, keys: list[str], extras: list[str]) -> DataFrame:
+    """A bracket just wide enough for the slices that hold the middle ranks.
+
+    ``rows`` carry their group's bracket. A slice number never decreases as the value
+    grows, so the slices are in value order; there are at most SLICES + 3 per group.
+    """
+    width = F.col("_hi") - F.col("_lo")
+    at = F.least(F.lit(SLICES - 1), F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * SLICES).cast("int"))
+    counts = (
+        rows.withColumn("_slice", _side(F.coalesce(at, F.lit(0))))
+        .groupBy(*keys, *extras, "_slice")
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    )
+    middle = _running(counts, keys, "_slice").filter(
+        f"_n = 0 OR {_covers(LOW_RANK)} OR {_covers(HIGH_RANK)}"
+    )
+    return middle.groupBy(*keys, *extras).agg(F.min("_from").alias("_lo"), F.max("_to").alias("_hi"))
 
 
 def median_by(
@@ -39,10 +87,12 @@ def median_by(
     """``keys``, the aggregates ``stats`` and the interpolated median of ``value``.
 
     ``max_rows`` is a row count the caller has measured: up to ``BUFFER_ROWS`` no
-    group can outgrow a task and the built-in ``median`` does it in one pass.
+    group can outgrow a task and the built-in ``median`` does it in one pass; up to
+    ``NARROW_ROWS`` the narrowing pass is not needed.
     ``max_groups`` is a bound on the number of groups the caller can prove (days in
-    a calendar). Without one the per-group summary is written once and counted, and
-    broadcast only when it is small.
+    a calendar). Without one, or when it is large, the per-group summary is written
+    once and counted: it is broadcast when small and joined by shuffle otherwise. The
+    written copy also keeps its sums fixed if a shuffled task has to run again.
     """
     keys = list(keys)
     if max_rows is not None and max_rows <= BUFFER_ROWS:
@@ -62,38 +112,30 @@ def median_by(
         F.col("_edges")[0].alias("_lo"),
         F.col("_edges")[1].alias("_hi"),
     )
-    if max_groups is None:
+    small = max_groups is not None and max_groups <= BROADCAST_ROWS
+    if not small:
         summary = materialize(summary, "median-summary")
-        small = is_small(summary)
-    else:
-        small = max_groups <= BROADCAST_ROWS
+        small = is_small(summary, BROADCAST_ROWS)
 
     slim = rows.select(*keys, "_v")
-    side = (
-        F.when(F.col("_v").isNull(), MISSING)
-        .when(F.col("_v") < F.col("_lo"), BELOW)
-        .when(F.col("_v") > F.col("_hi"), ABOVE)
-        .otherwise(INSIDE)
-    )
-    bracketed = (
-        slim.join(F.broadcast(summary) if small else summary, null_safe(keys, theirs))
-        .select(*keys, *extras, "_v", side.alias("_side"))
+
+    def with_bracket(brackets: DataFrame) -> DataFrame:
+        side = F.broadcast(brackets) if small else brackets
+        return slim.join(side, null_safe(keys, theirs)).drop(*theirs)
+
+    if max_rows is None or max_rows > NARROW_ROWS:
+        narrow = _narrow(with_bracket(summary), keys, extras)
+        summary = narrow.withColumnsRenamed(dict(zip(keys, theirs)))
+    counts = (
+        with_bracket(summary)
+        .withColumn("_side", _side(F.lit(INSIDE)))
         .groupBy(*keys, *extras, "_side", F.when(F.col("_side") == INSIDE, F.col("_v")).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    order = Window.partitionBy(*keys).orderBy("_side", "_x")
-    ranked = bracketed.withColumn(
-        "_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    low, high = (F.expr(f"max(if({_covers(r)}, _x, null))") for r in (LOW_RANK, HIGH_RANK))
+    middle = _running(counts, keys, "_side", "_x").groupBy(*keys, *extras).agg(low.alias("_a"), high.alias("_b"))
+    median = F.expr(
+        "if(_n > 0 AND (_a IS NULL OR _b IS NULL),"
+        " cast(raise_error('median fell outside its bracket') AS double), (_a + _b) / 2)"
     )
-
-    def at(rank: Column) -> Column:
-        covers = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(covers, F.col("_x")))
-
-    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-    middle = ranked.groupBy(*keys, *extras).agg(at(low).alias("_a"), at(high).alias("_b"))
-    median = (F.col("_a") + F.col("_b")) / 2
-    checked = F.when(
-        (F.col("_n") > 0) & median.isNull(), F.raise_error(F.lit("median fell outside its bracket"))
-    ).otherwise(median)
-    return middle.select(*keys, *[c for c in extras if c != "_n"], checked.cast("double").alias(name))
+    return middle.select(*keys, *[c for c in extras if c != "_n"], median.alias(name))

@@ -315,8 +315,8 @@ def integer_share(spark, sf):
     return X.integer_share(orders, "payment_processor", orders.count())
 
 
-@query("F1_integer_share_two_pass", sql(_INC, _FINGERPRINT))
-def integer_share_two_pass(spark, sf):
+@query("F1_integer_share_bracketed", sql(_INC, _FINGERPRINT))
+def integer_share_bracketed(spark, sf):
     """The fingerprint through the bracketed median, with a measured broadcast."""
     return X.integer_share(incident_staged(spark, sf), "payment_processor")
 

@@ -305,8 +305,8 @@ def daily_fact(spark: SparkSession, sf: str) -> DataFrame:
     return natural_build(spark, sf).fct_revenue
 
 
-@query("A1_daily_fact_two_pass", sql(mart_ctes("natural"), "SELECT * FROM fct"))
-def daily_fact_two_pass(spark: SparkSession, sf: str) -> DataFrame:
+@query("A1_daily_fact_bracketed", sql(mart_ctes("natural"), "SELECT * FROM fct"))
+def daily_fact_bracketed(spark: SparkSession, sf: str) -> DataFrame:
     """The daily fact through the bracketed median that large tables use."""
     wh = natural_build(spark, sf)
     days = (wh.last_day - wh.first_day).days + 1

@@ -13,9 +13,9 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 SAMPLE = [
-    "P1_staging_orders", "J7_unmatched_orders", "J9_asof_rate", "A1_daily_fact_two_pass", "A2_executive_kpi",
+    "P1_staging_orders", "J7_unmatched_orders", "J9_asof_rate", "A1_daily_fact_bracketed", "A2_executive_kpi",
     "A3_column_profile", "W3_lagged_reference", "W5_onset", "Q_suite_incident", "B6_verify_repair",
-    "F1_integer_share_two_pass", "F9_ratio_distribution", "L2_upstream_edges", "L4_edge_columns", "L7_shortest_path",
+    "F1_integer_share_bracketed", "F9_ratio_distribution", "L2_upstream_edges", "L4_edge_columns", "L7_shortest_path",
     "L11_estate_health", "E2_root_cause_gate", "E4_current_hypotheses", "E9_incident_records", "E12_scrub",
     "G1_positive_grade", "S6_transcript_scan", "R2_snapshot_then_changes", "U5_merge_first_seen",
 ]

@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.operators import quantiles
 from driftlens.operators.quantiles import median_by
 
 
@@ -17,6 +18,8 @@ def rows_of(kind: str, rng: random.Random):
         return [(f"g{rng.randrange(5)}", float(rng.randrange(4))) for _ in range(20_000)]
     if kind == "two_scales":
         return [("x", rng.choice([1.0, 100.0]) * rng.random()) for _ in range(30_001)]
+    if kind == "one_value":
+        return [("x", 5.0)] * 1_000 + [("y", -0.0), ("y", 0.0)]
     if kind == "negative":
         return [(f"g{i % 3}", rng.gauss(0, 5)) for i in range(9_999)]
     return [
@@ -24,9 +27,18 @@ def rows_of(kind: str, rng: random.Random):
     ] + [("empty", None)] * 3
 
 
-@pytest.mark.parametrize("kind", ["hot_group", "ties", "two_scales", "negative", "nulls"])
-@pytest.mark.parametrize("bound", [{"max_groups": 100}, {"max_rows": 10**6}, {}])
-def test_median_equals_brute_force(spark, kind, bound):
+@pytest.mark.parametrize("kind", ["hot_group", "ties", "two_scales", "negative", "one_value", "nulls"])
+@pytest.mark.parametrize("bound", [
+        {"max_groups": 100},  # three passes, broadcast brackets
+        {"max_groups": 100, "max_rows": 10**8},  # two passes
+        {"max_rows": 10**6},  # one pass
+        {},  # three passes, measured brackets
+        {"shuffled": True},  # three passes, brackets joined by shuffle
+    ])
+def test_median_equals_brute_force(spark, monkeypatch, kind, bound):
+    if bound.get("shuffled"):
+        monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 0)
+        bound = {}
     data = rows_of(kind, random.Random(7))
     df = spark.createDataFrame(data, "k string, v double").repartition(6)
     got = {
