@@ -11,7 +11,7 @@ from driftlens.suite.ledger import STAGED, stage_events
 from driftlens.suite.oracle import sql
 from driftlens.suite.registry import query
 
-SLICES = 4
+SLICES = 2
 
 
 def _event_stream(spark, sf) -> DataFrame:
