@@ -35,7 +35,6 @@ def null_safe(left: list[str], right: list[str]) -> Column:
     return reduce(lambda acc, cond: acc & cond, pairs, F.lit(True))
 
 
-def anti_rows(left: DataFrame, right: DataFrame, on: list[str] | str) -> DataFrame:
+def anti_rows(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``left`` without a partner; ``right`` is reduced to its keys first."""
-    keys = [on] if isinstance(on, str) else on
-    return left.join(right.select(*keys).distinct(), on, "left_anti")
+    return join_small(left, right.select(*on).distinct(), on, "left_anti")

@@ -71,3 +71,16 @@ def test_unknown_start_reaches_nothing(spark):
 def test_shuffled_frontier_gives_the_same_result(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_ROWS", -1)
     assert reach(spark, [("a", "b"), ("b", "c"), ("a", "c")], "a") == {"b": 1, "c": 1}
+
+
+def test_measured_broadcast_and_shuffle_agree(spark):
+    from driftlens.operators import joins
+
+    big = spark.range(100).selectExpr("id % 7 AS k", "id")
+    small = spark.createDataFrame([(1,), (1,), (3,), (None,)], "k bigint")
+    hinted = joins.anti_rows(big, small, ["k"])
+    plain = joins.join_small(big, small.distinct(), ["k"], "left_anti", max_rows=1)
+    assert sorted(hinted.collect()) == sorted(plain.collect())
+    assert {r["k"] for r in hinted.collect()} == {0, 2, 4, 5, 6}
+    assert "rightHint=(strategy=broadcast)" in hinted._jdf.queryExecution().toString()
+    assert "strategy=broadcast" not in plain._jdf.queryExecution().toString()
