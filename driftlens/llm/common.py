@@ -13,6 +13,7 @@ __all__ = ["materialize", "scratch_dir", "documents", "text_or_empty", "map_batc
 
 #: White space of the word rules, as bytes and inside a Java or DuckDB character class.
 SPACES = b" \t\n\x0b\x0c\r"
+STEP_ROWS = 512
 JAVA_SPACES = r"[\x20\x09-\x0D]"
 
 
@@ -29,15 +30,16 @@ def map_batches(
 ) -> DataFrame:
     """``mapInArrow`` over column dictionaries.
 
-    ``make`` runs once per task and returns the function applied to every batch.
+    ``make`` runs once per task and returns the function applied to slices of STEP_ROWS rows,
+    which bounds what one step holds besides the batch itself.
     """
     arrow_schema = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                out = step(batch.slice(at, STEP_ROWS))
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(
                         [_column(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema
