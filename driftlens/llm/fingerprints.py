@@ -101,6 +101,8 @@ def differing(docs: DataFrame, profile: DataFrame, chunk_bytes: int = CHUNK_BYTE
     per group; a hot group's members are a skewed join side that Spark splits.
     """
     shared = _groups(profile, KEY).filter("group_size > 1").withColumnsRenamed({k: f"g_{k}" for k in KEY})
+    # Stored, so that the texts' side is a plain exchange which can be split at a hot group.
+    shared = materialize(shared, "dedup-shared")
     texts = fingerprints(docs, chunk_bytes, with_text=True)
     members = texts.join(shared, [F.col(k) == F.col(f"g_{k}") for k in KEY])
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(chunk_bytes).cast("long"))
