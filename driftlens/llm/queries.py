@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftlens.llm import bpe, fingerprints, mixing, sharding, token_files
+from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, sharding, token_files
 from driftlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    held = docs.filter(~langid.held_out())
+    predicted = langid.predict(docs, langid.learn(held))
+    return predicted.withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as it stands in the token files."""
     return token_files.round_trip(documents(spark, sf_dir))
 
 
+@query
+def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every document's statistics."""
+    return outliers.judge(documents(spark, sf_dir)).select("doc_id", *outliers.STATS, "base_failed", "kept", "distance")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row of its group that stays."""
