@@ -25,7 +25,7 @@ from driftlens.llm.common import materialize, text_or_empty
 SHARDS = 40
 OVERHEAD = 16
 RANGES_PER_SHARD = 16
-#: Fine ranges grow with the rows up to this many; the driver holds OVERSAMPLE keys of 16 bytes for each.
+#: Fine ranges grow with the rows up to this many; the driver holds about OVERSAMPLE keys of 16 bytes for each.
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 1 << 16
 OVERSAMPLE = 16
@@ -43,14 +43,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sample_keys(rows: DataFrame, n: int) -> np.ndarray:
-    """At most ``n`` keys, drawn without replacement with chances in proportion to size, sorted.
+    """About ``n`` keys, each drawn with a chance in proportion to its size, sorted.
 
-    The smallest exponential arrival times with rate ``size`` are such a sample; the time
-    is a function of the key, so reruns draw the same.
+    A record is drawn when an exponential arrival with rate ``size`` comes before the time at
+    which ``n`` are due. The arrival is a function of the key, so reruns draw the same, and
+    only drawn keys leave their tasks.
     """
+    total = rows.agg(F.sum("size")).first()[0] or 1
     uniform = (F.shiftrightunsigned(F.xxhash64("k1", "k2", F.lit(23)), 11) + 0.5) / F.lit(float(1 << 53))
-    arrival = -F.log(uniform) / F.col("size")
-    drawn = rows.select("k1", "k2", arrival.alias("arrival")).orderBy("arrival", "k1", "k2").limit(n).collect()
+    drawn = rows.filter(-F.log(uniform) / F.col("size") <= n / total).select("k1", "k2").collect()
     return np.sort(_bytes(np.array([r.k1 for r in drawn], np.int64), np.array([r.k2 for r in drawn], np.int64)))
 
 
