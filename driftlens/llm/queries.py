@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, sharding, token_files
+from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, prefix_join, sharding, token_files
 from driftlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its links."""
+    return prefix_join.link_components(documents(spark, sf_dir))
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
