@@ -34,12 +34,15 @@ from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from driftlens.llm.bpe import CACHED_CHARS, CACHE_ENTRIES, ENTANGLED, TOKENIZER
+from driftlens.llm.bpe import CACHED_CHARS, ENTANGLED, TOKENIZER
 from driftlens.llm.common import STEP_ROWS, materialize, scratch_dir, text_or_empty
 
 END_ID = 0
 #: A task starts another file once its current one has this many bytes.
 FILE_BYTES = 256 << 20
+#: Chunks whose ids one Python worker keeps. A full table keeps what it has, which is what is
+#: frequent, and starts anew after four times as many misses.
+CHUNK_ENTRIES = 700_000
 #: Fixed values of the seekable format and of this file's own index frame.
 SKIPPABLE_SEEK = 0x184D2A5E
 SKIPPABLE_INDEX = 0x184D2A50
@@ -133,6 +136,7 @@ class LibraryEncoder:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.after_blank: dict[str, bytes] = {}
+        self.turned_away = 0
 
     @property
     def wide(self) -> bool:
@@ -147,18 +151,18 @@ class LibraryEncoder:
         done = dict(zip(whole, self._ask([texts[n] for n in whole])))
         split = {n: t.split(" ") for n, t in enumerate(texts) if n not in done and t}
         firsts = dict(zip(split, self._ask([chunks[0] for chunks in split.values()])))
-        if len(self.after_blank) > CACHE_ENTRIES:
-            self.after_blank.clear()
         known = self.after_blank
+        if self.turned_away > 4 * CHUNK_ENTRIES:
+            known.clear()
+            self.turned_away = 0
         new = [c for c in set().union(*[c[1:] for c in split.values()]) if c not in known]
         fresh = dict(zip(new, self._ask([" " + c for c in new])))
-        known.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_CHARS)
-        for c in new:
-            if len(c) <= CACHED_CHARS:
-                del fresh[c]
+        if len(known) < CHUNK_ENTRIES and not self.turned_away:
+            known.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_CHARS)
+        else:
+            self.turned_away += len(new)
         for n, chunks in split.items():
-            rest = map(known.__getitem__, chunks[1:]) if not fresh else (known[c] if c in known else fresh[c] for c in chunks[1:])
-            done[n] = firsts[n] + b"".join(rest)
+            done[n] = firsts[n] + b"".join([known[c] if c in known else fresh[c] for c in chunks[1:]])
         return [np.frombuffer(done.get(n, b""), "<u4") for n in range(len(texts))]
 
 
