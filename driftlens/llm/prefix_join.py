@@ -6,11 +6,14 @@
 2. Two linked sets share a token among their first ``n - ceil(0.9 n) + 1`` (prefix bound).
    Nodes that share such a token meet in the group of the token's least node. Only
    (token, node) pairs travel; whole sets are sent once per group, later.
-3. In a group the ordered sets are stored in a path-compressed trie. A set walks it, sharing
+3. Sets in a group that merely share a passage are told apart by occupancy: the hash space
+   has PARTS parts, and an intersection is at most the sum of the smaller occupancies. A
+   member without any partner in reach of the threshold leaves its group.
+4. In a group the ordered sets are stored in a path-compressed trie. A set walks it, sharing
    the overlap counted so far with all sets below, and leaves a subtree when the lengths
    that remain cannot reach the threshold, or when all of it is already connected with it.
    A group yields a spanning forest of its links, never all pairs.
-4. Alternating stars connect the forests.
+5. Alternating stars connect the forests.
 
 A group beyond GROUP_TOKENS is cut into blocks. Every block also gets a few common members;
 what they connect needs no further comparison. Members outside the group's largest component
@@ -43,6 +46,8 @@ FILTER_BITS = 23
 #: Tokens of one comparison unit (8 bytes each), and common members of the blocks of a large group.
 GROUP_TOKENS = 1 << 20
 COMMON_MEMBERS = 64
+#: Parts of the hash space (2 bytes each per set), and the members up to which a group is examined by them.
+PARTS, EXAMINED_MEMBERS = 256, 4096
 #: Words whose hashes one Python worker keeps; a full table starts anew.
 WORD_TABLE = 400_000
 
@@ -94,6 +99,35 @@ def node_of(hashes: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
 
 
+def occupancy(hashes: np.ndarray) -> bytes:
+    parts = (hashes >> np.uint64(24)) & np.uint64(PARTS - 1)
+    return np.minimum(np.bincount(parts.astype(np.int64), minlength=PARTS), 0xFFFF).astype(np.uint16).tobytes()
+
+
+def least_overlap(a, b):
+    """The smallest intersection with which sets of sizes ``a`` and ``b`` are linked."""
+    return -(-PERCENT * (a + b) // (PERCENT + PERCENT_OF))
+
+
+def plausible(sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which sets have a partner that sizes and occupancies do not rule out."""
+    order = np.argsort(sizes, kind="stable")
+    n, rows = sizes[order], parts[order]
+    # A saturated count says nothing, so such sets are never ruled out by it.
+    full = (rows == 0xFFFF).any(axis=1)
+    found = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        upto = np.searchsorted(n, n[i] * PERCENT_OF / PERCENT, side="right")
+        if upto > i + 1:
+            bound = np.minimum(rows[i], rows[i + 1 : upto]).sum(axis=1, dtype=np.int64)
+            near = (bound >= least_overlap(n[i], n[i + 1 : upto])) | full[i] | full[i + 1 : upto]
+            found[i] |= near.any()
+            found[i + 1 : upto] |= near
+    out = np.zeros(len(n), bool)
+    out[order] = found
+    return out
+
+
 # ---------------------------------------------------------------- passes over the texts
 
 
@@ -101,7 +135,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-PROFILE = "doc_id long, n long, node long, block int, counts binary"
+PROFILE = "doc_id long, n long, node long, parts binary, block int, counts binary"
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
@@ -109,13 +143,14 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(1 << SLOT_BITS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("parts", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            sizes, nodes, seen = [], [], []
+            sizes, nodes, parts, seen = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingler.hashes(text)
                 sizes.append(len(hashes))
                 nodes.append(node_of(hashes))
+                parts.append(occupancy(hashes) if len(hashes) else None)
                 seen.append((hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32))
                 if len(seen) == 512:
                     counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
@@ -124,12 +159,12 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
             rest = [None] * len(sizes)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "n": sizes, "node": nodes, "block": rest, "counts": rest}, schema=schema
+                {"doc_id": batch.column(0), "n": sizes, "node": nodes, "parts": parts, "block": rest, "counts": rest}, schema=schema
             )
         blocks = counts.reshape(-1, BLOCK_SLOTS)
         none = [None] * len(blocks)
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": none, "n": none, "node": none, "block": list(range(len(blocks))), "counts": [b.tobytes() for b in blocks]}, schema=schema
+            {"doc_id": none, "n": none, "node": none, "parts": none, "block": list(range(len(blocks))), "counts": [b.tobytes() for b in blocks]}, schema=schema
         )
 
     return materialize(_texts(docs).mapInArrow(run, PROFILE), "join-profile")
@@ -282,8 +317,7 @@ class SetTrie:
     def _probe(self, i: int, roots: np.ndarray) -> None:
         mine, size = self.sets[i], len(self.sets[i])
         # 19 I >= 9 (|x| + |y|) for 90 %: the least overlap with a set of a given size.
-        share = PERCENT_OF + PERCENT
-        need = -(-PERCENT * (size + self.sizes) // share)
+        need = least_overlap(size, self.sizes)
         stack = [(self.root, 0, 0, 0)]
         while stack:
             (first, last, depth, children), above, overlap, passed = stack.pop()
@@ -324,31 +358,38 @@ def _forest(rows: list[tuple[int, bytes, bool]]) -> list[tuple[int, int]]:
     return [(least[label], node) for node, label in zip(nodes, labels.tolist()) if node != least[label]]
 
 
-def _unit_links(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Forests of all units; rows (keys..., node, tokens, probe) are sorted, so one unit is held at a time."""
-    width = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = units.repartition(width, *keys).sortWithinPartitions(*keys).select(*keys, "node", "tokens", "probe")
-    k = len(keys)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _by_group(rows: DataFrame, n_keys: int, solve, names: tuple[str, ...]) -> DataFrame:
+    """``solve`` on every run of rows with equal leading columns; one run is held at a time.
+
+    ``rows`` are partitioned and sorted by these columns; results are long columns.
+    """
+    schema = pa.schema([(name, pa.int64()) for name in names])
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(len(names))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows, out = None, [], []
+        current, held = None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for at in range(batch.num_rows):
-                key = tuple(columns[j][at] for j in range(k))
-                if key != current:
-                    out += _forest(rows)
-                    current, rows = key, []
-                rows.append((columns[k][at], columns[k + 1][at], columns[k + 2][at]))
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n_keys] != current:
+                    out += solve(held)
+                    current, held = row[:n_keys], []
+                held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=schema)
-                out = []
-        out = _forest(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=schema)
+                yield packed(out)
+        if last := solve(held):
+            yield packed(last)
+
+    return rows.mapInArrow(run, ", ".join(f"{name} long" for name in names))
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+def _unit_links(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Forests of all units, from rows (keys..., node, tokens, probe)."""
+    width, k = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(keys)
+    dealt = units.repartition(width, *keys).sortWithinPartitions(*keys).select(*keys, "node", "tokens", "probe")
+    return _by_group(dealt, k, lambda rows: _forest([r[k:] for r in rows]), ("a", "b"))
 
 
 # ---------------------------------------------------------------- the join
@@ -364,9 +405,27 @@ def _groups(postings: DataFrame) -> DataFrame:
     )
 
 
-def _placed(members: DataFrame, nodes: DataFrame, group_tokens: int) -> DataFrame:
+def _examined(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(pivot, node, n) without the members that nothing in their group can be linked with."""
+    counted = materialize(members.groupBy(F.col("pivot").alias("of")).agg(F.count(F.lit(1)).alias("m")), "join-sizes")
+    sized = members.join(counted, F.col("pivot") == F.col("of")).join(nodes, "node")
+    large = sized.filter(F.col("m") > EXAMINED_MEMBERS).select("pivot", "node", "n")
+    width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = sized.filter(F.col("m") <= EXAMINED_MEMBERS).select("pivot", "node", "n", "parts")
+
+    def group_of(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        parts = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
+        keep = plausible(np.array([r[2] for r in rows]), parts)
+        return [r[:3] for r, k in zip(rows, keep) if k]
+
+    kept = _by_group(small.repartition(width, "pivot").sortWithinPartitions("pivot"), 1, group_of, ("pivot", "node", "n"))
+    return materialize(kept.unionByName(large), "join-plausible")
+
+
+def _placed(sized: DataFrame, group_tokens: int) -> DataFrame:
     """Members with their group's number of blocks and their own block."""
-    sized = materialize(members.join(nodes.select("node", "n"), "node"), "join-sized")
     loads = materialize(
         sized.groupBy(F.col("pivot").alias("of")).agg(F.ceil(F.sum("n") / group_tokens).alias("blocks"), F.count(F.lit(1)).alias("members")),
         "join-loads",
@@ -379,9 +438,9 @@ def links(docs: DataFrame, profile: DataFrame, words: int = WORDS, group_tokens:
     """(node, root) of all sets that are linked with another."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(profile))  # fixed size: 4 bytes for each of 2**SLOT_BITS slots
-    nodes = materialize(profile.filter("node is not null").groupBy("node").agg(F.max("n").alias("n")), "join-nodes")
-    members = _groups(_postings(docs, counts, words))
-    placed = _placed(members, nodes, group_tokens)
+    nodes = profile.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.first("parts").alias("parts"))
+    members = _examined(_groups(_postings(docs, counts, words)), nodes)
+    placed = _placed(members, group_tokens)
     wanted = spark.sparkContext.broadcast(_filter_bits(members))  # fixed size: 2**FILTER_BITS bits
     sets = materialize(
         _sets(docs, counts, wanted, words).join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")),
