@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, prefix_join, sharding, token_files
+from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, prefix_join, sharding, token_files, toxicity
 from driftlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.exact_groups(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learned from labels that are not held out."""
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    params = toxicity.learn(docs.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out()))
+    scored = toxicity.score(docs, params)
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
