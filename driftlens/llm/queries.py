@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, prefix_join, sharding, token_files, toxicity
+from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, prefix_join, sharding, style_tree, token_files, toxicity
 from driftlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return style_tree.extract(documents(spark, sf_dir, "pages"))
+
+
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of its links."""
