@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import fingerprints, mixing
+from driftlens.llm import bpe, fingerprints, mixing, prefix_join, toxicity
 from driftlens.llm.common import documents, materialize
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; learned from labels that are not held out."""
+    labels = documents(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    return toxicity.keep_clean(docs, labels)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return fingerprints.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts."""
+    return prefix_join.keep_first(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mixture takes them: repeated, cut or left out as their source's target says."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, checked by decoding."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
 #: Trained scores and byte-pair encoding have no SQL form; tests/llm compares stages with brute force.
 ORACLE_SQL = None
