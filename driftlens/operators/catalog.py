@@ -6,9 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SEARCH_LIMIT = 20
-
-
 def explode_column_maps(edges: DataFrame, maps: str = "column_map") -> DataFrame:
     """Rows (source, target, source_col, target_col) from a map downstream -> upstreams."""
     return edges.select("source", "target", F.explode(maps).alias("target_col", "_ups")).select(
@@ -62,16 +59,16 @@ def asset_context(assets: DataFrame, fields: DataFrame, owners: DataFrame) -> Da
 
 
 def query_terms(text: str) -> list[str]:
-    """Distinct lower-case words of a query, in order."""
-    return list(dict.fromkeys(re.findall("[a-z0-9]+", text.lower())))
+    """Distinct lower-case words of a query, in order; a word is letters and digits of any script."""
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
 
 
 def has_term(text: Column, term: str) -> Column:
     """Whole-word match; the plain substring test spares most rows the pattern."""
-    return F.contains(text, F.lit(term)) & text.rlike(f"(^|[^a-z0-9]){term}($|[^a-z0-9])")
+    return F.contains(text, F.lit(term)) & text.rlike(rf"(^|[^\p{{L}}\p{{N}}]){term}($|[^\p{{L}}\p{{N}}])")
 
 
-def search(assets: DataFrame, text: str, limit: int = SEARCH_LIMIT) -> DataFrame:
+def search(assets: DataFrame, text: str, limit: int) -> DataFrame:
     """Assets by number of query terms found in name or description, best first.
 
     Misses are dropped after the top-k, where they can only be at its end: a filter
@@ -157,55 +154,58 @@ def summary(nodes: DataFrame, edges: DataFrame, hits: DataFrame, fields: DataFra
 
 # --- incident notes and tags ----------------------------------------------------------
 
-# How a note is set apart from the description before it.
-NOTE_HEADING = "Incident history"
-NOTE_SEPARATOR = "\n\n---\n\n### ⚠️ " + NOTE_HEADING
-NOTE_LIMIT = 9000
+NOTE_KEY = ["urn", "incident_id"]
 REMEDIATED_TAG = "incident-remediated"
 
 
-def with_note(description: Column, incident_id: Column, lines: Column) -> Column:
-    """Append an incident's note once; a second append for the same incident is a no-op."""
-    existing = F.coalesce(description, F.lit(""))
-    title = F.concat(F.lit(NOTE_SEPARATOR + " ("), incident_id, F.lit(")"))
-    seen = F.contains(existing, F.concat(F.lit(NOTE_HEADING + " ("), incident_id, F.lit(")")))
-    return F.when(seen, existing).otherwise(
-        F.substring(F.concat(existing, title, F.lit("\n\n"), lines), 1, NOTE_LIMIT)
-    )
+def append_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """Notes (urn, incident_id, ts, text) with the new ones of incidents that have none yet.
+
+    Of several new notes for one incident and asset the earliest is taken, so appending
+    the same batch again changes nothing.
+    """
+    first = new.groupBy(*NOTE_KEY).agg(F.min(F.struct("ts", "text")).alias("_n")).select(*NOTE_KEY, "_n.ts", "_n.text")
+    return notes.unionByName(first.join(notes.select(*NOTE_KEY), NOTE_KEY, "left_anti"))
 
 
 def with_tag(tags: Column, tag: str = REMEDIATED_TAG) -> Column:
     return F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.array(F.lit(tag)))
 
 
-def carries_note(description: Column) -> Column:
-    return F.coalesce(F.contains(description, F.lit(NOTE_HEADING + " (")), F.lit(False))
+def render_notes(assets: DataFrame, notes: DataFrame) -> DataFrame:
+    """Assets whose description shows their notes in order of time; nothing is cut.
 
-
-def contaminated(assets: DataFrame) -> DataFrame:
-    """Assets whose description still carries an incident note."""
-    return assets.filter(carries_note(F.col("description")))
+    The array follows the incidents of one asset.
+    """
+    line = F.concat(F.lit("["), "incident_id", F.lit("] "), "text")
+    shown = notes.groupBy("urn").agg(F.array_sort(F.collect_list(F.struct("ts", "incident_id", line.alias("line")))).alias("_notes"))
+    body = F.concat_ws("\n\n", F.coalesce("description", F.lit("")), F.array_join(F.transform("_notes", lambda n: n["line"]), "\n\n"))
+    return assets.join(shown, "urn", "left").withColumn(
+        "description", F.when(F.col("_notes").isNull(), F.col("description")).otherwise(body)
+    ).drop("_notes")
 
 
-def without_notes(description: Column) -> Column:
-    """The description before the first note; a bare heading is enough to cut."""
-    cut = F.substring_index(description, NOTE_SEPARATOR, 1)
-    bare = F.regexp_replace(F.substring_index(cut, NOTE_HEADING + " (", 1), r"[-#⚠️ \n]+$", "")
-    body = F.when(carries_note(cut), bare).otherwise(cut)
-    return F.when(carries_note(description), F.regexp_replace(body, r"^\s+|\s+$", "")).otherwise(description)
+def contaminated(assets: DataFrame, notes: DataFrame) -> DataFrame:
+    """Assets that an incident left a note on."""
+    return assets.join(notes.select("urn").distinct(), "urn", "left_semi")
 
 
-def scrub(assets: DataFrame, tag: str = REMEDIATED_TAG) -> DataFrame:
-    """Assets without notes and tag; flags say what was removed."""
-    return assets.select(
-        "urn",
-        without_notes(F.col("description")).alias("description"),
+def scrub(assets: DataFrame, notes: DataFrame, tag: str = REMEDIATED_TAG) -> DataFrame:
+    """Assets as they are without notes and tag; flags say what goes. Descriptions were never touched."""
+    noted = notes.select("urn").distinct().withColumn("_noted", F.lit(True))
+    return assets.join(noted, "urn", "left").select(
+        "urn", "description",
         F.array_remove("tags", tag).alias("tags"),
-        carries_note(F.col("description")).alias("note_cleared"),
+        F.coalesce("_noted", F.lit(False)).alias("note_cleared"),
         F.coalesce(F.array_contains("tags", tag), F.lit(False)).alias("tag_removed"),
     )
 
 
+def scrub_notes(notes: DataFrame, assets: DataFrame) -> DataFrame:
+    """Notes without those of the given assets."""
+    return notes.join(assets.select("urn").distinct(), "urn", "left_anti")
+
+
 def resolve_active(incidents: DataFrame) -> DataFrame:
     """Active incidents become resolved; ``changed`` marks them for counting."""
     active = F.col("state") == "ACTIVE"

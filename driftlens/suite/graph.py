@@ -296,8 +296,8 @@ def shortest_path(spark, sf):
     return found.select("hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-_TERMS = "list_distinct(regexp_split_to_array(lower({x}), '[^a-z0-9]+'))"
-SEARCH = "small red anvil major de and"
+_TERMS = "list_distinct(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'))"
+SEARCH = "small red anvil major de and für que à"
 _SCORE = (
     f"len(list_intersect({_TERMS.format(x='concat_ws(chr(32), name, description)')}, "
     + _TERMS.format(x=f"'{SEARCH}'") + "))"
@@ -310,7 +310,7 @@ _SCORE = (
         WHERE score > 0 ORDER BY score DESC, urn LIMIT 20"""),
 )
 def catalog_search(spark, sf):
-    return K.search(assets(spark, sf), SEARCH)
+    return K.search(assets(spark, sf), SEARCH, limit=20)
 
 
 @query(
@@ -467,7 +467,7 @@ def catalog_summary(spark, sf):
     graph = edges(spark, sf)
     nodes, walked = L.traverse(graph, L.roots_of(spark, graph, DEEP), "UPSTREAM", 4)
     mapped = L.attach_columns(walked, column_lineage(spark, sf))
-    hits = K.search(assets(spark, sf), SEARCH)
+    hits = K.search(assets(spark, sf), SEARCH, limit=20)
     return K.summary(nodes, mapped, hits, asset_fields(spark, sf))
 
 
@@ -486,64 +486,66 @@ def merge_first_seen(spark, sf):
 
 # --- notes and tags ---------------------------------------------------------------------
 
-_SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### ⚠️ Incident history'"
-_NOTED = f"""
-noted AS (
-  SELECT doc_id AS urn, case when doc_id % 20 = 0 then text || {_SEP} || ' (inc_' || doc_id || ')' || chr(10) || chr(10) || 'fixed'
-    else text END AS description, doc_id % 10 = 0 AS tagged FROM documents)"""
+_NOTED = """
+notes AS (
+  SELECT doc_id AS urn, 'inc_' || doc_id AS incident_id, 'fixed' AS text FROM documents WHERE doc_id % 20 = 0),
+noted AS (SELECT doc_id AS urn, text AS description, lang, doc_id % 10 = 0 AS tagged FROM documents)"""
 
 
 def noted_assets(spark, sf) -> DataFrame:
-    """Every document as an asset description; each twentieth carries an incident note."""
-    incident = F.concat(F.lit("inc_"), F.col("doc_id"))
-    noted = F.concat("text", F.lit(K.NOTE_SEPARATOR + " ("), incident, F.lit(")\n\nfixed"))
+    """Every document as an asset description; each tenth carries the tag."""
     tags = F.when(F.col("doc_id") % 10 == 0, F.array(F.col("lang"), F.lit(K.REMEDIATED_TAG))).otherwise(F.array("lang"))
     return fx.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("urn"),
-        F.when(F.col("doc_id") % 20 == 0, noted).otherwise(F.col("text")).alias("description"),
-        tags.alias("tags"),
+        F.col("doc_id").alias("urn"), F.col("text").alias("description"), tags.alias("tags")
     )
 
 
+def asset_notes(spark, sf, text: str = "fixed") -> DataFrame:
+    """A note on each document."""
+    return fx.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("urn"), F.concat(F.lit("inc_"), F.col("doc_id")).alias("incident_id"),
+        F.lit("2026-08-01").cast("timestamp").alias("ts"), F.lit(text).alias("text"),
+    )
+
+
+def old_notes(spark, sf) -> DataFrame:
+    return asset_notes(spark, sf).filter(F.col("urn") % 20 == 0)
+
+
 @query(
     "E10_note_append",
-    sql(_NOTED, f"""SELECT urn, case when contains(description, 'Incident history (inc_' || urn || ')') then description
-        else substr(description || {_SEP} || ' (inc_' || urn || ')' || chr(10) || chr(10) || 'Field: amount', 1, 9000) END AS description,
-        (SELECT lang FROM documents WHERE doc_id = urn) || ',incident-remediated' AS tags FROM noted"""),
+    sql(_NOTED, """SELECT a.urn, description || chr(10) || chr(10) || '[inc_' || a.urn || '] ' || coalesce(n.text, 'Field: amount') AS description,
+        lang || ',incident-remediated' AS tags
+        FROM noted a LEFT JOIN notes n ON a.urn = n.urn"""),
 )
 def note_append(spark, sf):
-    incident = F.concat(F.lit("inc_"), F.col("urn"))
-    return noted_assets(spark, sf).select(
-        "urn",
-        K.with_note(F.col("description"), incident, F.lit("Field: amount")).alias("description"),
-        F.array_join(K.with_tag(F.col("tags")), ",").alias("tags"),
+    once = K.append_notes(old_notes(spark, sf), asset_notes(spark, sf, "Field: amount"))
+    return K.render_notes(noted_assets(spark, sf), once).select(
+        "urn", "description", F.array_join(K.with_tag(F.col("tags")), ",").alias("tags")
     )
 
 
-@query("E11_contamination", sql(_NOTED, "SELECT urn FROM noted WHERE contains(description, 'Incident history (')"))
+@query("E11_contamination", sql(_NOTED, "SELECT urn FROM noted WHERE urn IN (SELECT urn FROM notes)"))
 def contamination(spark, sf):
-    return K.contaminated(noted_assets(spark, sf)).select("urn")
+    return K.contaminated(noted_assets(spark, sf), old_notes(spark, sf)).select("urn")
 
 
 @query(
     "E12_scrub",
-    sql(_NOTED, r"""SELECT urn, case when contains(description, 'Incident history (')
-          then regexp_replace((SELECT text FROM documents WHERE doc_id = urn), '^\s+|\s+$', '', 'g') else description END AS description,
-        (SELECT lang FROM documents WHERE doc_id = urn) AS tags,
-        contains(description, 'Incident history (') AS note_cleared, tagged AS tag_removed FROM noted"""),
+    sql(_NOTED, """SELECT urn, description, lang AS tags, urn IN (SELECT urn FROM notes) AS note_cleared, tagged AS tag_removed FROM noted"""),
 )
 def scrub(spark, sf):
-    return K.scrub(noted_assets(spark, sf)).withColumn("tags", F.array_join("tags", ","))
+    return K.scrub(noted_assets(spark, sf), old_notes(spark, sf)).withColumn("tags", F.array_join("tags", ","))
 
 
 @query(
     "E12_scrub_counts",
-    sql(_NOTED + "," + ASSETS, """SELECT (SELECT count(*) FROM noted WHERE contains(description, 'Incident history (')) AS notes_cleared,
+    sql(_NOTED + "," + ASSETS, """SELECT (SELECT count(*) FROM noted WHERE urn IN (SELECT urn FROM notes)) AS notes_cleared,
         (SELECT count(*) FROM noted WHERE tagged) AS tags_removed,
         (SELECT count(*) FROM asset_incidents WHERE state = 'ACTIVE') AS incidents_resolved"""),
 )
 def scrub_counts(spark, sf):
-    cleaned = K.scrub(noted_assets(spark, sf)).select(
+    cleaned = K.scrub(noted_assets(spark, sf), old_notes(spark, sf)).select(
         F.col("note_cleared").cast("int").alias("a"), F.col("tag_removed").cast("int").alias("b"), F.lit(0).alias("c")
     )
     resolved = K.resolve_active(asset_incidents(spark, sf)).select(

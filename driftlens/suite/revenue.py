@@ -151,7 +151,7 @@ def percent_delta(spark, sf):
 def guarded_query(spark, sf):
     text = """SELECT payment_processor, count(*) AS n FROM stg_orders
               WHERE amount > 250000 GROUP BY payment_processor"""
-    return guarded.run_sql(spark, text, {"stg_orders": natural_staged(spark, sf)})
+    return guarded.run_sql(spark, text, {"stg_orders": natural_staged(spark, sf)}).rows
 
 
 # --- joins ----------------------------------------------------------------------

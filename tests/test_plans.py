@@ -16,25 +16,48 @@ from driftlens.sources import files as S
     "text",
     [
         "DROP TABLE t", "INSERT INTO t VALUES (1)", "SELECT 1; SELECT 2", "SELECT * FROM read_csv('/etc/hosts')",
-        "SELECT java_method('java.lang.System', 'getenv')", "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM x", "",
+        "SELECT java_method('java.lang.System', 'getenv')", "SELECT reflect('java.lang.System', 'getenv')",
+        "SELECT try_reflect('java.lang.System', 'getenv')",
+        "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM x", "",
+        "SELECT TRANSFORM(x) USING 'cat' AS (y string) FROM (SELECT 1 AS x)",
+        "FROM (SELECT 1 AS x) MAP x USING 'cat' AS y", "FROM (SELECT 1 AS x) REDUCE x USING 'cat' AS y",
+        "SELECT (SELECT max(y) FROM (SELECT TRANSFORM(x) USING 'cat' AS (y string) FROM (SELECT 1 AS x)))",
+        "WITH c AS (SELECT TRANSFORM(1) USING 'cat' AS (y string)) SELECT * FROM c",
+        "SELECT 1 WHERE EXISTS (SELECT TRANSFORM(1) USING 'cat' AS (y string))",
+        "SET spark.sql.ansi.enabled=false", "CACHE TABLE t", "ADD JAR 'x.jar'", "SHOW TABLES", "SELECT * FROM range(3)",
     ],
 )
 def test_guard_refuses(spark, text):
-    with pytest.raises(ValueError):
+    with pytest.raises(guarded.Refused):
         guarded.run_sql(spark, text)
 
 
-def test_guard_runs_and_limits(spark, tmp_path):
+def test_guard_runs_and_reports_a_cut(spark, tmp_path):
     t = spark.range(200).toDF("x")
-    assert guarded.run_sql(spark, "select x from t_guard;", {"t_guard": t}).count() == guarded.ROW_LIMIT
-    assert guarded.run_sql(spark, "SELECT 1 AS x").collect()[0]["x"] == 1
+    whole = guarded.run_sql(spark, "select x from t_guard;", {"t_guard": t})
+    assert whole.rows.count() == 200 and not whole.truncated
+    some = guarded.run_sql(spark, "select x from t_guard", {"t_guard": t}, limit=50)
+    assert some.rows.count() == 50 and some.truncated
+    assert not guarded.run_sql(spark, "select x from t_guard", {"t_guard": t}, limit=200).truncated
+    assert guarded.run_sql(spark, "SELECT 1 AS x").rows.collect()[0]["x"] == 1
+    many = """WITH a AS (SELECT x % 7 AS k, count(*) AS n FROM t_guard GROUP BY 1 HAVING count(*) > 1)
+              SELECT k, n, row_number() OVER (ORDER BY n) AS r FROM a WHERE n > (SELECT min(n) FROM a) UNION SELECT 0, 0, 0 ORDER BY 1 LIMIT 3"""
+    assert guarded.run_sql(spark, many, {"t_guard": t}).rows.count() == 3
     path = str(tmp_path / "p")
     t.write.parquet(path)
     with pytest.raises(Exception):
-        guarded.run_sql(spark, f"SELECT * FROM parquet.`{path}`").collect()
+        guarded.run_sql(spark, f"SELECT * FROM parquet.`{path}`").rows.collect()
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
 
 
+def test_guard_gives_views_back(spark):
+    spark.range(3).createOrReplaceTempView("t_mine")
+    assert guarded.run_sql(spark, "SELECT * FROM t_mine", {"t_mine": spark.range(5)}).rows.count() == 5
+    assert spark.table("t_mine").count() == 3
+    guarded.run_sql(spark, "SELECT * FROM t_theirs", {"t_theirs": spark.range(5)})
+    assert not spark.catalog.tableExists("t_theirs")
+
+
 def test_profile_uses_calendar_days_and_all_segment(spark):
     rows = [(dt.datetime(2026, 1, 1), 1.0, "a"), (dt.datetime(2026, 1, 10), 2.0, "a"), (dt.datetime(2026, 1, 12), None, "b")]
     df = spark.createDataFrame(rows, "order_ts timestamp_ntz, amount double, p string")
@@ -79,18 +102,27 @@ def test_malformed_transcript_lines_are_skipped(spark):
 
 
 def test_notes_round_trip(spark):
-    df = spark.createDataFrame([("u", "Daily orders.", ["kpi"])], "urn string, description string, tags array<string>")
-    once = df.withColumn("description", K.with_note(F.col("description"), F.lit("inc_1"), F.lit("- Field: amount")))
-    twice = once.withColumn("description", K.with_note(F.col("description"), F.lit("inc_1"), F.lit("- Field: amount")))
-    assert once.first()["description"] == twice.first()["description"]
-    other = once.withColumn("description", K.with_note(F.col("description"), F.lit("inc_2"), F.lit("x")))
-    assert other.first()["description"].count(K.NOTE_HEADING) == 2
-    tagged = other.withColumn("tags", K.with_tag(F.col("tags")))
-    assert K.contaminated(tagged).count() == 1
-    clean = K.scrub(tagged).first()
-    assert clean["description"] == "Daily orders." and clean["tags"] == ["kpi"]
-    assert clean["note_cleared"] and clean["tag_removed"]
-    assert not K.scrub(df).first()["note_cleared"]
+    text = "wörter " * 20_000 + "end"
+    df = spark.createDataFrame([("u", text, ["kpi"]), ("v", None, None)], "urn string, description string, tags array<string>")
+    none = spark.createDataFrame([], "urn string, incident_id string, ts timestamp, text string")
+    at = dt.datetime(2026, 1, 1)
+    batch = spark.createDataFrame(
+        [("u", "inc_1", at, "Field: amount"), ("u", "inc_1", at + dt.timedelta(1), "later"), ("u", "inc_2", at + dt.timedelta(2), "x"), ("v", "inc_1", at, "y")],
+        none.schema,
+    )
+    once = K.append_notes(none, batch)
+    twice = K.append_notes(once, batch)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) and once.count() == 3
+    shown = {r["urn"]: r["description"] for r in K.render_notes(df, twice).collect()}
+    assert shown["u"] == text + "\n\n[inc_1] Field: amount\n\n[inc_2] x"
+    assert {r["urn"] for r in K.contaminated(df, twice).collect()} == {"u", "v"}
+    tagged = df.withColumn("tags", K.with_tag(F.col("tags")))
+    clean = {r["urn"]: r for r in K.scrub(tagged, twice).collect()}
+    assert clean["u"]["description"] == text and clean["u"]["tags"] == ["kpi"]
+    assert clean["u"]["note_cleared"] and clean["u"]["tag_removed"]
+    left = K.scrub_notes(twice, df.filter("urn = 'u'"))
+    assert [r["urn"] for r in left.collect()] == ["v"]
+    assert not K.scrub(df, none).first()["note_cleared"]
 
 
 def test_search_ranks_whole_words(spark):
@@ -98,8 +130,11 @@ def test_search_ranks_whole_words(spark):
         [("u1", "exec_revenue", "Executive revenue KPI"), ("u2", "orders", "revenues only"), ("u3", "fct", "revenue fact")],
         "urn string, name string, description string",
     )
-    got = [(r["urn"], r["score"]) for r in K.search(assets, "Executive REVENUE").collect()]
+    got = [(r["urn"], r["score"]) for r in K.search(assets, "Executive REVENUE", 20).collect()]
     assert got == [("u1", 2), ("u3", 1)]
+    other = spark.createDataFrame([("u1", "größe", "gr e"), ("u2", "gr", "e"), ("u3", "слово", "")], assets.schema)
+    assert [r["urn"] for r in K.search(other, "Größe", 5).collect()] == ["u1"]
+    assert [r["urn"] for r in K.search(other, "Слово", 5).collect()] == ["u3"]
 
 
 def test_layers_and_urns(spark):
