@@ -242,12 +242,12 @@ _CASE = f"""if(check IN ('kpi_day_latest', 'kpi_revenue_latest'), '{KPI_CASE}',
     concat_ws(':', check, if(param <> '', param, null))) AS name"""
 
 
-def tally(results: DataFrame, message_chars: int = 400) -> DataFrame:
-    """Total, passed, failed and the failing cases with shortened messages."""
+def tally(results: DataFrame) -> DataFrame:
+    """Total, passed, failed and the failing cases with their messages."""
     cases = agg_sql(
         results.groupBy(F.expr(_CASE)), "every(passed) AS passed", "min(message) AS message"
     )
-    failure = f"named_struct('name', name, 'message', substring(message, 1, {message_chars}))"
+    failure = "named_struct('name', name, 'message', message)"
     return agg_sql(
         cases,
         "count(*) AS total",

@@ -15,7 +15,7 @@ from driftlens.operators.quantiles import median_by
 from driftlens.plans.revenue import lagged_median, usd_orders
 
 
-def integer_share(orders: DataFrame, segment: str, max_rows: int | None = None) -> DataFrame:
+def integer_share(orders: DataFrame, segment: str) -> DataFrame:
     """Share of whole-number amounts per day and cohort: the minor-unit fingerprint."""
     rows = orders.select(F.col("order_day").alias("day"), F.col(segment).alias("segment"), "amount")
     out = median_by(
@@ -26,7 +26,6 @@ def integer_share(orders: DataFrame, segment: str, max_rows: int | None = None)
             F.min("amount").alias("min"),
             F.max("amount").alias("max"),
         ],
-        max_rows=max_rows,
     )
     return out.select(
         "day", "segment", "n", "integer_count",

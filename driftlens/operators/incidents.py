@@ -94,10 +94,6 @@ def without(incidents: DataFrame, ids: DataFrame) -> DataFrame:
     return incidents.join(ids.select("incident_id").distinct(), "incident_id", "left_anti")
 
 
-# Length limits of an incident record.
-TITLE_LIMIT, DESCRIPTION_LIMIT, MESSAGE_LIMIT = 200, 4500, 900
-
-
 def raised_records(causes: DataFrame, nodes: DataFrame) -> DataFrame:
     """ACTIVE records over the cause and its affected assets, one row per asset."""
     affected = nodes.filter(F.col("status").isin("affected", "root_cause")).select("incident_id", "urn")
@@ -106,7 +102,9 @@ def raised_records(causes: DataFrame, nodes: DataFrame) -> DataFrame:
         "incident_id", "urn", "ts",
         F.lit("ACTIVE").alias("state"),
         F.lit("INVESTIGATION").alias("phase"),
-        F.substring("summary", 1, TITLE_LIMIT).alias("title"),
+        F.col("summary").alias("title"),
+        F.concat(F.lit("Root cause: "), F.coalesce("summary", F.lit("")), F.lit("\nAsset: "), F.col("urn").cast("string")).alias("description"),
+        F.lit(None).cast("string").alias("message"),
     )
 
 
@@ -115,14 +113,20 @@ def resolved_records(raised: DataFrame, repairs: DataFrame) -> DataFrame:
     fixed = repairs.select("incident_id", F.col("ts").alias("_ts"))
     return raised.join(fixed, "incident_id").select(
         "incident_id", "urn", F.col("_ts").alias("ts"),
-        F.lit("RESOLVED").alias("state"), F.lit("FIXED").alias("phase"), "title",
+        F.lit("RESOLVED").alias("state"), F.lit("FIXED").alias("phase"), "title", "description",
+        F.concat(F.lit("Verified repair of: "), F.coalesce("title", F.lit(""))).alias("message"),
     )
 
 
 def upsert_latest(current: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Newest version per key of two sets of rows."""
+    """Newest version per key of two sets of rows.
+
+    At equal times a change wins over what was there, and further ties go to the larger
+    row, so the result does not depend on the order in which rows arrive.
+    """
     rest = [c for c in current.columns if c not in keys]
-    newest = current.unionByName(changes).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v"))
+    both = current.withColumn("_rank", F.lit(0)).unionByName(changes.withColumn("_rank", F.lit(1)))
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "_rank", *rest)).alias("_v"))
     return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 

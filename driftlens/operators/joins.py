@@ -1,4 +1,4 @@
-"""Size-checked broadcast joins."""
+"""Join helpers."""
 
 from __future__ import annotations
 
@@ -6,28 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counting stops one past the limit."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str] | str,
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join that broadcasts ``small`` only after counting it.
-
-    Past the limit no hint is given: Spark shuffles both sides and AQE splits any
-    skewed partition of ``big``.
-    """
-    return big.join(F.broadcast(small) if is_small(small, max_rows) else small, on, how)
-
 
 def null_safe(left: list[str], right: list[str]) -> Column:
     """Pairwise equality of two column lists in which NULL matches NULL, as in GROUP BY."""
@@ -36,5 +14,8 @@ def null_safe(left: list[str], right: list[str]) -> Column:
 
 
 def anti_rows(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``left`` without a partner; ``right`` is reduced to its keys first."""
-    return join_small(left, right.select(*on).distinct(), on, "left_anti")
+    """Rows of ``left`` without a partner; ``right`` is reduced to its keys first.
+
+    No hint is given: Catalyst and AQE broadcast the keys by their bytes, or split skew.
+    """
+    return left.join(right.select(*on).distinct(), on, "left_anti")

@@ -2,15 +2,14 @@
 
 One distributed join per hop serves every root. Each hop is written to the shared
 folder before the next one starts, so plans stay short and a lost executor costs one
-hop. A hop's size is observed while it is written: it decides the join and ends the
-loop.
+hop. A hop's rows are counted while it is written, which ends the loop; its bytes are
+known to Catalyst, which picks the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from driftlens.operators.joins import BROADCAST_ROWS
 from driftlens.session import scratch_dir
 
 DIRECTIONS = ("UPSTREAM", "DOWNSTREAM")
@@ -33,10 +32,6 @@ def _store(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, dict
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def roots_of(spark: SparkSession, edges: DataFrame, *urns) -> DataFrame:
     """Start nodes typed like the graph's own ids."""
     kind = edges.schema["source"].dataType
@@ -71,7 +66,7 @@ def reach(
     schema = None
     while rows and (max_hops is None or hop < max_hops):
         hop += 1
-        layer = _neighbours(edges, _sized(frontier, rows), direction).withColumn("hop", F.lit(hop))
+        layer = _neighbours(edges, frontier, direction).withColumn("hop", F.lit(hop))
         schema = layer.schema
         if layers:
             layer = layer.unionByName(spark.read.schema(schema).parquet(*layers))
@@ -122,29 +117,27 @@ def attach_columns(edges: DataFrame, column_lineage: DataFrame) -> DataFrame:
 
 
 def column_key(asset: Column, column: Column) -> Column:
-    return F.concat_ws("#", asset.cast("string"), column)
+    """A column as a node: a struct, so any character may occur in either name."""
+    return F.struct(asset.cast("string").alias("asset"), column.alias("column"))
 
 
 def column_edges(column_lineage: DataFrame) -> DataFrame:
-    """Column lineage as an edge list over ``asset#column`` ids."""
+    """Column lineage as an edge list over (asset, column) nodes."""
     return column_lineage.select(
         column_key(F.col("source"), F.col("source_col")).alias("source"),
         column_key(F.col("target"), F.col("target_col")).alias("target"),
     )
 
 
-def split_column_key(key: Column) -> tuple[Column, Column]:
-    return F.substring_index(key, "#", 1), F.substring_index(key, "#", -1)
-
-
 def column_reach(
     column_lineage: DataFrame, asset, column: str, direction: str, max_hops: int | None = None
 ) -> DataFrame:
     """(urn, column, hop) reached from one column over column edges."""
     edges = column_edges(column_lineage)
-    roots = roots_of(edges.sparkSession, edges, f"{asset}#{column}")
-    urn, name = split_column_key(F.col("urn"))
-    return reach(edges, roots, direction, max_hops).select(urn.alias("urn"), name.alias("column"), "hop")
+    roots = edges.sparkSession.range(1).select(column_key(F.lit(asset), F.lit(column)).alias("urn"))
+    return reach(edges, roots, direction, max_hops).select(
+        F.col("urn.asset").alias("asset"), F.col("urn.column").alias("column"), "hop"
+    ).withColumnRenamed("asset", "urn")
 
 
 def blast_radius(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -153,7 +146,7 @@ def blast_radius(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
-    """One row (hops, path) of a shortest path, or no row.
+    """One row (hops, path) of a shortest path, or no row; a node reaches itself in no hop.
 
     Among equally short paths the least one by node order is kept at every node.
     """
@@ -162,12 +155,12 @@ def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
     pairs = edges.select("source", F.col("target").alias("_next"))
     first = roots_of(spark, edges, start).select("urn", F.array("urn").alias("path"))
     frontier, stats = _store(first, f"{base}/hop-0")
-    layers, hop, hits = [f"{base}/hop-0"], 0, 0
+    layers, hop, hits = [f"{base}/hop-0"], 0, int(start == goal)
     while stats["rows"] and not hits:
         hop += 1
         visited = spark.read.schema(first.schema).parquet(*layers).select("urn")
         step = (
-            pairs.join(_sized(frontier, stats["rows"]), F.col("source") == F.col("urn"))
+            pairs.join(frontier, F.col("source") == F.col("urn"))
             .select(F.col("_next").alias("urn"), F.array_append("path", F.col("_next")).alias("path"))
             .groupBy("urn").agg(F.min("path").alias("path"))
             .join(visited, "urn", "left_anti")
@@ -184,7 +177,7 @@ def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
 def merge_first_seen(sightings: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """One row per key: the earliest sighting wins, later ones change nothing."""
     rest = [c for c in sightings.columns if c not in keys]
-    first = sightings.groupBy(*keys).agg(F.min_by(F.struct(*rest), arrival).alias("_first"))
+    first = sightings.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(arrival, *rest)).alias("_first"))
     return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 

@@ -51,7 +51,7 @@ def profile_column(
         if name is not None and name not in df.columns:
             raise ValueError(f"unknown column {name!r}")
     when = time_column or pick_time_column(df)
-    rows, total = recent(df, when, last_days)
+    rows, _ = recent(df, when, last_days)
     segment = F.lit("all") if segment_by is None else F.col(segment_by)
     shaped = rows.select(
         F.col(when).cast("date").alias("day"), segment.alias("segment"), F.col(column).alias("x")
@@ -63,10 +63,7 @@ def profile_column(
         F.max("x").alias("max"),
         null_rate(F.col("x")).alias("null_rate"),
     ]
-    out = median_by(
-        shaped, ["day", "segment"], "x", stats,
-        max_groups=last_days if segment_by is None else None, max_rows=total,
-    )
+    out = median_by(shaped, ["day", "segment"], "x", stats)
     return out.select(
         "day", "segment", "n",
         *[round_to(F.col(c), 4).alias(c) for c in ("mean", "median", "min", "max", "null_rate")],
@@ -78,7 +75,7 @@ def sorted_values(column: str) -> Column:
     return F.array_sort(F.collect_set(column))
 
 
-def daily_profile(orders: DataFrame, max_rows: int | None = None, max_days: int | None = None) -> DataFrame:
+def daily_profile(orders: DataFrame) -> DataFrame:
     """Per-day baseline profile of the amount, with the processors seen that day."""
     stats = [
         F.count(F.lit(1)).alias("row_count"),
@@ -89,7 +86,7 @@ def daily_profile(orders: DataFrame, max_rows: int | None = None, max_days: int
     ]
     numbers = median_by(
         orders.select("order_day", "amount"), ["order_day"], "amount", stats,
-        name="amount_median", max_groups=max_days, max_rows=max_rows,
+        name="amount_median",
     )
     processors = (
         orders.select("order_day", "payment_processor").distinct()

@@ -2,12 +2,12 @@
 
 ``median()`` keeps every distinct value of a group in one buffer, which fails when a
 single day holds a third of the table. Here a mergeable sketch first brackets the
-middle of each group. On large inputs a second pass counts the rows of each slice of
-the bracket and narrows it to the slices that hold the middle ranks. The last pass
-counts what lies below the bracket and ranks only the distinct values inside. All
-passes combine map-side, so a hot group costs each task a bounded number of rows. The
-result is exact, not an estimate: sketch and slices only decide which values are worth
-ranking, and a bracket that missed the middle raises an error.
+middle of each group. A second pass counts the rows below, above and in each slice of the
+bracket, and takes the range of those that hold the middle ranks: it narrows a good
+bracket and widens one that missed. The last pass counts what lies below that range and
+ranks only the distinct values inside. All passes combine map-side, so a hot group costs
+each task a bounded number of rows. The result is exact, not an estimate: sketch and slices
+only decide which values are worth ranking. There is this one path for every size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftlens.operators.joins import BROADCAST_ROWS, is_small, null_safe
+from driftlens.operators.joins import null_safe
 from driftlens.session import materialize
 
 # The sketch is off by at most 1/ACCURACY of the ranks; the bracket is five times wider.
@@ -26,12 +26,6 @@ MARGIN = 5.0 / ACCURACY
 # Slices of the bracket counted by the narrowing pass.
 SLICES = 4096
 
-# Up to this many rows the bracket alone leaves few enough values to rank.
-NARROW_ROWS = 1_000_000_000
-
-# Up to this many rows in total the whole input fits one aggregation buffer.
-BUFFER_ROWS = 1_000_000
-
 BELOW, INSIDE, ABOVE, MISSING = -1, 0, SLICES, SLICES + 1
 LOW_RANK, HIGH_RANK = "(_n - 1) div 2", "_n div 2"
 
@@ -57,7 +51,7 @@ def _covers(rank: str) -> str:
 
 
 def _narrow(rows: DataFrame, keys: list[str], extras: list[str]) -> DataFrame:
-    """A bracket just wide enough for the slices that hold the middle ranks.
+    """The range of the slices that hold the middle ranks, those beside the bracket included.
 
     ``rows`` carry their group's bracket. A slice number never decreases as the value
     grows, so the slices are in value order; there are at most SLICES + 3 per group.
@@ -76,28 +70,14 @@ def _narrow(rows: DataFrame, keys: list[str], extras: list[str]) -> DataFrame:
 
 
 def median_by(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    stats: Sequence[Column] = (),
-    name: str = "median",
-    max_groups: int | None = None,
-    max_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, stats: Sequence[Column] = (), name: str = "median"
 ) -> DataFrame:
     """``keys``, the aggregates ``stats`` and the interpolated median of ``value``.
 
-    ``max_rows`` is a row count the caller has measured: up to ``BUFFER_ROWS`` no
-    group can outgrow a task and the built-in ``median`` does it in one pass; up to
-    ``NARROW_ROWS`` the narrowing pass is not needed.
-    ``max_groups`` is a bound on the number of groups the caller can prove (days in
-    a calendar). Without one, or when it is large, the per-group summary is written
-    once and counted: it is broadcast when small and joined by shuffle otherwise. The
-    written copy also keeps its sums fixed if a shuffled task has to run again.
+    The per-group summary is written once: Catalyst then knows its bytes and picks the join,
+    and its sums stay fixed if a shuffled task has to run again.
     """
     keys = list(keys)
-    if max_rows is not None and max_rows <= BUFFER_ROWS:
-        exact = F.median(F.col(value).cast("double")).alias(name)
-        return df.groupBy(*keys).agg(*stats, exact)
     rows = df.withColumn("_v", F.col(value).cast("double"))
     summary = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("_edges"),
@@ -106,36 +86,25 @@ def median_by(
     )
     extras = [c for c in summary.columns if c not in {*keys, "_edges"}]
     theirs = [f"_key{i}" for i in range(len(keys))]
-    summary = summary.select(
+    summary = materialize(summary.select(
         *[F.col(k).alias(t) for k, t in zip(keys, theirs)],
         *extras,
         F.col("_edges")[0].alias("_lo"),
         F.col("_edges")[1].alias("_hi"),
-    )
-    small = max_groups is not None and max_groups <= BROADCAST_ROWS
-    if not small:
-        summary = materialize(summary, "median-summary")
-        small = is_small(summary, BROADCAST_ROWS)
-
+    ), "median-summary")
     slim = rows.select(*keys, "_v")
 
     def with_bracket(brackets: DataFrame) -> DataFrame:
-        side = F.broadcast(brackets) if small else brackets
-        return slim.join(side, null_safe(keys, theirs)).drop(*theirs)
+        return slim.join(brackets, null_safe(keys, theirs)).drop(*theirs)
 
-    if max_rows is None or max_rows > NARROW_ROWS:
-        narrow = _narrow(with_bracket(summary), keys, extras)
-        summary = narrow.withColumnsRenamed(dict(zip(keys, theirs)))
+    narrow = _narrow(with_bracket(summary), keys, extras)
+    ranges = materialize(narrow.withColumnsRenamed(dict(zip(keys, theirs))), "median-ranges")
     counts = (
-        with_bracket(summary)
+        with_bracket(ranges)
         .withColumn("_side", _side(F.lit(INSIDE)))
         .groupBy(*keys, *extras, "_side", F.when(F.col("_side") == INSIDE, F.col("_v")).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     low, high = (F.expr(f"max(if({_covers(r)}, _x, null))") for r in (LOW_RANK, HIGH_RANK))
     middle = _running(counts, keys, "_side", "_x").groupBy(*keys, *extras).agg(low.alias("_a"), high.alias("_b"))
-    median = F.expr(
-        "if(_n > 0 AND (_a IS NULL OR _b IS NULL),"
-        " cast(raise_error('median fell outside its bracket') AS double), (_a + _b) / 2)"
-    )
-    return middle.select(*keys, *[c for c in extras if c != "_n"], median.alias(name))
+    return middle.select(*keys, *[c for c in extras if c != "_n"], F.expr("(_a + _b) / 2").alias(name))

@@ -133,13 +133,8 @@ def usd_orders(orders: DataFrame, rates: DataFrame, how: str = "inner") -> DataF
     )
 
 
-def daily_revenue(
-    orders: DataFrame, rates: DataFrame, max_days: int | None = None, max_rows: int | None = None
-) -> DataFrame:
-    """Order count, revenue, mean and median order value per day, in base currency.
-
-    ``max_days`` and ``max_rows`` are bounds the caller has measured.
-    """
+def daily_revenue(orders: DataFrame, rates: DataFrame) -> DataFrame:
+    """Order count, revenue, mean and median order value per day, in base currency."""
     priced = usd_orders(orders.select("order_day", "currency", "amount"), rates).select(
         F.col("order_day").alias("day"), "usd"
     )
@@ -153,8 +148,6 @@ def daily_revenue(
             F.avg("usd").alias("_avg"),
         ],
         name="_median",
-        max_groups=max_days,
-        max_rows=max_rows,
     )
     return daily.select(
         "day",
@@ -212,8 +205,7 @@ def build(
     orders = stage_orders(raw_orders, excluded, amount)
     first, last, rows = order_bounds(orders)
     rates = materialize(stage_fx_rates(raw_fx_rates, first, last), "stg_fx_rates")
-    days = 0 if first is None else (last - first).days + 1
-    daily = daily_revenue(orders, rates, max_days=days, max_rows=rows)
+    daily = daily_revenue(orders, rates)
     if store_daily:
         daily = materialize(daily, "fct_revenue")
     return Warehouse(

@@ -22,11 +22,19 @@ def live_stages(events: DataFrame) -> DataFrame:
     )
 
 
-def publish(snapshots: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+RUN_ONCE = {"availableNow": True}
+
+
+def publish(
+    snapshots: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
     """Append each micro-batch's snapshots to a change log under ``path``.
 
     A batch writes its own folder in overwrite mode: replaying it after a failure
-    replaces the same rows instead of adding them again.
+    replaces the same rows instead of adding them again. ``trigger`` is what the stream
+    writer takes, such as ``{"processingTime": "10 seconds"}`` for a feed that keeps
+    running; without one, what is there is processed and the query ends. State beyond an
+    executor's memory needs the RocksDB provider in ``spark.sql.streaming.stateStore.providerClass``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -37,7 +45,7 @@ def publish(snapshots: DataFrame, path: str, checkpoint: str | None = None) -> S
         snapshots.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", where)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or RUN_ONCE))
         .start()
     )
 

@@ -12,6 +12,7 @@ from driftlens.functions import numeric as N
 from driftlens.operators import evidence as E, grading as G, incidents as I
 from driftlens.suite import inputs as fx
 from driftlens.suite.oracle import rnd, sql
+from driftlens.session import materialize
 from driftlens.suite.registry import query
 
 MISSING = 1_000_000_000  # added to an id to cite a fact that does not exist
@@ -122,13 +123,15 @@ def judged(spark, sf) -> DataFrame:
 
 @query(
     "E1_ledger_append",
-    sql(LEDGER, """SELECT incident_id, evidence_id, kind, source, case when data LIKE '%"via"%' then 'bridge'
+    sql(LEDGER, """SELECT incident_id, evidence_id, kind, source, case when evidence_id % 7 = 0 then 'manual' when data LIKE '%"via"%' then 'bridge'
         else case source when 'warehouse' then 'duckdb' when 'pipeline' then 'pytest' when 'git' then 'git'
         when 'agent' then 'agent' end end AS transport FROM evidence"""),
 )
 def ledger_append(spark, sf):
-    items = evidence(spark, sf)
-    return E.append_items(items.limit(0), items).select("incident_id", "evidence_id", "kind", "source", "transport")
+    """Half of the facts are in the ledger already; every seventh says its transport itself."""
+    items = evidence(spark, sf).withColumn("transport", F.when(F.col("evidence_id") % 7 == 0, "manual").otherwise(F.col("transport")))
+    ledger = materialize(E.resolve_transport(items.filter("evidence_id % 2 = 0")), "ledger")
+    return E.append_items(ledger, items.filter("evidence_id % 2 <> 0")).select("incident_id", "evidence_id", "kind", "source", "transport")
 
 
 @query(
@@ -372,17 +375,17 @@ def causes(spark, sf) -> DataFrame:
         raised AS (SELECT DISTINCT incident_id, urn FROM (SELECT incident_id, 'click' AS urn FROM causes
           UNION ALL SELECT incident_id, urn FROM nodes WHERE status IN ('affected', 'root_cause')))""",
         """SELECT r.incident_id, r.urn, case when c.repaired then 'RESOLVED' else 'ACTIVE' end AS state,
-           case when c.repaired then 'FIXED' else 'INVESTIGATION' end AS phase, c.summary AS title
+           case when c.repaired then 'FIXED' else 'INVESTIGATION' end AS phase, c.summary AS title,
+           'Root cause: ' || c.summary || chr(10) || 'Asset: ' || r.urn AS description,
+           case when c.repaired then 'Verified repair of: ' || c.summary end AS message
            FROM raised r JOIN causes c ON r.incident_id = c.incident_id"""),
 )
 def incident_records(spark, sf):
     cause = causes(spark, sf)
     raised = I.raised_records(cause, incident_nodes(spark, sf))
-    repaired = cause.filter(F.col("largest") > 220).select(
-        "incident_id", (F.col("ts") + F.expr("interval 1 day")).alias("ts")
-    )
+    repaired = cause.filter(F.col("largest") > 220).select("incident_id", "ts")
     latest = I.upsert_latest(raised, I.resolved_records(raised, repaired), ["incident_id", "urn"], "ts")
-    return latest.select("incident_id", "urn", "state", "phase", "title")
+    return latest.select("incident_id", "urn", "state", "phase", "title", "description", "message")
 
 
 @query(

@@ -11,14 +11,11 @@ from driftlens.suite.ledger import STAGED, stage_events
 from driftlens.suite.oracle import sql
 from driftlens.suite.registry import query
 
-SLICES = 2
-
-
 def _event_stream(spark, sf) -> DataFrame:
-    """Stage events laid out as several files and read as a stream, a file per batch."""
+    """Stage events as their table's files give them, read as a stream, a file per batch."""
     path = scratch_dir(spark, "stage-events")
     events = stage_events(spark, sf)
-    events.repartition(SLICES, "event_id").write.parquet(path)
+    events.write.parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -42,6 +39,8 @@ def live_incident_state(spark, sf):
 def snapshot_then_changes(spark, sf):
     """A consumer that took a snapshot after the first batch and then read the changes."""
     log = spark.read.parquet(_publish(spark, sf))
-    snapshot = live.current_state(log.filter("batch_id = 0")).withColumn("batch_id", F.lit(0))
+    compacted = scratch_dir(spark, "live-compacted")
+    live.compact(log.filter("batch_id = 0"), compacted)
+    snapshot = spark.read.parquet(compacted)
     later = live.changes_since(log, 0)
     return live.current_state(snapshot.unionByName(later)).select("incident_id", "stage", "updated_at")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from driftlens.functions.numeric import TIE_SCALE
 from driftlens.suite import inputs as fx
 
 
 def rnd(expr: str, digits: int) -> str:
-    scale = 6 if digits <= 4 else digits + 3
-    return f"cast(round(cast({expr} as decimal(38,{scale})), {digits}) as double)"
+    return f"cast(round(cast({expr} as decimal(38,{TIE_SCALE})), {digits}) as double)"
 
 
 def _mix() -> str:

@@ -311,13 +311,12 @@ _FINGERPRINT = f"""SELECT order_day AS day, payment_processor AS segment, count(
 
 @query("F1_integer_share", sql(_INC, _FINGERPRINT))
 def integer_share(spark, sf):
-    orders = incident_staged(spark, sf)
-    return X.integer_share(orders, "payment_processor", orders.count())
+    return X.integer_share(incident_staged(spark, sf), "payment_processor")
 
 
 @query("F1_integer_share_bracketed", sql(_INC, _FINGERPRINT))
 def integer_share_bracketed(spark, sf):
-    """The fingerprint through the bracketed median, with a measured broadcast."""
+    """The fingerprint once more, per cohort of the same staged layer."""
     return X.integer_share(incident_staged(spark, sf), "payment_processor")
 
 

@@ -281,19 +281,25 @@ _DAY_COUNTS = """SELECT coalesce(r.day, s.day) AS day, coalesce(r.n, 0) AS raw_r
 
 @query(
     "J13_row_reconciliation",
-    sql(stage_ctes("natural"), """SELECT (SELECT count(*) FROM stg_orders) AS staged_rows,
-        (SELECT count(*) FROM raw_orders WHERE status <> 'P') AS raw_rows, true AS matches"""),
+    sql(stage_ctes("natural"), """SELECT 'intact' AS layer, count(*) AS staged_rows,
+        (SELECT count(*) FROM raw_orders WHERE status <> 'P') AS raw_rows, count(*) = (SELECT count(*) FROM raw_orders WHERE status <> 'P') AS matches
+        FROM stg_orders UNION ALL
+        SELECT 'lossy', count(*), (SELECT count(*) FROM raw_orders WHERE status <> 'P'),
+        count(*) = (SELECT count(*) FROM raw_orders WHERE status <> 'P') FROM stg_orders WHERE order_id % 97 <> 0"""),
 )
 def row_reconciliation(spark, sf):
+    """Raw rows against the stored staged layer, and against one that lost rows on the way."""
     raw = fx.natural_orders(spark, sf)
-    kept = raw.filter(~F.col("status").isin(*fx.EXCLUDED)).select(F.lit("raw").alias("side"))
-    staged = R.stage_orders(raw, fx.EXCLUDED).select(F.lit("staged").alias("side"))
+    staged = materialize(R.stage_orders(raw, fx.EXCLUDED), "staged-layer")
+    kept = raw.filter(~F.col("status").isin(*fx.EXCLUDED))
+    sides = (
+        kept.select(F.explode(F.array(F.lit("intact"), F.lit("lossy"))).alias("layer"), F.lit(True).alias("is_raw"))
+        .unionByName(staged.select(F.lit("intact").alias("layer"), F.lit(False).alias("is_raw")))
+        .unionByName(staged.filter("order_id % 97 <> 0").select(F.lit("lossy").alias("layer"), F.lit(False).alias("is_raw")))
+    )
     return (
-        kept.unionByName(staged)
-        .agg(
-            F.count_if(F.col("side") == "staged").alias("staged_rows"),
-            F.count_if(F.col("side") == "raw").alias("raw_rows"),
-        )
+        sides.groupBy("layer")
+        .agg(F.count_if(~F.col("is_raw")).alias("staged_rows"), F.count_if("is_raw").alias("raw_rows"))
         .withColumn("matches", F.col("staged_rows") == F.col("raw_rows"))
     )
 
@@ -307,10 +313,9 @@ def daily_fact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A1_daily_fact_bracketed", sql(mart_ctes("natural"), "SELECT * FROM fct"))
 def daily_fact_bracketed(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily fact through the bracketed median that large tables use."""
+    """The daily fact from the layers of a build."""
     wh = natural_build(spark, sf)
-    days = (wh.last_day - wh.first_day).days + 1
-    return R.daily_revenue(wh.stg_orders, wh.stg_fx_rates, max_days=days)
+    return R.daily_revenue(wh.stg_orders, wh.stg_fx_rates)
 
 
 @query("A2_executive_kpi", sql(mart_ctes("incident"), "SELECT * FROM kpi"))
@@ -344,9 +349,7 @@ def column_profile_all(spark, sf):
       FROM stg_orders GROUP BY 1"""),
 )
 def daily_profile(spark, sf):
-    orders = natural_staged(spark, sf)
-    lo, hi, n = R.order_bounds(orders)
-    return P.daily_profile(orders, n, (hi - lo).days + 1).withColumn(
+    return P.daily_profile(natural_staged(spark, sf)).withColumn(
         "payment_processors", F.array_join("payment_processors", ",")
     )
 

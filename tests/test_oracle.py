@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from driftlens.suite import catalogue
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -19,7 +20,7 @@ SAMPLE = [
     "L11_estate_health", "E2_root_cause_gate", "E4_current_hypotheses", "E9_incident_records", "E12_scrub",
     "G1_positive_grade", "S6_transcript_scan", "R2_snapshot_then_changes", "U5_merge_first_seen",
 ]
-NAMES = sorted(entry_point.queries()) if os.environ.get("DRIFTLENS_ALL") else SAMPLE
+NAMES = sorted(catalogue.QUERIES) if os.environ.get("DRIFTLENS_ALL") else SAMPLE
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +46,7 @@ def normal(columns, rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 @pytest.mark.parametrize("name", NAMES)
