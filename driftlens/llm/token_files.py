@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -42,7 +43,8 @@ END_ID = 0
 FILE_BYTES = 256 << 20
 #: Chunks whose ids one Python worker keeps. A full table keeps what it has, which is what is
 #: frequent, and starts anew after four times as many misses.
-CHUNK_ENTRIES = 700_000
+CHUNK_ENTRIES = 900_000
+MARKS = ".,;:!?"
 #: Fixed values of the seekable format and of this file's own index frame.
 SKIPPABLE_SEEK = 0x184D2A5E
 SKIPPABLE_INDEX = 0x184D2A50
@@ -59,7 +61,7 @@ class FrameFile:
 
     def __init__(self, sink, wide: bool):
         self.sink, self.wide = sink, wide
-        self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True)
+        self.packer = zstandard.ZstdCompressor(level=1, write_checksum=True)
         self.entries, self.doc_ids, self.bytes, self.tokens = [], [], 0, 0
 
     def append(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -136,6 +138,7 @@ class LibraryEncoder:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.after_blank: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.turned_away = 0
 
     @property
@@ -156,13 +159,26 @@ class LibraryEncoder:
             known.clear()
             self.turned_away = 0
         new = [c for c in set().union(*[c[1:] for c in split.values()]) if c not in known]
-        fresh = dict(zip(new, self._ask([" " + c for c in new])))
-        if len(known) < CHUNK_ENTRIES and not self.turned_away:
-            known.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_CHARS)
-        else:
-            self.turned_away += len(new)
+        # Marks after a word are a piece of their own, so such a chunk is put together from both.
+        parts = {c: base for c in new if (base := c.rstrip(MARKS)) != c and base.isalpha()}
+        asked = list({parts.get(c, c) for c in new} - known.keys())
+        fresh = dict(zip(asked, self._ask([" " + c for c in asked])))
+        for c, base in parts.items():
+            marks = c[len(base) :]
+            if marks not in self.marks:
+                if len(self.marks) >= CHUNK_ENTRIES:
+                    self.marks.clear()
+                self.marks[marks] = self._ask([marks])[0]
+            fresh[c] = (known[base] if base in known else fresh[base]) + self.marks[marks]
+        keep = len(known) < CHUNK_ENTRIES and not self.turned_away
+        known.update(fresh)
         for n, chunks in split.items():
-            done[n] = firsts[n] + b"".join([known[c] if c in known else fresh[c] for c in chunks[1:]])
+            done[n] = firsts[n] + b"".join(map(known.__getitem__, islice(chunks, 1, None)))
+        if not keep:
+            self.turned_away += len(fresh)
+        for c in fresh:
+            if not keep or len(c) > CACHED_CHARS:
+                del known[c]
         return [np.frombuffer(done.get(n, b""), "<u4") for n in range(len(texts))]
 
 
