@@ -49,9 +49,15 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("doc_id", "text").alias("draw")
     )
-    order = Window.partitionBy("lang").orderBy("draw")
-    # The rank bound is applied before the shuffle, so a hot language sends few rows per task.
-    drawn = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PIECES_PER_LANGUAGE)
+    # The smallest draws of each language, by a rate that lets about twice as many through: a
+    # hot language sends no more rows to the ranking than any other.
+    rates = {r.lang: 2 * PIECES_PER_LANGUAGE / r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rates:
+        return {}
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
+    share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    drawn = rows.filter(share <= rate).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PIECES_PER_LANGUAGE)
     start = F.greatest(F.lit(1), F.floor((F.length("text") - PIECE_CHARS) / 2)).cast("int")
     pieces: dict[str, list[str]] = {}
     for row in drawn.select("lang", "n", F.col("text").substr(start, F.lit(PIECE_CHARS)).alias("piece")).orderBy("lang", "n").collect():
