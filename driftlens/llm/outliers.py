@@ -6,8 +6,8 @@ distances are counted in logarithmic bins together with the sums that mean and c
 need, the innermost bins that hold the wanted share give the next estimate. A step is one
 combined aggregate, so a source with a third of all rows costs one task nothing special. Two
 starts (medians with absolute deviations; plain moments) run side by side and the smaller
-determinant wins. Distances are scaled so that their median is that of the chi-squared
-distribution, and documents beyond its far tail are rejected.
+determinant wins. Distances are scaled down to the chi-squared median where the innermost share made
+them too large, and documents beyond that distribution's far tail are rejected.
 
 Cells of fewer than MIN_CELL documents pool by language, then with all that is left; a pool
 still smaller rejects nothing.
@@ -228,7 +228,8 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = materialize(statistics(docs), "outlier-statistics")
     rows = materialize(assign_models(rows), "outlier-rows")
     models = robust_estimates(rows.filter("not base_failed"))
-    scaled = _distance() * (chi_squared(0.0) / F.greatest(F.col("middle"), F.lit(1e-6)))
+    # Only ever down: where FLOORS rule, distances are small because nothing is far.
+    scaled = _distance() * F.least(F.lit(1.0), chi_squared(0.0) / F.greatest(F.col("middle"), F.lit(1e-6)))
     judged = rows.join(models, "model", "left").withColumn("distance", scaled)
     far = (F.col("distance") > chi_squared(CUT_Z)) & (F.col("n") >= MIN_CELL)
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
