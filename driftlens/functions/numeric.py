@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-#: Places kept before rounding: fine enough that only true ties count as ties.
-TIE_SCALE = 12
-
-
 def round_to(value: Column, digits: int) -> Column:
     """Round half away from zero through DECIMAL.
 
     Sums of doubles depend on addition order in their last bits; passing through a
-    decimal first makes a tie such as x.xx5 round the same way on every run.
+    decimal first makes a tie such as x.xx5 round the same way on every run. What lies
+    within half a millionth of a tie counts as one; a finer grid lets that noise decide.
     """
-    return F.round(value.cast(f"decimal(38,{TIE_SCALE})"), digits).cast("double")
+    scale = 6 if digits <= 4 else digits + 3
+    return F.round(value.cast(f"decimal(38,{scale})"), digits).cast("double")
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
