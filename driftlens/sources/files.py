@@ -79,8 +79,7 @@ def capture_baseline(daily: DataFrame, path: str) -> None:
 
 def capture_profiles(wh: Warehouse, customers: DataFrame, path: str) -> None:
     """Record the nested profile baseline of a healthy build."""
-    days = 0 if wh.first_day is None else (wh.last_day - wh.first_day).days + 1
-    per_day = daily_profile(wh.stg_orders, wh.order_rows, days).withColumn("day", F.col("day").cast("string"))
+    per_day = daily_profile(wh.stg_orders).withColumn("day", F.col("day").cast("string"))
     parts = {
         "stg_orders": per_day.agg(F.array_sort(F.collect_list(F.struct(*per_day.columns))).alias("per_day")),
         "stg_customers": table_profile(customers, ["customer_id", "segment"], "segment", "segments"),
