@@ -169,7 +169,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         F.sum(F.col("word_to") - F.col("word_from")).alias("words"),
     )
     keyed = placed.filter("size > 0").select("doc_id", "source", "src", "start", "size").join(drawn, ["src", "start"]).select(
-        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), "spans", "words"
+        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("spans").alias("_spans"), F.col("words").alias("_taken")
     )
     # Repeated rows share an id: each drawn row meets one stored row of that id and source.
     texts = docs.dropDuplicates(["doc_id", "source"]) if _has_repeats(placed) else docs
@@ -177,9 +177,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     # Named once and used twice, so that it is split once per row and not once per span.
     split = texts.join(keyed, same).withColumn("_words", F.split(F.btrim(F.col("text"), F.lit(SPACES.decode())), JAVA_SPACES + "+"))
     cut = F.array_join(
-        F.flatten(F.transform("spans", lambda s: F.slice("_words", s["word_from"].cast("int") + 1, (s["word_to"] - s["word_from"]).cast("int")))), " "
+        F.flatten(F.transform("_spans", lambda s: F.slice("_words", s["word_from"].cast("int") + 1, (s["word_to"] - s["word_from"]).cast("int")))), " "
     )
-    joined = split.withColumn("text", F.when(F.col("words") == F.size("_words"), F.col("text")).otherwise(cut))
+    joined = split.withColumn("text", F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*docs.columns)
