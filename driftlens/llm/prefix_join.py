@@ -109,6 +109,16 @@ def least_overlap(a, b):
     return -(-PERCENT * (a + b) // (PERCENT + PERCENT_OF))
 
 
+def near_in_size(sizes: np.ndarray) -> np.ndarray:
+    """Which sets have a partner of a size with which a link is possible at all."""
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    close = n[:-1] >= least_overlap(n[:-1], n[1:])
+    out = np.zeros(len(n), bool)
+    out[order] = np.append(close, False) | np.append(False, close)
+    return out
+
+
 def plausible(sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """Which sets have a partner that sizes and occupancies do not rule out."""
     order = np.argsort(sizes, kind="stable")
@@ -408,10 +418,20 @@ def _groups(postings: DataFrame) -> DataFrame:
 def _examined(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(pivot, node, n) without the members that nothing in their group can be linked with."""
     counted = materialize(members.groupBy(F.col("pivot").alias("of")).agg(F.count(F.lit(1)).alias("m")), "join-sizes")
-    sized = members.join(counted, F.col("pivot") == F.col("of")).join(nodes, "node")
-    large = sized.filter(F.col("m") > EXAMINED_MEMBERS).select("pivot", "node", "n")
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = sized.filter(F.col("m") <= EXAMINED_MEMBERS).select("pivot", "node", "n", "parts")
+    sized = members.join(counted, F.col("pivot") == F.col("of")).join(nodes.select("node", "n"), "node").select("pivot", "node", "n", "m")
+    large = sized.filter(F.col("m") > EXAMINED_MEMBERS).select("pivot", "node", "n")
+
+    def by_size(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        return [r for r, k in zip(rows, near_in_size(np.array([r[2] for r in rows]))) if k]
+
+    # Sizes first: they rule out most pairs that share a passage, before occupancies travel.
+    few = sized.filter(F.col("m") <= EXAMINED_MEMBERS).select("pivot", "node", "n")
+    few = _by_group(few.repartition(width, "pivot").sortWithinPartitions("pivot"), 1, by_size, ("pivot", "node", "n"))
+    few = materialize(few, "join-near-sizes")
+    small = few.join(nodes.select("node", "parts"), "node").select("pivot", "node", "n", "parts")
 
     def group_of(rows: list[tuple]) -> list[tuple]:
         if len(rows) < 2:
@@ -438,7 +458,8 @@ def links(docs: DataFrame, profile: DataFrame, words: int = WORDS, group_tokens:
     """(node, root) of all sets that are linked with another."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(profile))  # fixed size: 4 bytes for each of 2**SLOT_BITS slots
-    nodes = profile.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.first("parts").alias("parts"))
+    named = profile.filter("node is not null")
+    nodes = materialize(named.groupBy("node").agg(F.max("n").alias("n"), F.first("parts").alias("parts")), "join-nodes")
     members = _examined(_groups(_postings(docs, counts, words)), nodes)
     placed = _placed(members, group_tokens)
     wanted = spark.sparkContext.broadcast(_filter_bits(members))  # fixed size: 2**FILTER_BITS bits
