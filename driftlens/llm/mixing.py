@@ -138,13 +138,14 @@ def block_spans(placed: DataFrame) -> DataFrame:
 
 def mixed_spans(placed: DataFrame, sources: DataFrame) -> DataFrame:
     """The mixture: every drawn stretch of words, with its output shard and place there."""
-    return draws(sources).join(block_spans(placed), ["src", "block"])
+    return materialize(draws(sources), "mix-draws").join(block_spans(placed), ["src", "block"])
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``."""
     placed, sources = layout(docs, ["doc_id"])
-    times = draws(sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Stored, as Catalyst would take draws made from a few sources for a few rows and broadcast them.
+    times = materialize(draws(sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times")), "mix-times")
     words = F.col("times") * (F.col("word_to") - F.col("word_from"))
     taken = block_spans(placed).join(times, ["src", "block"]).groupBy("src", "start").agg(F.sum(words).alias("words"))
     taken = taken.withColumnsRenamed({"src": "t_src", "start": "t_start"})
@@ -164,6 +165,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     with_turn = draws(sources).join(
         sources.select(F.col("src").alias("s_src"), "blocks"), F.col("src") == F.col("s_src")
     ).select("src", "block", F.floor(F.col("draw") / F.col("blocks")).alias("turn"))
+    with_turn = materialize(with_turn, "mix-draws")
     drawn = block_spans(placed).join(with_turn, ["src", "block"]).groupBy("src", "start", "turn").agg(
         F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"),
         F.sum(F.col("word_to") - F.col("word_from")).alias("words"),
