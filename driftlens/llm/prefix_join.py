@@ -470,7 +470,7 @@ def links(docs: DataFrame, profile: DataFrame, words: int = WORDS, group_tokens:
     common = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(2)), F.col("members")) < COMMON_MEMBERS)
     where = F.when(common, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     units = placed.select("pivot", F.explode(where).alias("unit"), "node", F.lit(True).alias("probe"))
-    edges = materialize(_unit_links(units.join(sets, "node"), ["pivot", "unit"]), "join-links")
+    edges = materialize(_unit_links(units.hint("merge").join(sets, "node"), ["pivot", "unit"]), "join-links")
     labels = components(edges)
     cut = placed.filter("blocks > 1")
     if not cut.limit(1).count():
@@ -492,7 +492,8 @@ def links(docs: DataFrame, profile: DataFrame, words: int = WORDS, group_tokens:
     rest = cut.join(materialize(parts, "join-parts"), F.col("pivot") == F.col("of")).select(
         "pivot", F.explode("parts").alias("part"), F.col("block").alias("unit"), "node", F.lit(False).alias("probe")
     )
-    second = probes.unionByName(rest).join(sets, "node")
+    # Their number is unknown to Catalyst, which must not take them for few and broadcast them.
+    second = probes.unionByName(rest).hint("merge").join(sets, "node")
     more = materialize(_unit_links(second, ["pivot", "part", "unit"]), "join-more-links")
     return components(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
