@@ -444,6 +444,20 @@ def _examined(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(kept.unionByName(large), "join-plausible")
 
 
+def _without_subsets(members: DataFrame) -> DataFrame:
+    """``members`` without the groups that lie inside another one, where all their pairs meet too.
+
+    A group is compared with the first group that its pivot is a member of. That one has a
+    smaller pivot, so of a chain of such groups the outermost always stays.
+    """
+    home = materialize(members.groupBy(F.col("node").alias("of")).agg(F.min("pivot").alias("home")), "join-homes")
+    away = members.join(home, F.col("pivot") == F.col("of")).filter("home < pivot").select(F.col("pivot").alias("inner"), "node", "home")
+    there = members.select(F.col("pivot").alias("home"), "node", F.lit(1).alias("there"))
+    inside = away.join(there, ["home", "node"], "left").groupBy("inner").agg(F.count(F.lit(1)).alias("m"), F.count("there").alias("k"))
+    inside = materialize(inside.filter("m = k").select(F.col("inner").alias("pivot")), "join-subsets")
+    return materialize(members.join(inside, "pivot", "left_anti"), "join-groups")
+
+
 def _placed(sized: DataFrame, group_tokens: int) -> DataFrame:
     """Members with their group's number of blocks and their own block."""
     loads = materialize(
@@ -460,7 +474,7 @@ def links(docs: DataFrame, profile: DataFrame, words: int = WORDS, group_tokens:
     counts = spark.sparkContext.broadcast(shingle_counts(profile))  # fixed size: 4 bytes for each of 2**SLOT_BITS slots
     named = profile.filter("node is not null")
     nodes = materialize(named.groupBy("node").agg(F.max("n").alias("n"), F.first("parts").alias("parts")), "join-nodes")
-    members = _examined(_groups(_postings(docs, counts, words)), nodes)
+    members = _without_subsets(_examined(_groups(_postings(docs, counts, words)), nodes))
     placed = _placed(members, group_tokens)
     wanted = spark.sparkContext.broadcast(_filter_bits(members))  # fixed size: 2**FILTER_BITS bits
     sets = materialize(
