@@ -5,8 +5,10 @@ their class, id and role names, digits apart. For every node the pages tell whic
 sequences it had (presentation) and which texts its own blocks held (content). A node is
 important when presentations vary and texts differ from page to page, and unimportant when
 the same few texts come back on every page; a branch is worth its own presentation entropy
-blended with the content entropy of all that lies below it. Branches of low importance are
-removed from every page, unless they hold the page's article.
+blended with the content entropy of all that lies below it. Branches of low importance whose
+texts come back are removed from every page, inside the article too; only the article element
+itself stays. Paragraphs, headings and lists of an article that stand between important text
+are part of its flow and stay even if they repeat.
 
 Two pages cannot show that something repeats, and some menus or adverts differ on every page
 though they are none of the text. So branches whose element or names say what they are
@@ -37,6 +39,8 @@ MIN_PAGES = 5
 MIN_IMPORTANCE = 0.3
 #: Weight of a node's own presentation against the content below it, per the number of its styles.
 BLEND = 0.9
+#: A branch with more content of its own is never unimportant, however alike its pages are built.
+MAX_CONTENT = 0.5
 
 #: Element classes of the HTML standard.
 BLOCKS = set(
@@ -61,6 +65,9 @@ ASIDE_NAMES = set(
     " replies respond login search pagination pager toolbar".split()
 )
 PAGE_HEADER_NAMES = {"header"}
+ARTICLES = {"article", "main"}
+#: Elements of running text.
+FLOW = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -175,7 +182,7 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the site style trees."""
+    """(host, node, pages, content, importance) of the site style trees."""
 
     def make():
         def step(batch):
@@ -209,26 +216,48 @@ def importances(pages: DataFrame) -> DataFrame:
     presentation = F.when(m > 1, 1 - F.col("style_logs") / (m * F.log(m))).otherwise(1.0)
     share = F.pow(F.lit(BLEND), F.col("styles"))
     return nodes.select("host", "node", "pages", "styles", "style_logs").join(below, ["host", "node"]).select(
-        "host", "node", "pages", ((1 - share) * presentation + share * content).alias("importance")
+        "host", "node", "pages", content.alias("content"), ((1 - share) * presentation + share * content).alias("importance")
     )
 
 
+def _without(blocks: list[tuple[str, list[Element]]], unimportant: set[int]) -> list[tuple[str, list[Element]]]:
+    """An article's blocks without its unimportant branches."""
+    solid, flowing = [], []
+    for n, (_, line) in enumerate(blocks):
+        top = _article(line)
+        below = (e for e in line if e.article and e is not top and e.tag not in ARTICLES)
+        low = next((e for e in below if e.path in unimportant), None)
+        if low is None:
+            solid.append(n)
+        elif low.tag in FLOW:
+            flowing.append(n)
+    of = {}
+    for n in solid:
+        of.setdefault(_article(blocks[n][1]), []).append(n)
+    between = [n for n in flowing if (ends := of.get(_article(blocks[n][1]))) and ends[0] < n < ends[-1]]
+    return [blocks[n] for n in sorted(solid + between)]
+
+
+def _article(line: list[Element]) -> Element | None:
+    return next((e for e in line if e.article), None)
+
+
 def main_text(page: str | None, unimportant: set[int]) -> str:
     """The page's article without the branches that are ``unimportant`` or say that they are something else."""
     if not page:
         return ""
     blocks = [b for b in blocks_of(page)[0] if not b[1][-1].aside]
     inside = [b for b in blocks if b[1][-1].article]
-    if inside:
-        return "\n".join(text for text, _ in inside)
-    kept = [b for b in blocks if not any(e.path in unimportant for e in b[1])]
+    kept = _without(inside, unimportant) if inside else [b for b in blocks if not any(e.path in unimportant for e in b[1])]
     # A page whose every branch repeats elsewhere is a copy: it keeps its text.
-    return "\n".join(text for text, _ in kept or blocks)
+    return "\n".join(text for text, _ in kept or inside or blocks)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
-    low = importances(pages).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE))
+    low = importances(pages).filter(
+        (F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE) & (F.col("content") < MAX_CONTENT)
+    )
     verdicts = materialize(low.groupBy(F.col("host").alias("of_host")).agg(F.collect_set("node").alias("nodes")), "style-verdicts")
     hosted = _hosted(pages)
     joined = hosted.join(verdicts, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "nodes")

@@ -52,6 +52,34 @@ def test_unnamed_blocks_that_repeat_on_a_host_go(spark):
     assert got[99].count("\n") == 2  # one page cannot show that something repeats
 
 
+def texts_of(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in st.extract(df).collect()}
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div class='main'"])
+def test_unnamed_blocks_that_repeat_inside_the_article_go(spark, tag):
+    rows = []
+    for n in range(12):
+        body = (
+            f"<div>Read this notice first</div><p>{prose(n, 20)}</p><section><p>Buy now</p></section><h2>Results</h2>"
+            f"<p>{prose(n + 50, 20)}</p><ul><li>Share it<li>Send it</ul><div>Imprint of us</div>"
+        )
+        rows.append((n, f"http://plain.example/{n}", f"<body><{tag}>{body}</{tag.split()[0]}></body>"))
+    got = texts_of(spark, rows)
+    # A heading between two paragraphs is part of the text, a list after the last one is not.
+    assert got == {n: f"{prose(n, 20)}\nResults\n{prose(n + 50, 20)}" for n in range(12)}
+
+
+def test_articles_built_alike_keep_their_own_words(spark):
+    rows = []
+    for n in range(200):
+        extra = "".join(f"<{t}>x{n}</{t}>" for k, t in enumerate(["ul", "ol", "dl", "pre", "table"]) if n < 31 and n + 1 >> k & 1)
+        rows.append((n, "http://alike/", f"<article><h1>T{n}</h1><div><p>{prose(n, 20)}</p>{extra}</div></article>"))
+    got = texts_of(spark, rows)
+    assert all(prose(n, 20) in got[n] for n in range(200))
+
+
 def test_importance_follows_repetition(spark):
     rows = [(n, "http://h/x", f"<body><section><p>{prose(n, 9)}</p></section><footer><p>same</p></footer></body>") for n in range(8)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
