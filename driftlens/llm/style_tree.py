@@ -11,8 +11,11 @@ itself stays. Paragraphs, headings and lists of an article that stand between im
 are part of its flow and stay even if they repeat.
 
 Two pages cannot show that something repeats, and some menus or adverts differ on every page
-though they are none of the text. So branches whose element or names say what they are
-(navigation, footers, adverts, forms, comments, ...) go as well.
+though they are none of the text. So branches whose element says what it is (navigation,
+footers, forms, ...) go as well. Names (adverts, sidebars, comments, ...) are evidence that the
+tree has to confirm: a named branch goes when most of its texts come back on other pages,
+however its pages are built. Names say nothing of a page's body, article or headings, nor of
+what the article stands in. A page of which all would go keeps its text.
 
 What travels is one row per page and feature, aggregated by (host, node, feature) before the
 hosts' verdicts are drawn: a host with a third of all pages is spread like any other. A host's
@@ -66,6 +69,8 @@ ASIDE_NAMES = set(
 )
 PAGE_HEADER_NAMES = {"header"}
 ARTICLES = {"article", "main"}
+#: Their names describe the page or are made from a title.
+NEVER_NAMED = ARTICLES | set("html body h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text.
 FLOW = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote".split())
 
@@ -85,16 +90,21 @@ def element_of(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
 
 
 class Element:
-    __slots__ = ("tag", "path", "aside", "article", "children")
+    """``article`` is the outermost article that it is or stands in; ``under_name`` says that it is or stands in a named element."""
+
+    __slots__ = ("tag", "path", "aside", "named", "under_name", "article", "children")
 
     def __init__(self, tag: str, key: str, words: frozenset[str], parent: Element | None):
         self.tag = tag
         self.path = xxhash.xxh64_intdigest(key, seed=(parent.path if parent else 0) & 0xFFFFFFFFFFFFFFFF) & 0x7FFFFFFFFFFFFFFF
-        inside = parent is not None and parent.article
-        named = bool(words & ASIDE_NAMES) or "skip" in words and "link" in words
-        page_header = (tag == "header" or bool(words & PAGE_HEADER_NAMES)) and not inside
-        self.aside = (parent is not None and parent.aside) or tag in ASIDE_TAGS or named or page_header
-        self.article = inside or (tag in ("article", "main") or "main" in words and tag != "body") and not self.aside
+        article = parent.article if parent else None
+        called = bool(words & ASIDE_NAMES) or "skip" in words and "link" in words or bool(words & PAGE_HEADER_NAMES) and not article
+        # An article inside an article may be a reader's comment.
+        self.named = called and (tag not in NEVER_NAMED or tag == "article" and article is not None)
+        self.aside = (parent is not None and parent.aside) or tag in ASIDE_TAGS or tag == "header" and not article
+        self.under_name = (parent is not None and parent.under_name) or self.named
+        is_article = tag in ARTICLES or "main" in words and tag not in NEVER_NAMED and not called
+        self.article = article or (self if is_article and not self.aside else None)
         self.children: list[str] = []
 
 
@@ -164,15 +174,15 @@ def _hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text) & 0x7FFFFFFFFFFFFFFF
 
 
-def features_of(page: str) -> dict[tuple[int, bool, int], list[int]]:
-    """(node, is content, value) of the page's tree, with the nodes above each."""
+def features_of(page: str) -> dict[tuple[int, bool, bool, int], list[int]]:
+    """(node, is named, is content, value) of the page's tree, with the nodes above each."""
     blocks, elements = blocks_of(page)
     out = {}
     for line in elements:
         sequence = [c for n, c in enumerate(line[-1].children) if n == 0 or c != line[-1].children[n - 1]]
-        out[line[-1].path, False, _hashed(" ".join(sequence))] = [e.path for e in line]
+        out[line[-1].path, line[-1].named, False, _hashed(" ".join(sequence))] = [e.path for e in line]
     for text, line in blocks:
-        out[line[-1].path, True, _hashed(text)] = [e.path for e in line]
+        out[line[-1].path, line[-1].named, True, _hashed(text)] = [e.path for e in line]
     return out
 
 
@@ -182,21 +192,21 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, content, importance) of the site style trees."""
+    """(host, node, named, pages, content, importance) of the site style trees."""
 
     def make():
         def step(batch):
-            out = {"host": [], "node": [], "content": [], "value": [], "above": []}
+            out = {"host": [], "node": [], "named": [], "content": [], "value": [], "above": []}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for (node, content, value), above in features_of(page or "").items():
-                    for column, x in zip(out.values(), (host, node, content, value, above)):
+                for (node, named, content, value), above in features_of(page or "").items():
+                    for column, x in zip(out.values(), (host, node, named, content, value, above)):
                         column.append(x)
             return out
 
         return step
 
-    rows = map_batches(_hosted(pages).select("host", "html"), "host string, node long, content boolean, value long, above array<long>", make)
-    counted = rows.groupBy("host", "node", "content", "value").agg(F.count(F.lit(1)).alias("c"), F.first("above").alias("above"))
+    rows = map_batches(_hosted(pages).select("host", "html"), "host string, node long, named boolean, content boolean, value long, above array<long>", make)
+    counted = rows.groupBy("host", "node", "content", "value").agg(F.count(F.lit(1)).alias("c"), F.max("named").alias("named"), F.first("above").alias("above"))
     # Presentation: entropy of the child sequences over the node's pages. Content: how far each
     # text is from being on all of them; a text on c of m pages has entropy log c / log m.
     nodes = materialize(counted.groupBy("host", "node").agg(
@@ -205,6 +215,7 @@ def importances(pages: DataFrame) -> DataFrame:
         F.sum(F.when(~F.col("content"), 1)).alias("styles"),
         F.sum(F.when(F.col("content"), F.log("c"))).alias("text_logs"),
         F.sum(F.when(F.col("content"), 1)).alias("texts"),
+        F.max("named").alias("named"),
         F.first("above").alias("above"),
     ), "style-nodes")
     sized = nodes.select("host", F.explode("above").alias("node"), "text_logs", "texts", F.coalesce("pages", F.lit(1)).alias("m"))
@@ -215,48 +226,55 @@ def importances(pages: DataFrame) -> DataFrame:
     m = F.col("pages")
     presentation = F.when(m > 1, 1 - F.col("style_logs") / (m * F.log(m))).otherwise(1.0)
     share = F.pow(F.lit(BLEND), F.col("styles"))
-    return nodes.select("host", "node", "pages", "styles", "style_logs").join(below, ["host", "node"]).select(
-        "host", "node", "pages", content.alias("content"), ((1 - share) * presentation + share * content).alias("importance")
+    return nodes.select("host", "node", "named", "pages", "styles", "style_logs").join(below, ["host", "node"]).select(
+        "host", "node", "named", "pages", content.alias("content"), ((1 - share) * presentation + share * content).alias("importance")
     )
 
 
-def _without(blocks: list[tuple[str, list[Element]]], unimportant: set[int]) -> list[tuple[str, list[Element]]]:
-    """An article's blocks without its unimportant branches."""
-    solid, flowing = [], []
+Blocks = list[tuple[str, list[Element]]]
+
+
+def _articles(blocks: Blocks) -> Blocks:
+    """What lies in articles outside named elements, or else in the articles that hold the larger part of the text."""
+    inside = [b for b in blocks if b[1][-1].article]
+    firm = [b for b in inside if not b[1][b[1].index(b[1][-1].article) - 1].under_name]
+    # Comments and teasers are articles as well; the page's own text may stand outside of them.
+    larger = 2 * sum(len(text) for text, _ in inside) > sum(len(text) for text, _ in blocks)
+    return firm or (inside if larger else [])
+
+
+def _without(blocks: Blocks, unimportant: set[int], spared: set[Element]) -> Blocks:
+    """Blocks without their unimportant branches; what flows between important text of one article stays."""
+    solid, flowing, ends = [], [], {}
     for n, (_, line) in enumerate(blocks):
-        top = _article(line)
-        below = (e for e in line if e.article and e is not top and e.tag not in ARTICLES)
-        low = next((e for e in below if e.path in unimportant), None)
+        low = next((e for e in line if e.path in unimportant and e not in spared), None)
         if low is None:
             solid.append(n)
-        elif low.tag in FLOW:
+            first, _ = ends.get(line[-1].article, (n, n))
+            ends[line[-1].article] = first, n
+        elif low.tag in FLOW and low.article and not low.named:
             flowing.append(n)
-    of = {}
-    for n in solid:
-        of.setdefault(_article(blocks[n][1]), []).append(n)
-    between = [n for n in flowing if (ends := of.get(_article(blocks[n][1]))) and ends[0] < n < ends[-1]]
+    between = [n for n in flowing if (e := ends.get(blocks[n][1][-1].article)) and e[0] < n < e[1]]
     return [blocks[n] for n in sorted(solid + between)]
 
 
-def _article(line: list[Element]) -> Element | None:
-    return next((e for e in line if e.article), None)
-
-
 def main_text(page: str | None, unimportant: set[int]) -> str:
     """The page's article without the branches that are ``unimportant`` or say that they are something else."""
     if not page:
         return ""
-    blocks = [b for b in blocks_of(page)[0] if not b[1][-1].aside]
-    inside = [b for b in blocks if b[1][-1].article]
-    kept = _without(inside, unimportant) if inside else [b for b in blocks if not any(e.path in unimportant for e in b[1])]
+    blocks = blocks_of(page)[0]
+    blocks = [b for b in blocks if not b[1][-1].aside] or blocks
+    inside = _articles(blocks)
+    # The articles, and all that they stand in.
+    spared = {e for _, line in inside for e in line if e.article is None or e is e.article or e.tag in ARTICLES and not e.named}
     # A page whose every branch repeats elsewhere is a copy: it keeps its text.
-    return "\n".join(text for text, _ in kept or inside or blocks)
+    return "\n".join(text for text, _ in _without(inside or blocks, unimportant, spared) or inside or blocks)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
     low = importances(pages).filter(
-        (F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE) & (F.col("content") < MAX_CONTENT)
+        (F.col("pages") >= MIN_PAGES) & (F.col("content") < MAX_CONTENT) & (F.col("named") | (F.col("importance") < MIN_IMPORTANCE))
     )
     verdicts = materialize(low.groupBy(F.col("host").alias("of_host")).agg(F.collect_set("node").alias("nodes")), "style-verdicts")
     hosted = _hosted(pages)

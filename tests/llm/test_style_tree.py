@@ -71,6 +71,37 @@ def test_unnamed_blocks_that_repeat_inside_the_article_go(spark, tag):
     assert got == {n: f"{prose(n, 20)}\nResults\n{prose(n + 50, 20)}" for n in range(12)}
 
 
+NAMED = [
+    "<body class='no-sidebar'><p>{}</p></body>", "<body class='nav-open'><article><p>{}</p></article></body>",
+    "<html class='has-banner'><body class='fixed-header'><main><p>{}</p></main></body></html>",
+    "<div class='content-with-sidebar'><p>{}</p></div>", "<div class='content-with-sidebar'><nav>Menu</nav><article><p>{}</p></article></div>",
+    "<article class='post has-comments'><p>{}</p></article>", "<main id='main-content' class='page-header'><p>{}</p></main>",
+    "<article><h2 id='related-work'>{}</h2></article>", "<body><h2 id='related-work'>{}</h2></body>",
+    "<article><section id='login-flow'><p>{}</p></section></article>", "<section id='login-flow'><p>{}</p></section>",
+    "<form><p>{}</p></form>", "<aside><article><p>{}</p></article></aside>",
+]
+
+
+@pytest.mark.parametrize("pages", [1, 12])
+def test_names_alone_take_no_text_away(spark, pages):
+    rows = [(k * 100 + n, f"http://h{k}/", markup.replace("{}", prose(k * 100 + n, 20))) for k, markup in enumerate(NAMED) for n in range(pages)]
+    assert texts_of(spark, rows) == {i: prose(i, 20) for i, _, _ in rows}
+
+
+def test_named_branches_go_when_their_texts_come_back(spark):
+    rows = []
+    for n in range(24):
+        side = f"<div class='ad'>Buy {n % 3}</div><div id='cookie-notice'><p>Cookies {n % 2}</p></div>"
+        text = f"<p>{prose(n, 20)}</p>{side}<p>{prose(n + 50, 20)}</p>"
+        rows.append((n, "http://bare/", f"<body class='no-sidebar'>{text}</body>"))
+        rows.append((n + 100, "http://article/", f"<div class='content-with-sidebar'>{side}<article>{text}</article></div>"))
+        comments = f"<div class='comments'><article class='comment'><p>{prose(n + 200, 5)}</p></article></div>"
+        rows.append((n + 200, "http://comments/", f"<body>{comments}<article><p>{prose(n, 20)}</p></article></body>"))
+    got = texts_of(spark, rows)
+    for n in range(24):
+        assert got[n] == got[n + 100] == f"{prose(n, 20)}\n{prose(n + 50, 20)}" and got[n + 200] == prose(n, 20)
+
+
 def test_articles_built_alike_keep_their_own_words(spark):
     rows = []
     for n in range(200):
