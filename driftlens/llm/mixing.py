@@ -12,7 +12,7 @@ hold the running sums, and bucket totals give the offsets. No task sees a whole
 
 Defined cases: a null text has no words; a document without words is never taken; a null
 source is a source of its own and comes last; repeated rows are laid out one after the
-other; an empty table gives an empty result; sources without words have target 0.
+other; rows without an id, or with one id and different texts, are documents of their own; an empty table gives an empty result; sources without words have target 0.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 BLOCKS_PER_SHARD = 4096
 DRAWS_PER_PIECE = 4096
 SEED = 20_11
+#: Digest of a row, of which no column is left out.
+ROW = "_row"
 #: Prime multipliers of the index permutations; one that divides no block count is always found.
 MULTIPLIERS = (1_000_000_007, 1_000_000_009, 998_244_353, 754_974_721, 469_762_049)
 
@@ -67,15 +69,15 @@ def layout(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
 
     ``carry`` names further columns to keep. A row with words is identified by (src, start).
     """
-    stored = materialize(docs.select(
-        "source", word_count().alias("size"), F.xxhash64("doc_id", "source", F.lit(SEED)).alias("place"), *carry
-    ), "mix-rows")
+    # Rows without an id are spread by their text.
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text", "source", F.lit(SEED))).otherwise(F.xxhash64("doc_id", "source", F.lit(SEED)))
+    stored = materialize(docs.select("source", word_count().alias("size"), place.alias("place"), *carry), "mix-rows")
     sources = materialize(source_targets(stored), "mix-sources")
     buckets = max(1, int(stored.count() ** 0.5))
     rows = stored.join(
         sources.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source"))
     ).withColumn("bucket", F.pmod(F.col("place"), F.lit(buckets)))
-    along = Window.partitionBy("src", "bucket").orderBy("place", *[c for c in carry if c == "doc_id"], "size")
+    along = Window.partitionBy("src", "bucket").orderBy("place", *[c for c in carry if c in ("doc_id", ROW)], "size")
     inside = rows.withColumn("upto", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     offsets = materialize(sums.select(
@@ -161,7 +163,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     A document drawn whole keeps its text as it is; of one drawn in part the row holds the
     drawn words in their order. ``n_chars``, if there, follows the text.
     """
-    placed, sources = layout(docs, ["doc_id"])
+    keyed_docs = docs.withColumn(ROW, _row_digest(docs))
+    placed, sources = layout(keyed_docs, ["doc_id", ROW])
     with_turn = draws(sources).join(
         sources.select(F.col("src").alias("s_src"), "blocks"), F.col("src") == F.col("s_src")
     ).select("src", "block", F.floor(F.col("draw") / F.col("blocks")).alias("turn"))
@@ -170,12 +173,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"),
         F.sum(F.col("word_to") - F.col("word_from")).alias("words"),
     )
-    keyed = placed.filter("size > 0").select("doc_id", "source", "src", "start", "size").join(drawn, ["src", "start"]).select(
-        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("spans").alias("_spans"), F.col("words").alias("_taken")
+    keyed = placed.filter("size > 0").select(ROW, "src", "start").join(drawn, ["src", "start"]).select(
+        F.col(ROW).alias("_drawn_row"), F.col("spans").alias("_spans"), F.col("words").alias("_taken")
     )
-    # Repeated rows share an id: each drawn row meets one stored row of that id and source.
-    texts = docs.dropDuplicates(["doc_id", "source"]) if _has_repeats(placed) else docs
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    # Rows that are equal in every column: each drawn one meets one stored row.
+    texts = keyed_docs.dropDuplicates([ROW]) if _has_repeats(placed) else keyed_docs
+    same = F.col(ROW) == F.col("_drawn_row")
     # Named once and used twice, so that it is split once per row and not once per span.
     split = texts.join(keyed, same).withColumn("_words", F.split(F.btrim(F.col("text"), F.lit(SPACES.decode())), JAVA_SPACES + "+"))
     cut = F.array_join(
@@ -187,5 +190,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return joined.select(*docs.columns)
 
 
+def _row_digest(docs: DataFrame) -> Column:
+    cells = [F.sha2("text", 256).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return F.unhex(F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256))
+
+
 def _has_repeats(placed: DataFrame) -> bool:
-    return bool(placed.groupBy("doc_id", "source").count().filter("count > 1").limit(1).count())
+    return bool(placed.groupBy(ROW).count().filter("count > 1").limit(1).count())

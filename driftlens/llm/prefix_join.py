@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from driftlens.llm.common import map_batches, materialize
 from driftlens.llm.components import components
@@ -141,19 +141,21 @@ def plausible(sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- passes over the texts
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    texts = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    return docs.select(*texts) if digest is None else docs.select(*texts, digest.alias("digest"))
 
 
-PROFILE = "doc_id long, n long, node long, parts binary, block int, counts binary"
+PROFILE = "doc_id long, n long, node long, digest binary, parts binary, block int, counts binary"
 
 
-def _profile(docs: DataFrame, words: int) -> DataFrame:
+def _profile(docs: DataFrame, words: int, digest: Column | None = None) -> DataFrame:
     """One row per document, and each task's shingle counts in blocks (rows with ``block`` set)."""
+    digest = F.lit(None).cast("binary") if digest is None else digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(1 << SLOT_BITS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("parts", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("digest", pa.binary()), ("parts", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             sizes, nodes, parts, seen = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -169,15 +171,15 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
             rest = [None] * len(sizes)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "n": sizes, "node": nodes, "parts": parts, "block": rest, "counts": rest}, schema=schema
+                {"doc_id": batch.column(0), "n": sizes, "node": nodes, "digest": batch.column(2), "parts": parts, "block": rest, "counts": rest}, schema=schema
             )
         blocks = counts.reshape(-1, BLOCK_SLOTS)
         none = [None] * len(blocks)
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": none, "n": none, "node": none, "parts": none, "block": list(range(len(blocks))), "counts": [b.tobytes() for b in blocks]}, schema=schema
+            {"doc_id": none, "n": none, "node": none, "digest": none, "parts": none, "block": list(range(len(blocks))), "counts": [b.tobytes() for b in blocks]}, schema=schema
         )
 
-    return materialize(_texts(docs).mapInArrow(run, PROFILE), "join-profile")
+    return materialize(_texts(docs, digest).mapInArrow(run, PROFILE), "join-profile")
 
 
 def _summed(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -527,7 +529,19 @@ def link_components(docs: DataFrame, words: int = WORDS, group_tokens: int = GRO
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of each group of linked texts; rows without an id stay."""
-    first = link_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_first_id")).distinct()
-    kept = docs.join(materialize(first, "join-first"), F.col("doc_id") == F.col("_first_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """``docs`` with the first document of each group of linked texts; rows without an id stay.
+
+    A document is an id and a text: an id with several texts names as many documents.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    profile = _profile(docs, WORDS, digest)
+    labels = materialize(links(docs, profile, WORDS, GROUP_TOKENS), "join-roots")
+    rows = profile.filter("block is null and doc_id is not null")
+    own = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    rooted = own.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    # Texts without words are linked with none.
+    first = rooted.select("first.doc_id", "first.digest").unionByName(rows.filter("node is null").select("doc_id", "digest").distinct())
+    first = materialize(first.select(F.col("doc_id").alias("_first_id"), F.col("digest").alias("_first_digest")), "join-first")
+    same = (F.col("doc_id") == F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest"))
+    kept = docs.filter("doc_id is not null").withColumn("_digest", digest).join(first, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return kept.drop("_digest").unionByName(docs.filter("doc_id is null"))

@@ -166,3 +166,16 @@ def test_join_defined_cases(odd, none):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()).count("6") == 1
     assert {7, 9}.isdisjoint({r.doc_id for r in kept.collect()})
     assert pj.keep_first(none).count() == 0
+
+
+def test_one_id_with_two_texts_is_two_documents(make_docs):
+    rows = [
+        (3, prose(1, 80), "en", "a"), (5, prose(1, 80) + " tail", "en", "a"), (5, prose(2, 80), "en", "a"), (5, prose(2, 80), "en", "a"),
+        (6, prose(3, 80), "en", "a"), (6, prose(4, 80), "en", "b"), (8, prose(5, 80), "en", "a"), (8, prose(5, 80) + " tail", "en", "a"),
+        (9, "", "en", "a"), (9, prose(6, 80), "en", "a"), (None, prose(7, 80), "en", "a"), (None, prose(8, 80), "en", "a"),
+    ]
+    got = [(r.doc_id, r.text) for r in pj.keep_first(make_docs(rows)).collect()]
+    eights = [t for i, t in got if i == 8]
+    assert len(eights) == 1 and eights[0] in {prose(5, 80), prose(5, 80) + " tail"}
+    want = [(i, t) for n, (i, t, *_) in enumerate(rows) if n not in (1, 3, 6, 7)]
+    assert sorted((i or 0, t) for i, t in got if i != 8) == sorted((i or 0, t) for i, t in want)

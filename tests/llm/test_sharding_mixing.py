@@ -96,6 +96,16 @@ def test_mixed_documents_hold_the_taken_words(make_docs):
     assert {k: v for k, v in taken.items() if v} == dict(n)
 
 
+def test_documents_without_an_id_or_with_a_shared_one_are_mixed_whole(make_docs):
+    # One source: its target is its size, so every block is drawn once.
+    rows = [(None if i < 20 else 7 if i < 30 else i, prose(i, 40 + 9 * i), "en", "a") for i in range(40)]
+    rows += [rows[3], rows[25]]
+    for docs in (make_docs(rows), make_docs(rows[::-1]).repartition(5)):
+        got = mixing.mix_documents(docs).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t, *_ in rows)
+        assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_index_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
