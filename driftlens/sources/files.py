@@ -154,6 +154,15 @@ def read_incidents(spark: SparkSession, path: str, one_per_file: bool = False) -
     return spark.read.schema(INCIDENT_DOC).option("multiLine", one_per_file).option("mode", "FAILFAST").json(path)
 
 
+#: Evidence as rows keyed by incident: a hot incident's list fits no document.
+EVIDENCE_ROW = "incident_id string, id string, ts string, kind string, source string, title string"
+
+
+def read_incident_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """Every evidence item of the incident documents: JSON lines."""
+    return spark.read.schema(EVIDENCE_ROW).option("mode", "FAILFAST").json(path)
+
+
 def incident_ids(incidents: DataFrame) -> DataFrame:
     return incidents.select("id").orderBy("id")
 

@@ -9,7 +9,7 @@ from driftlens.plans import revenue as R
 from driftlens.session import scratch_dir
 from driftlens.sources import files as S
 from driftlens.suite import inputs as fx
-from driftlens.suite.ledger import GRADED, _RUN, _STAGE, graded_evidence, graded_incidents, run_results
+from driftlens.suite.ledger import GRADED, _RUN, _STAGE, checked_runs, graded_evidence, graded_incidents
 from driftlens.suite.oracle import mart_ctes, orders_ctes, rnd, sql
 from driftlens.suite.registry import query
 from driftlens.suite.revenue import incident_build, natural_build
@@ -136,6 +136,26 @@ def transcript_scan(spark, sf):
     return S.read_transcripts(spark, path).select("incident_id", "turn", "stop_reason", "tool_result_for", "text")
 
 
+def write_incidents(spark, sf, path: str) -> None:
+    cause = F.when(
+        F.col("cause_urn").isNotNull(),
+        F.struct(
+            F.col("cause_summary").alias("summary"), F.col("cause_urn").alias("asset_urn"),
+            F.col("cause_field").alias("field"), F.col("cause_detail").alias("detail"),
+        ),
+    )
+    graded_incidents(spark, sf).select(
+        F.concat(F.lit("inc_"), "incident_id").alias("id"), F.col("cause_detail").alias("report_text"), "stage",
+        F.col("created_at").cast("string").alias("created_at"), cause.alias("root_cause"),
+    ).write.mode("overwrite").json(path)
+
+
+def write_evidence(spark, sf, path: str) -> None:
+    graded_evidence(spark, sf).select(
+        F.concat(F.lit("inc_"), "incident_id").alias("incident_id"), F.col("evidence_id").alias("id"), "kind", "source", "title"
+    ).write.mode("overwrite").json(path)
+
+
 @query(
     "S7_incident_documents",
     sql(GRADED, """SELECT 'inc_' || i.incident_id AS id, stage, cause_urn, coalesce(n, 0) AS evidence_items FROM inc i
@@ -143,29 +163,17 @@ def transcript_scan(spark, sf):
           ON i.incident_id = e.incident_id"""),
 )
 def incident_documents(spark, sf):
-    """Nested incident documents written as JSON lines and scanned back.
+    """Incident documents and their evidence rows, written as JSON lines and scanned back.
 
-    Facts are reduced to one per kind and source first, so a document stays small.
+    Every evidence item is written; the twin counts distinct kinds and sources.
     """
-    facts = (
-        graded_evidence(spark, sf).groupBy("incident_id", "kind", "source")
-        .agg(F.min("evidence_id").alias("id"), F.min("title").alias("title"))
-        .groupBy("incident_id")
-        .agg(F.collect_list(F.struct("id", "kind", "source", "title")).alias("evidence"))
-    )
-    cause = F.when(
-        F.col("cause_urn").isNotNull(),
-        F.struct(F.col("cause_summary").alias("summary"), F.col("cause_urn").alias("asset_urn"), F.col("cause_field").alias("field")),
-    )
-    docs = graded_incidents(spark, sf).join(facts, "incident_id", "left").select(
-        F.concat(F.lit("inc_"), "incident_id").alias("id"), "stage",
-        F.col("created_at").cast("string").alias("created_at"), cause.alias("root_cause"), "evidence",
-    )
     path = scratch_dir(spark, "incidents")
-    docs.write.mode("overwrite").json(path)
-    return S.read_incidents(spark, path).select(
-        "id", "stage", F.col("root_cause.asset_urn").alias("cause_urn"),
-        F.coalesce(F.size("evidence"), F.lit(0)).cast("bigint").alias("evidence_items"),
+    write_incidents(spark, sf, path)
+    write_evidence(spark, sf, f"{path}-evidence")
+    facts = S.read_incident_evidence(spark, f"{path}-evidence").select("incident_id", "kind", "source").distinct()
+    counted = facts.groupBy(F.col("incident_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return S.read_incidents(spark, path).join(counted, "id", "left").select(
+        "id", "stage", F.col("root_cause.asset_urn").alias("cause_urn"), F.coalesce("n", F.lit(0)).alias("evidence_items")
     )
 
 
@@ -175,14 +183,14 @@ def incident_documents(spark, sf):
 )
 def incident_fetch(spark, sf):
     path = scratch_dir(spark, "incidents")
-    graded_incidents(spark, sf).select(F.concat(F.lit("inc_"), "incident_id").alias("id"), "stage").write.json(path)
+    write_incidents(spark, sf, path)
     return S.incident(S.read_incidents(spark, path), "inc_42").select("id", "stage")
 
 
 @query("S7_incident_ids", "SELECT 'inc_' || o_orderkey AS id FROM orders")
 def incident_ids(spark, sf):
     path = scratch_dir(spark, "incidents")
-    graded_incidents(spark, sf).select(F.concat(F.lit("inc_"), "incident_id").alias("id"), "stage").write.json(path)
+    write_incidents(spark, sf, path)
     return S.incident_ids(S.read_incidents(spark, path))
 
 
@@ -192,21 +200,23 @@ def incident_ids(spark, sf):
         FROM runs, (SELECT unnest([1, 2]) AS trial) t"""),
 )
 def eval_results(spark, sf):
-    """Run documents with two trials each, exploded to one row per trial."""
+    """Run documents with two trials each and all their checks, exploded to one row per trial."""
+    path = scratch_dir(spark, "eval-runs")
+    write_eval_runs(spark, sf, path)
+    passed = F.forall(F.map_values("checks"), lambda ok: ok)
+    return S.read_eval_runs(spark, path, one_per_file=False).select(
+        "run", "scenario", "status", "trial", F.coalesce(passed, F.lit(False)).alias("verified")
+    )
+
+
+def write_eval_runs(spark, sf, path: str) -> None:
+    """A run that was skipped or broke off has no checks."""
 
     def trial(n: int):
         return F.struct(
-            "scenario", "status",
-            F.create_map(F.lit("verified"), F.col("status") == "passed").alias("checks"),
-            F.concat(F.lit("inc_"), "incident_id").alias("incident_id"),
-            F.lit(n).alias("trial"),
+            "scenario", "status", "checks", F.concat(F.lit("inc_"), "incident_id").alias("incident_id"), F.lit(n).alias("trial")
         )
 
-    docs = run_results(spark, sf).select(
+    checked_runs(spark, sf).select(
         F.col("incident_id").alias("run"), F.array(trial(1), trial(2)).alias("results")
-    )
-    path = scratch_dir(spark, "eval-runs")
-    docs.write.mode("overwrite").json(path)
-    return S.read_eval_runs(spark, path, one_per_file=False).select(
-        "run", "scenario", "status", "trial", F.col("checks")["verified"].alias("verified")
-    )
+    ).write.mode("overwrite").json(path)
