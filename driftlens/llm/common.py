@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftlens.session import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "documents", "text_or_empty", "map_batches", "SPACES", "JAVA_SPACES"]
+__all__ = ["materialize", "scratch_dir", "documents", "text_or_empty", "map_batches", "windows", "word_blocks", "SPACES", "JAVA_SPACES"]
 
 #: White space of the word rules, as bytes and inside a Java or DuckDB character class.
 SPACES = b" \t\n\x0b\x0c\r"
 STEP_ROWS = 512
 JAVA_SPACES = r"[\x20\x09-\x0D]"
+#: Bytes of a text that are cut into words at once.
+WINDOW_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -25,6 +29,23 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def windows(raw: bytes, size: int = WINDOW_BYTES) -> Iterator[bytes]:
+    """Pieces of a text that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(raw):
+        space = _SPACE.search(raw, at + size)
+        end = space.start() if space else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def word_blocks(raw: bytes, size: int = WINDOW_BYTES) -> Iterator[list[bytes]]:
+    """A text's words in order, in lists; only A-Z are lower-cased."""
+    for piece in windows(raw, size):
+        if words := piece.lower().split():
+            yield words
+
+
 def map_batches(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]]
 ) -> DataFrame:

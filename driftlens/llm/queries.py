@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, prefix_join, sharding, style_tree, token_files, toxicity
+from driftlens.llm import bpe, fingerprints, langid, mixing, outliers, prefix_join, sharding, simhash, style_tree, token_files, toxicity
 from driftlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component of its links."""
+    return simhash.link_components(documents(spark, sf_dir))
+
+
 ORACLES["op9_exact_dedup"] = r"""
 WITH bare AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
