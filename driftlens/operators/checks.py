@@ -1,6 +1,7 @@
 """The data-quality suite: one row per check case.
 
-Single-table predicates share one pass; every other check adds a small aggregate.
+Single-table predicates come from the build's ledger, so they read no order row again;
+every other check adds a small aggregate.
 The aggregates meet as signed values per check (``staged - raw``, ``rows -
 distinct``) and are summed, so nothing has to be cross-joined.
 """
@@ -13,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftlens.plans.revenue import Warehouse, lagged_median
+from driftlens.plans.revenue import Warehouse, lagged_median, order_ledger
 
 RESULT_COLUMNS = ["check", "param", "observed", "lower", "upper", "passed", "message"]
 
@@ -58,23 +59,25 @@ def agg_sql(df: DataFrame, *expressions: str) -> DataFrame:
     return df.agg(*[F.expr(e) for e in expressions])
 
 
-def order_checks(orders: DataFrame, rates: DataFrame, params: CheckParams) -> DataFrame:
-    """Every predicate on staged orders, and both rate checks, in one pass.
+def order_checks(
+    orders: DataFrame, rates: DataFrame, params: CheckParams, ledger: DataFrame | None = None
+) -> DataFrame:
+    """Every predicate on staged orders, and both rate checks, from the orders' ledger.
 
-    Orders shrink to one row per day and currency before they meet the rates, so no
-    order row is joined or shuffled. Rates are reduced to one row per key as well: a
-    feed that repeats a key must not multiply the counts.
+    It shrinks to one row per day and currency before it meets the rates, so no order row
+    is joined or shuffled. Rates are reduced to one row per key as well: a feed that repeats
+    a key must not multiply the counts.
     """
     per_key = agg_sql(
-        orders.groupBy("order_day", "currency"),
-        "count(*) AS n",
-        "count_if(order_id IS NULL) AS no_key",
-        "count_if(amount IS NULL) AS no_amount",
-        "count_if(order_ts IS NULL) AS no_ts",
-        f"count_if(coalesce(payment_processor NOT IN ({sql_list(params.processors)}), true)) AS bad_processor",
-        "count_if(amount <= 0) AS nonpositive",
-        "min(amount) AS lo",
-        "max(amount) AS hi",
+        (order_ledger(orders) if ledger is None else ledger).groupBy("order_day", "currency"),
+        "sum(n) AS n",
+        "sum(no_key) AS no_key",
+        "sum(if(low IS NULL, n, 0)) AS no_amount",
+        "sum(no_ts) AS no_ts",
+        f"sum(if(coalesce(payment_processor NOT IN ({sql_list(params.processors)}), true), n, 0)) AS bad_processor",
+        "sum(nonpositive) AS nonpositive",
+        "min(low) AS lo",
+        "max(high) AS hi",
     )
     per_rate = agg_sql(
         rates.withColumnRenamed("rate_day", "order_day").groupBy("order_day", "currency"),
@@ -221,12 +224,21 @@ def day_results(cases: DataFrame) -> DataFrame:
     )
 
 
-def run_checks(wh: Warehouse, baseline: DataFrame, params: CheckParams) -> DataFrame:
-    """All cases: check, param, observed, lower, upper, passed, message."""
+def row_facts(wh: Warehouse) -> DataFrame:
+    """What only order rows can tell, from one narrow column each: distinct keys and raw rows."""
+    return distinct_keys(wh.stg_orders).unionByName(raw_rows(wh.raw_orders, wh.excluded))
+
+
+def run_checks(
+    wh: Warehouse, baseline: DataFrame, params: CheckParams, facts: DataFrame | None = None
+) -> DataFrame:
+    """All cases: check, param, observed, lower, upper, passed, message.
+
+    ``facts`` are stored ``row_facts``, for variants that share their rows.
+    """
     parts = [
-        order_checks(wh.stg_orders, wh.stg_fx_rates, params),
-        distinct_keys(wh.stg_orders),
-        raw_rows(wh.raw_orders, wh.excluded),
+        order_checks(wh.stg_orders, wh.stg_fx_rates, params, wh.order_ledger()),
+        row_facts(wh) if facts is None else facts,
         rate_check(wh.stg_fx_rates),
         mart_totals(wh.fct_revenue),
         kpi_checks(wh.exec_revenue_metric, wh.fct_revenue),

@@ -20,17 +20,12 @@ def integer_share(orders: DataFrame, segment: str) -> DataFrame:
     rows = orders.select(F.col("order_day").alias("day"), F.col(segment).alias("segment"), "amount")
     out = median_by(
         rows, ["day", "segment"], "amount",
-        [
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(is_integer_valued(F.col("amount"))).alias("integer_count"),
-            F.min("amount").alias("min"),
-            F.max("amount").alias("max"),
-        ],
+        {"integer_count": F.when(is_integer_valued(F.col("amount")), 1).otherwise(0)},
     )
     return out.select(
         "day", "segment", "n", "integer_count",
         round_to(safe_ratio(F.col("integer_count"), F.col("n")), 4).alias("integer_share"),
-        round_to(F.col("median"), 4).alias("median"), "min", "max",
+        round_to(F.col("median"), 4).alias("median"), F.col("low").alias("min"), F.col("high").alias("max"),
     )
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from driftlens.functions.numeric import null_rate, round_to
+from driftlens.functions.numeric import round_to, safe_ratio
 from driftlens.operators.quantiles import median_by
 
 # Time columns tried in this order before any date-typed column.
@@ -56,18 +56,16 @@ def profile_column(
     shaped = rows.select(
         F.col(when).cast("date").alias("day"), segment.alias("segment"), F.col(column).alias("x")
     )
-    stats = [
-        F.count(F.lit(1)).alias("n"),
-        F.avg("x").alias("mean"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        null_rate(F.col("x")).alias("null_rate"),
-    ]
-    out = median_by(shaped, ["day", "segment"], "x", stats)
-    return out.select(
-        "day", "segment", "n",
-        *[round_to(F.col(c), 4).alias(c) for c in ("mean", "median", "min", "max", "null_rate")],
-    )
+    out = median_by(shaped, ["day", "segment"], "x")
+    values = {
+        "mean": safe_ratio(F.col("total"), F.col("present")), "median": F.col("median"), "min": F.col("low"),
+        "max": F.col("high"), "null_rate": _missing_share(),
+    }
+    return out.select("day", "segment", "n", *[round_to(v, 4).alias(c) for c, v in values.items()])
+
+
+def _missing_share() -> Column:
+    return 1 - F.col("present") / F.col("n")
 
 
 def sorted_values(column: str) -> Column:
@@ -77,26 +75,20 @@ def sorted_values(column: str) -> Column:
 
 def daily_profile(orders: DataFrame) -> DataFrame:
     """Per-day baseline profile of the amount, with the processors seen that day."""
-    stats = [
-        F.count(F.lit(1)).alias("row_count"),
-        F.avg("amount").alias("amount_mean"),
-        F.min("amount").alias("amount_min"),
-        F.max("amount").alias("amount_max"),
-        null_rate(F.col("amount")).alias("amount_null_rate"),
-    ]
-    numbers = median_by(
-        orders.select("order_day", "amount"), ["order_day"], "amount", stats,
-        name="amount_median",
-    )
+    numbers = median_by(orders.select("order_day", "amount"), ["order_day"], "amount")
+    values = {
+        "amount_median": F.col("median"), "amount_mean": safe_ratio(F.col("total"), F.col("present")),
+        "amount_min": F.col("low"), "amount_max": F.col("high"),
+    }
     processors = (
         orders.select("order_day", "payment_processor").distinct()
         .groupBy("order_day").agg(sorted_values("payment_processor").alias("payment_processors"))
     )
     return numbers.join(processors, "order_day", "left").select(
         F.col("order_day").alias("day"),
-        "row_count",
-        *[round_to(F.col(c), 2).alias(c) for c in ("amount_median", "amount_mean", "amount_min", "amount_max")],
-        round_to(F.col("amount_null_rate"), 6).alias("amount_null_rate"),
+        F.col("n").alias("row_count"),
+        *[round_to(v, 2).alias(c) for c, v in values.items()],
+        round_to(_missing_share(), 6).alias("amount_null_rate"),
         "payment_processors",
     )
 

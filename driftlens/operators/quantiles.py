@@ -1,46 +1,56 @@
-"""Exact grouped medians that never bring one group into one task.
+"""Exact grouped medians in two scans that never bring one group into one task.
 
 ``median()`` keeps every distinct value of a group in one buffer, which fails when a
-single day holds a third of the table. Here a mergeable sketch first brackets the
-middle of each group. A second pass counts the rows below, above and in each slice of the
-bracket, and takes the range of those that hold the middle ranks: it narrows a good
-bracket and widens one that missed. The last pass counts what lies below that range and
-ranks only the distinct values inside. All passes combine map-side, so a hot group costs
-each task a bounded number of rows. The result is exact, not an estimate: sketch and slices
-only decide which values are worth ranking. There is this one path for every size.
+single day holds a third of the table. Here the first scan counts values in logarithmic
+buckets: their number depends on the spread of the values alone, and they combine on the
+map side. A bucket keeps its count, sum, least and largest value, so counts, means and
+ranges come from it as well. The buckets give each group a range that holds its middle
+ranks: the value of a rank lies between what the rank finds among the buckets' least and
+among their largest values. The second scan counts what lies below that range and ranks
+only the distinct values inside. The result is exact, not an estimate: buckets only decide
+which values are worth ranking. There is this one path for every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftlens.operators.joins import null_safe
 from driftlens.session import materialize
 
-# The sketch is off by at most 1/ACCURACY of the ranks; the bracket is five times wider.
-ACCURACY = 10_000
-MARGIN = 5.0 / ACCURACY
+# Buckets for each doubling of the absolute value: a bucket spans 0.5 % of its values.
+STEPS = 128
+# Binary exponents of doubles lie within this distance of zero.
+EXPONENTS = 1100
 
-# Slices of the bracket counted by the narrowing pass.
-SLICES = 4096
-
-BELOW, INSIDE, ABOVE, MISSING = -1, 0, SLICES, SLICES + 1
 LOW_RANK, HIGH_RANK = "(_n - 1) div 2", "_n div 2"
+STATS = ["n", "present", "total", "low", "high"]
 
 
-def _side(inside: Column) -> Column:
-    """Where a value lies relative to its group's bracket."""
+def bucket(value: Column) -> Column:
+    """Number of the value's bucket; it never decreases as the value grows. NULL for NULL."""
+    size = F.least(F.floor(F.log2(F.abs(value)) * STEPS), F.lit(EXPONENTS * STEPS - 1)) + EXPONENTS * STEPS
     return (
-        F.when(F.col("_v").isNull(), MISSING)
-        .when(F.col("_v") < F.col("_lo"), BELOW)
-        .when(F.col("_v") > F.col("_hi"), ABOVE)
-        .otherwise(inside)
+        F.when(F.isnan(value), 4 * EXPONENTS * STEPS)
+        .when(value > 0, size)
+        .when(value < 0, -size)
+        .when(value == 0, 0)
+        .cast("long")
+    )
+
+
+def bucket_counts(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """``keys``, ``bucket`` and its n, total, low, high and further ``sums`` over rows."""
+    rows = df.withColumn("_v", F.col(value).cast("double"))
+    return rows.groupBy(*keys, bucket(F.col("_v")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("low"), F.max("_v").alias("high"),
+        *[F.sum(expr).alias(name) for name, expr in (sums or {}).items()],
     )
 
 
-def _running(counts: DataFrame, keys: list[str], *order: str) -> DataFrame:
+def _running(counts: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """``_end``: rows of the group up to and including this one."""
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counts.withColumn("_end", F.sum("_c").over(upto))
@@ -50,61 +60,51 @@ def _covers(rank: str) -> str:
     return f"(_end - _c <= {rank} AND {rank} < _end)"
 
 
-def _narrow(rows: DataFrame, keys: list[str], extras: list[str]) -> DataFrame:
-    """The range of the slices that hold the middle ranks, those beside the bracket included.
+def summary(buckets: DataFrame, keys: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """Each group's n, present, total, low, high, ``sums`` and the range ``_lo`` to ``_hi`` of its middle ranks.
 
-    ``rows`` carry their group's bracket. A slice number never decreases as the value
-    grows, so the slices are in value order; there are at most SLICES + 3 per group.
+    Buckets of a group may overlap, as those of several currencies do once they are priced.
     """
-    width = F.col("_hi") - F.col("_lo")
-    at = F.least(F.lit(SLICES - 1), F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * SLICES).cast("int"))
+    known = F.col("low").isNotNull()
+    counted = buckets.withColumn("_c", F.when(known, F.col("n")).otherwise(0))
+    counted = counted.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    from_low = _running(counted, keys, "low", "bucket").withColumn("_is_low", F.expr(f"{_covers(LOW_RANK)}"))
+    from_high = _running(from_low, keys, "high", "bucket").withColumn("_is_high", F.expr(f"{_covers(HIGH_RANK)}"))
+    return from_high.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("_c").alias("present"), F.sum("total").alias("total"),
+        F.min("low").alias("low"), F.max("high").alias("high"), *[F.sum(c).alias(c) for c in sums],
+        F.min(F.when(F.col("_is_low") & known, F.col("low"))).alias("_lo"),
+        F.max(F.when(F.col("_is_high") & known, F.col("high"))).alias("_hi"),
+    )
+
+
+def middle(rows: DataFrame, groups: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """``groups``, a stored ``summary``, with the interpolated median of ``value`` over ``rows``."""
+    keys = list(keys)
+    theirs = [f"_key{i}" for i in range(len(keys))]
+    ranges = groups.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], F.col("present").alias("_n"), "_lo", "_hi")
+    slim = rows.select(*keys, F.col(value).cast("double").alias("_v"))
+    inside = F.col("_v") >= F.col("_lo")
     counts = (
-        rows.withColumn("_slice", _side(F.coalesce(at, F.lit(0))))
-        .groupBy(*keys, *extras, "_slice")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        slim.join(ranges, null_safe(keys, theirs) & (F.col("_v") <= F.col("_hi")))
+        .groupBy(*keys, "_n", inside.alias("_inside"), F.when(inside, F.col("_v")).alias("_x"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    middle = _running(counts, keys, "_slice").filter(
-        f"_n = 0 OR {_covers(LOW_RANK)} OR {_covers(HIGH_RANK)}"
+    low, high = (F.expr(f"max(if({_covers(r)}, _x, null))") for r in (LOW_RANK, HIGH_RANK))
+    found = _running(counts, keys, "_inside", "_x").groupBy(*keys).agg(low.alias("_a"), high.alias("_b"))
+    found = found.withColumnsRenamed(dict(zip(keys, theirs)))
+    return groups.join(found, null_safe(keys, theirs), "left").select(
+        *[c for c in groups.columns if c not in ("_lo", "_hi")], F.expr("(_a + _b) / 2").alias(name)
     )
-    return middle.groupBy(*keys, *extras).agg(F.min("_from").alias("_lo"), F.max("_to").alias("_hi"))
 
 
 def median_by(
-    df: DataFrame, keys: Sequence[str], value: str, stats: Sequence[Column] = (), name: str = "median"
+    df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None, name: str = "median"
 ) -> DataFrame:
-    """``keys``, the aggregates ``stats`` and the interpolated median of ``value``.
+    """``keys``, STATS, the ``sums`` over rows and the interpolated median of ``value``.
 
     The per-group summary is written once: Catalyst then knows its bytes and picks the join,
     and its sums stay fixed if a shuffled task has to run again.
     """
-    keys = list(keys)
-    rows = df.withColumn("_v", F.col(value).cast("double"))
-    summary = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("_edges"),
-        F.count("_v").alias("_n"),
-        *stats,
-    )
-    extras = [c for c in summary.columns if c not in {*keys, "_edges"}]
-    theirs = [f"_key{i}" for i in range(len(keys))]
-    summary = materialize(summary.select(
-        *[F.col(k).alias(t) for k, t in zip(keys, theirs)],
-        *extras,
-        F.col("_edges")[0].alias("_lo"),
-        F.col("_edges")[1].alias("_hi"),
-    ), "median-summary")
-    slim = rows.select(*keys, "_v")
-
-    def with_bracket(brackets: DataFrame) -> DataFrame:
-        return slim.join(brackets, null_safe(keys, theirs)).drop(*theirs)
-
-    narrow = _narrow(with_bracket(summary), keys, extras)
-    ranges = materialize(narrow.withColumnsRenamed(dict(zip(keys, theirs))), "median-ranges")
-    counts = (
-        with_bracket(ranges)
-        .withColumn("_side", _side(F.lit(INSIDE)))
-        .groupBy(*keys, *extras, "_side", F.when(F.col("_side") == INSIDE, F.col("_v")).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    low, high = (F.expr(f"max(if({_covers(r)}, _x, null))") for r in (LOW_RANK, HIGH_RANK))
-    middle = _running(counts, keys, "_side", "_x").groupBy(*keys, *extras).agg(low.alias("_a"), high.alias("_b"))
-    return middle.select(*keys, *[c for c in extras if c != "_n"], F.expr("(_a + _b) / 2").alias(name))
+    groups = materialize(summary(bucket_counts(df, keys, value, sums), keys, list(sums or {})), "median-summary")
+    return middle(df, groups, keys, value, name)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftlens.operators.baseline import KPI_BAND, health_status
-from driftlens.operators.checks import CheckParams, run_checks, tally
-from driftlens.plans.revenue import EXCLUDED_STATUSES, build
+from driftlens.operators.checks import CheckParams, row_facts, run_checks, tally
+from driftlens.plans.revenue import EXCLUDED_STATUSES, Warehouse, build, build_variants
+from driftlens.session import materialize
 
 
 def report(
@@ -22,8 +26,14 @@ def report(
     Accepted means no failed check, at least one check, and a KPI ratio inside the
     acceptance band. Applying or undoing a repair is only a matter of ``amount``.
     """
-    wh = build(raw_orders, raw_fx_rates, excluded, amount, store_daily=True)
-    counts = tally(run_checks(wh, baseline, params))
+    return judge_build(build(raw_orders, raw_fx_rates, excluded, amount, store_daily=True), baseline, params)
+
+
+def judge_build(
+    wh: Warehouse, baseline: DataFrame, params: CheckParams, facts: DataFrame | None = None
+) -> DataFrame:
+    """The report row of a build."""
+    counts = tally(run_checks(wh, baseline, params, facts))
     # Both sides are one row by construction; without a KPI row the verdict is false.
     both = counts.join(F.broadcast(wh.exec_revenue_metric), how="left", on=F.lit(True))
     low, high = KPI_BAND
@@ -43,8 +53,23 @@ def failing_checks(one_report: DataFrame, name_part: str) -> DataFrame:
     )
 
 
-def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Two report rows tagged with their phase."""
-    return before.withColumn("phase", F.lit("before")).unionByName(
-        after.withColumn("phase", F.lit("after"))
-    )
+def historical_failures(one_report: DataFrame) -> DataFrame:
+    """Failing cases that guard days before the incident: the history, and each spot day."""
+    return failing_checks(one_report, "history").unionByName(failing_checks(one_report, "spot_day"))
+
+
+def compare(
+    raw_orders: DataFrame,
+    raw_fx_rates: DataFrame,
+    baseline: DataFrame,
+    params: CheckParams,
+    phases: Mapping[str, Column | None],
+    excluded: tuple[str, ...] = EXCLUDED_STATUSES,
+) -> DataFrame:
+    """A report row per phase; phases differ by their amount expression and share every scan."""
+    builds = build_variants(raw_orders, raw_fx_rates, phases, excluded)
+    facts = materialize(row_facts(next(iter(builds.values()))), "row-facts")
+    reports = [
+        judge_build(wh, baseline, params, facts).withColumn("phase", F.lit(name)) for name, wh in builds.items()
+    ]
+    return reduce(DataFrame.unionByName, reports)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from driftlens.functions.numeric import round_to, safe_ratio
 from driftlens.functions.temporal import day_number, utc_timestamp
-from driftlens.operators.quantiles import median_by
+from driftlens.operators import quantiles
 from driftlens.session import materialize, pin_utc
 
 # Order states outside the revenue path, the reporting currency, and
@@ -21,7 +22,10 @@ REFERENCE_WINDOW = (35, 8)
 
 @dataclass(frozen=True)
 class Warehouse:
-    """The built layers; ``first_day`` / ``last_day`` bound the order calendar."""
+    """The built layers; ``first_day`` / ``last_day`` bound the order calendar.
+
+    ``ledger`` is the stored summary of the staged orders that the layers were built from.
+    """
 
     raw_orders: DataFrame
     stg_orders: DataFrame
@@ -32,14 +36,21 @@ class Warehouse:
     last_day: dt.date | None
     order_rows: int
     excluded: tuple[str, ...]
+    ledger: DataFrame | None = None
+    _ledger_of: DataFrame | None = field(default=None, repr=False)
+
+    def order_ledger(self) -> DataFrame:
+        """The ledger of the present ``stg_orders``; built anew if that is another frame."""
+        return self.ledger if self._ledger_of is self.stg_orders else order_ledger(self.stg_orders)
 
 
 def stage_orders(
     raw: DataFrame,
     excluded: tuple[str, ...] = EXCLUDED_STATUSES,
     amount: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Typed orders on the revenue path.
+    """Typed orders on the revenue path, with the further columns ``keep``.
 
     ``amount`` replaces the amount column; a repair is nothing but such an
     expression. A NULL status drops out, as with SQL NOT IN.
@@ -55,6 +66,7 @@ def stage_orders(
         value.cast("double").alias("amount"),
         "payment_processor",
         "status",
+        *keep,
     )
 
 
@@ -65,6 +77,30 @@ def stage_customers(raw: DataFrame) -> DataFrame:
     )
 
 
+LEDGER_KEYS = ["order_day", "currency", "payment_processor"]
+# Rules whose breaches are counted, as conditions on a staged order.
+LEDGER_SUMS = {
+    "no_key": "order_id IS NULL",
+    "no_ts": "order_ts IS NULL",
+    "nonpositive": "amount <= 0",
+}
+
+
+def order_ledger(orders: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Everything that bounds, checks and the daily fact need to know of order rows, in one scan.
+
+    One row per day, currency, processor and bucket of amounts, with its rows, sum and
+    range and the rows that break a rule. It grows with the calendar, not with the orders.
+    """
+    sums = {name: F.when(F.expr(rule), 1).otherwise(0) for name, rule in LEDGER_SUMS.items()}
+    return quantiles.bucket_counts(orders, [*by, *LEDGER_KEYS], "amount", sums)
+
+
+def ledger_bounds(ledger: DataFrame) -> tuple[dt.date | None, dt.date | None, int]:
+    row = ledger.agg(F.min("order_day").alias("lo"), F.max("order_day").alias("hi"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    return row["lo"], row["hi"], row["n"]
+
+
 def order_bounds(orders: DataFrame) -> tuple[dt.date | None, dt.date | None, int]:
     """First and last order day and the row count: one row, read to fix the calendar."""
     row = orders.agg(
@@ -133,28 +169,32 @@ def usd_orders(orders: DataFrame, rates: DataFrame, how: str = "inner") -> DataF
     )
 
 
-def daily_revenue(orders: DataFrame, rates: DataFrame) -> DataFrame:
-    """Order count, revenue, mean and median order value per day, in base currency."""
-    priced = usd_orders(orders.select("order_day", "currency", "amount"), rates).select(
-        F.col("order_day").alias("day"), "usd"
-    )
-    daily = median_by(
-        priced,
-        ["day"],
-        "usd",
-        [
-            F.count(F.lit(1)).alias("order_count"),
-            F.sum("usd").alias("_sum"),
-            F.avg("usd").alias("_avg"),
-        ],
-        name="_median",
+def daily_revenue(
+    orders: DataFrame, rates: DataFrame, ledger: DataFrame | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Order count, revenue, mean and median order value per day, in base currency.
+
+    All but the median comes from the ledger. A bucket of amounts is one of revenue as well,
+    once its day's rate has scaled it; so the ledger also bounds the median, and order rows
+    are read once more only to rank the values within those bounds.
+    """
+    keys = [*by, "day"]
+    ledger = materialize(order_ledger(orders, by), "order-ledger") if ledger is None else ledger
+    keyed = rates.select(F.col("rate_day").alias("order_day"), "currency", "usd_rate")
+    ends = [F.col(c) * F.col("usd_rate") for c in ("low", "high")]
+    priced = ledger.join(keyed, ["order_day", "currency"]).select(
+        *by, F.col("order_day").alias("day"), "bucket", "n", (F.col("total") * F.col("usd_rate")).alias("total"),
+        F.least(*ends).alias("low"), F.greatest(*ends).alias("high"),
     )
+    groups = materialize(quantiles.summary(priced, keys), "daily-summary")
+    usd = usd_orders(orders.select(*by, "order_day", "currency", "amount"), rates)
+    daily = quantiles.middle(usd.withColumnRenamed("order_day", "day"), groups, keys, "usd")
     return daily.select(
-        "day",
-        "order_count",
-        round_to(F.col("_sum"), 2).alias("revenue_usd"),
-        round_to(F.col("_avg"), 2).alias("aov_usd"),
-        round_to(F.col("_median"), 2).alias("aov_median_usd"),
+        *keys,
+        F.col("n").alias("order_count"),
+        round_to(F.col("total"), 2).alias("revenue_usd"),
+        round_to(safe_ratio(F.col("total"), F.col("present")), 2).alias("aov_usd"),
+        round_to(F.col("median"), 2).alias("aov_median_usd"),
     )
 
 
@@ -197,17 +237,54 @@ def build(
 ) -> Warehouse:
     """All layers from raw inputs.
 
-    The filled rates are written once: they are small, and every later join first
-    counts them. ``store_daily`` does the same for the daily fact, for callers that
-    read it several times. Order rows are never copied.
+    The ledger and the filled rates are written once: they are small, and all else is read
+    from them. ``store_daily`` does the same for the daily fact, for callers that read it
+    several times. Order rows are read twice and never copied.
     """
     pin_utc(raw_orders.sparkSession)
     orders = stage_orders(raw_orders, excluded, amount)
-    first, last, rows = order_bounds(orders)
+    ledger = materialize(order_ledger(orders), "order-ledger")
+    first, last, rows = ledger_bounds(ledger)
     rates = materialize(stage_fx_rates(raw_fx_rates, first, last), "stg_fx_rates")
-    daily = daily_revenue(orders, rates)
+    daily = daily_revenue(orders, rates, ledger)
     if store_daily:
         daily = materialize(daily, "fct_revenue")
     return Warehouse(
-        raw_orders, orders, rates, daily, executive_kpi(daily), first, last, rows, tuple(excluded)
+        raw_orders, orders, rates, daily, executive_kpi(daily), first, last, rows, tuple(excluded), ledger, orders
     )
+
+
+def build_variants(
+    raw_orders: DataFrame,
+    raw_fx_rates: DataFrame,
+    amounts: Mapping[str, Column | None],
+    excluded: tuple[str, ...] = EXCLUDED_STATUSES,
+) -> dict[str, Warehouse]:
+    """A warehouse for each amount expression, all from the same two scans of the orders.
+
+    The variant is one more key of the ledger and of the daily fact; an order row is read
+    once per scan and unfolds into its variants there.
+    """
+    pin_utc(raw_orders.sparkSession)
+    staged = {name: stage_orders(raw_orders, excluded, amount) for name, amount in amounts.items()}
+    base = stage_orders(raw_orders.withColumn("_variants", _variants(amounts)), excluded, keep=["_variants"])
+    orders = base.select(*[c for c in base.columns if c not in ("_variants", "amount")], F.inline("_variants"))
+    ledger = materialize(order_ledger(orders, ["variant"]), "variant-ledger")
+    first, last, rows = ledger_bounds(ledger)
+    rates = materialize(stage_fx_rates(raw_fx_rates, first, last), "stg_fx_rates")
+    daily = materialize(daily_revenue(orders, rates, ledger, ["variant"]), "variant-fct")
+    out = {}
+    for name, own in staged.items():
+        mine, facts = (df.filter(F.col("variant") == name).drop("variant") for df in (ledger, daily))
+        out[name] = Warehouse(
+            raw_orders, own, rates, facts, executive_kpi(facts), first, last, rows // len(amounts), tuple(excluded), mine, own
+        )
+    return out
+
+
+def _variants(amounts: Mapping[str, Column | None]) -> Column:
+    values = [
+        F.struct(F.lit(name).alias("variant"), (F.col("amount") if value is None else value).cast("double").alias("amount"))
+        for name, value in amounts.items()
+    ]
+    return F.array(*values)

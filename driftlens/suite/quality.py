@@ -136,7 +136,7 @@ _register_suites()
 
 
 # One query per check, each planning only what that check needs.
-_ORDERS = lambda wh, base: C.order_checks(wh.stg_orders, wh.stg_fx_rates, PARAMS)
+_ORDERS = lambda wh, base: C.order_checks(wh.stg_orders, wh.stg_fx_rates, PARAMS, wh.order_ledger())
 _MART = lambda wh, base: C.mart_totals(wh.fct_revenue).unionByName(_ORDERS(wh, base))
 _KPI = lambda wh, base: C.kpi_checks(wh.exec_revenue_metric, wh.fct_revenue)
 _PARTS = {
@@ -261,11 +261,11 @@ def verify_repair(spark, sf):
 @query(
     "B7_bad_repair_rejected",
     sql(suite_ctes("blanket"), """SELECT "check" || case when param <> '' then ':' || param else '' end AS name
-        FROM suite WHERE NOT passed AND "check" IN ('history_immutable')"""),
+        FROM suite WHERE NOT passed AND "check" IN ('history_immutable', 'spot_day')"""),
 )
 def bad_repair_rejected(spark, sf):
-    """Historical checks that catch the blanket rescale."""
-    return repair.failing_checks(repair_report(spark, sf, "blanket").filter(~F.col("accepted")), "history")
+    """Historical checks that catch the blanket rescale: the history and the spot days."""
+    return repair.historical_failures(repair_report(spark, sf, "blanket").filter(~F.col("accepted")))
 
 
 @query("B7_bad_repair_report", sql(suite_ctes("blanket"), _REPORT))
@@ -279,8 +279,9 @@ def bad_repair_report(spark, sf):
         UNION ALL SELECT 'after', a.* FROM ({sql(suite_ctes("cohort"), _REPORT)}) a""",
 )
 def before_after(spark, sf):
-    return repair.before_after(
-        repair_report(spark, sf, "incident"), repair_report(spark, sf, "cohort")
+    phases = {"before": _amount("incident"), "after": _amount("cohort")}
+    return repair.compare(
+        fx.incident_orders(spark, sf), fx.incident_feed(spark, sf), healthy_baseline(spark, sf), PARAMS, phases, fx.EXCLUDED
     ).select("phase", *_REPORT_COLUMNS)
 
 
