@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from driftlens.llm.common import materialize, text_or_empty, windows
+from driftlens.llm.common import bitmap, in_bitmap, materialize, text_or_empty, windows
 
 LEAST, MAX_WORDS, TOP = 100, 5, 2000
 HEAD_BITS, TILE_BITS = 17, 11
@@ -110,14 +110,11 @@ class Level:
     """What every task is handed to turn a level's items into ids; of bounded size."""
 
     def __init__(self, bits: np.ndarray | None):
-        self.bits, self.width = bits, 0 if bits is None else (len(bits) * 8).bit_length() - 1
+        self.bits = bits
 
     def frequent(self, ids: np.ndarray) -> np.ndarray:
         """Whether tail ids may be frequent; never false for those that are."""
-        if self.bits is None:
-            return np.zeros(len(ids), bool)
-        at = ids & ((1 << self.width) - 1)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return np.zeros(len(ids), bool) if self.bits is None else in_bitmap(self.bits, ids)
 
 
 class WordLevel(Level):
@@ -176,17 +173,8 @@ class PairLevel(Level):
         return out
 
 
-def _bitmap(tail: DataFrame, n: int) -> np.ndarray | None:
-    """Bits of the tail's ids, 16 or more for each up to the largest size."""
-    if not n:
-        return None
-    bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
-    at = F.col("id").bitwiseAND((1 << bits) - 1)
-    words = tail.select(F.shiftright(at, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 5), "<u4")
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
+def _bitmap(tail: DataFrame) -> np.ndarray | None:
+    return bitmap(tail.select(F.col("id").alias("h")), tail.count(), FILTER_BITS)
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -316,7 +304,7 @@ def _word_level(spark: SparkSession, words: DataFrame, head: int) -> tuple[WordL
 
     named = materialize(_identified(words, identify), "collocation-words")
     tail = named.filter(F.col("id") >= HEAD)
-    return WordLevel(ranked, _bitmap(tail, tail.count())), named
+    return WordLevel(ranked, _bitmap(tail)), named
 
 
 def _pair_level(spark: SparkSession, pairs: DataFrame, head: int) -> tuple[PairLevel, DataFrame]:
@@ -331,7 +319,7 @@ def _pair_level(spark: SparkSession, pairs: DataFrame, head: int) -> tuple[PairL
 
     named = materialize(_identified(pairs, identify), "collocation-pairs")
     tail = named.filter(F.col("id") >= HEAD)
-    return PairLevel(left, right, _bitmap(tail, tail.count())), named
+    return PairLevel(left, right, _bitmap(tail)), named
 
 
 def _phrases(pairs: DataFrame, shorter: DataFrame) -> DataFrame:

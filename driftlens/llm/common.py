@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftlens.session import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "documents", "text_or_empty", "map_batches", "windows", "word_blocks", "SPACES", "JAVA_SPACES"]
+__all__ = ["materialize", "scratch_dir", "documents", "text_or_empty", "map_batches", "windows", "word_blocks", "bitmap", "in_bitmap", "SPACES", "JAVA_SPACES"]
 
 #: White space of the word rules, as bytes and inside a Java or DuckDB character class.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -46,6 +47,25 @@ def word_blocks(raw: bytes, size: int = WINDOW_BYTES) -> Iterator[list[bytes]]:
             yield words
 
 
+def bitmap(hashes: DataFrame, n: int, most_bits: int) -> np.ndarray | None:
+    """Bits of ``n`` hashes (column h, any longs): 16 or more for each, up to 2**most_bits in all."""
+    if not n:
+        return None
+    width = min(most_bits, max(10, (16 * n).bit_length()))
+    at = F.col("h").bitwiseAND((1 << width) - 1)
+    words = hashes.select(F.shiftright(at, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (width - 5), "<u4")
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (signed longs) may be among those of the bitmap; never false for one that is."""
+    at = hashes & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def map_batches(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]]
 ) -> DataFrame:

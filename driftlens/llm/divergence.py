@@ -5,9 +5,10 @@
 2. The HOT most frequent of them form one transducer that every task is handed. Texts are
    streamed through it, all words of a run of texts byte by byte at once, and the ordinals
    that come out are counted for each language and source.
-3. Words that it does not accept are no terms, unless more than HOT terms are kept. Then
-   their counts are dealt to shards by hash; a shard builds the transducer of its own share
-   of the remaining terms as it reads them in order, and counts the words that it accepts.
+3. Words that it does not accept are no terms, unless more than HOT terms are kept. A bitmap
+   of at most 2**FILTER_BITS bits drops most of those that no other term equals; the counts of
+   the rest are dealt to shards by hash. A shard builds the transducer of its own SHARD_TERMS
+   or so terms as it reads them in order, and counts the words that it accepts.
 4. Blocks of consecutive ordinals are compared for all sources of a language at once, in
    whole numbers: p < 2**31, so no term of a sum exceeds 64 bits. Only sums per pair, and
    the first terms of each source and block, leave a block.
@@ -27,15 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftlens.llm.common import materialize, text_or_empty, windows
+from driftlens.llm.common import bitmap, in_bitmap, materialize, text_or_empty, windows
 from driftlens.llm.transducer import EMPTY, Transducer
 
 LEAST_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
 #: Terms of the transducer that every task is handed, their longest, and the terms of a shard.
-HOT, HOT_BYTES, SHARD_TERMS = 1 << 17, 64, 1 << 17
+HOT, HOT_BYTES, SHARD_TERMS = 1 << 15, 64, 1 << 12
+#: Bits of the table that tells words which may be terms beyond those from all others, at most.
+FILTER_BITS = 26
 #: Distinct terms and words that one task counts before it hands its counts on.
 TABLE = 200_000
 #: Bytes of text that step through the transducer at once.
@@ -43,6 +47,8 @@ STEP_BYTES = 1 << 21
 #: Counts of ordinals that a task holds before it adds equal ones up, and hands on if many are left.
 MERGE_CODES = 1 << 21
 BLOCK_BITS = 10
+#: The seed of Spark's own xxhash64.
+HASH_SEED = 42
 
 #: A-Z become a-z, other bytes below 0x80 blanks; a term is what lies between blanks.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -101,13 +107,17 @@ def vocabulary(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 class Hot:
     """The transducer of the most frequent terms, with each language's way into it."""
 
-    def __init__(self, rows: list[tuple[bytes, bytes, int]], more: bool):
+    def __init__(self, rows: list[tuple[bytes, bytes, int]], more: np.ndarray | None):
         rows = sorted(rows, key=lambda r: r[0] + b"\0" + r[1])
         self.transducer = Transducer(lang + b"\0" + term for lang, term, _ in rows)
         self.ords = np.array([r[2] for r in rows], np.int64)
-        #: Whether kept terms exist beyond these.
+        #: Bitmap of the kept terms beyond these, if there are any.
         self.more = more
 
+    def may_be_terms(self, lang: bytes, words: list[bytes]) -> np.ndarray:
+        hashes = (xxhash.xxh64_intdigest(lang + b"\0" + word, HASH_SEED) for word in words)
+        return in_bitmap(self.more, np.fromiter(hashes, np.uint64, len(words)).view(np.int64))
+
     def way_in(self, lang: bytes) -> tuple[int, int]:
         return self.transducer.after(lang + b"\0")
 
@@ -155,9 +165,16 @@ class Run:
         self.held += len(codes)
         if self.held > MERGE_CODES:
             self.merge()
-        if self.hot.more:
-            for i in np.flatnonzero(~accepted).tolist():
-                self.rest.setdefault(int(group[i]), Counter())[joined[starts[i] : stops[i]]] += 1
+        if self.hot.more is not None:
+            other = np.flatnonzero(~accepted)
+            other = other[np.argsort(group[other], kind="stable")]
+            words = [joined[a:b] for a, b in zip(starts[other].tolist(), stops[other].tolist())]
+            bounds = np.searchsorted(group[other], np.arange(len(self.numbers) + 1))
+            for number in range(len(self.numbers)):
+                if bounds[number + 1] > bounds[number]:
+                    self.rest.setdefault(number, Counter()).update(words[bounds[number] : bounds[number + 1]])
+            if sum(map(len, self.rest.values())) > TABLE:
+                self.prune()
         self.parts, self.part_groups, self.bytes_held = [], [], 0
 
     def merge(self) -> None:
@@ -166,12 +183,21 @@ class Run:
         np.add.at(counts, inverse, np.concatenate(self.counts))
         self.codes, self.counts, self.held = [codes], [counts], len(codes)
 
+    def prune(self) -> None:
+        """Forgets words that cannot be terms."""
+        for (lang, _), number in self.numbers.items():
+            if words := list(self.rest.get(number, ())):
+                kept = self.hot.may_be_terms(lang, words)
+                table = self.rest[number]
+                self.rest[number] = Counter({w: table[w] for w, keep in zip(words, kept) if keep})
+
     def is_full(self) -> bool:
-        return self.held > MERGE_CODES // 2 and len(self.codes) == 1 or sum(map(len, self.rest.values())) > TABLE
+        return self.held > MERGE_CODES // 2 and len(self.codes) == 1 or sum(map(len, self.rest.values())) > TABLE // 2
 
     def take(self) -> Iterator[tuple[tuple[bytes, bytes], np.ndarray, np.ndarray, Counter]]:
         """((lang, source), ordinals, counts, other words) of each group; starts anew."""
         if self.codes:
+            self.prune()
             self.merge()
             bounds = np.searchsorted(self.codes[0], np.arange(len(self.numbers) + 1) << 32)
             for number, key in enumerate(self.numbers):
@@ -269,16 +295,17 @@ def recount(docs: DataFrame, terms: DataFrame, hot: int = HOT, shard_terms: int
     short = terms.filter(F.length("term") <= HOT_BYTES)
     handed = short.orderBy(F.desc("docs"), "ord").limit(hot).select("lang", "term", "ord").toArrow()
     rows = list(zip(*(handed.column(c).to_pylist() for c in ("lang", "term", "ord"))))
-    beyond = terms.count() - len(rows)
-    # At most HOT terms of HOT_BYTES bytes: the table's slots are bounded by their bytes.
-    shared = spark.sparkContext.broadcast(Hot(rows, beyond > 0))
+    taken = spark.createDataFrame(handed.select(["ord"]))
+    rest = materialize(terms.join(taken, "ord", "left_anti"), "divergence-further-terms")
+    beyond = rest.count()
+    hashes = rest.select(F.xxhash64(F.concat("lang", F.lit(b"\0"), "term")).alias("h"))
+    # At most HOT terms of HOT_BYTES bytes, and a bitmap: the table's slots are bounded by the terms' bytes.
+    shared = spark.sparkContext.broadcast(Hot(rows, bitmap(hashes, beyond, FILTER_BITS)))
     streamed = _streamed(docs, shared).groupBy("lang", "source", "ord", "word").agg(F.sum("n").alias("n"))
     streamed = materialize(streamed, "divergence-streamed")
     counts = streamed.filter("ord is not null").select("lang", "source", "ord", "n")
-    if beyond <= 0:
+    if not beyond:
         return counts
-    taken = spark.createDataFrame(handed.select(["ord"]))
-    rest = terms.join(taken, "ord", "left_anti")
     more = _in_shards(streamed.filter("word is not null"), rest, -(-beyond // shard_terms))
     return materialize(counts.unionByName(more), "divergence-counts")
 

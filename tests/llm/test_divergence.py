@@ -94,7 +94,7 @@ def test_probabilities_are_exact_for_large_counts():
 
 def test_task_counts_are_merged(monkeypatch):
     monkeypatch.setattr(dv, "MERGE_CODES", 3)
-    run = dv.Run(dv.Hot([(b"en", b"a", 10), (b"en", b"b", 20), (b"de", b"b", 5)], True))
+    run = dv.Run(dv.Hot([(b"en", b"a", 10), (b"en", b"b", 20), (b"de", b"b", 5)], np.full(16, 255, np.uint8)))
     seen = Counter()
     for lang, source, text in [(b"en", b"s", b"a b a c"), (b"de", b"s", b"b a"), (b"en", b"t", b"b"), (b"en", b"s", b"A B")]:
         run.add(lang, source, text)
@@ -108,6 +108,17 @@ def test_task_counts_are_merged(monkeypatch):
     assert seen == {(s, 10): 3, (s, 20): 2, (s, b"c"): 1, (d, 5): 1, (d, b"a"): 1, (t, 20): 1}
 
 
+def test_pruned_words_are_no_terms(spark):
+    """The bitmap keeps every further term, hashed by Spark there and by the task here."""
+    terms = [(b"en", f"w{i}".encode()) for i in range(500)] + [(b"de", "größe".encode())]
+    rows = spark.createDataFrame(terms, "lang binary, term binary")
+    bits = dv.bitmap(rows.select(dv.F.xxhash64(dv.F.concat("lang", dv.F.lit(b"\0"), "term")).alias("h")), len(terms), 26)
+    hot = dv.Hot([(b"en", b"a", 1)], bits)
+    for lang in (b"en", b"de"):
+        assert hot.may_be_terms(lang, [t for l, t in terms if l == lang]).all()
+    assert hot.may_be_terms(b"fr", [b"x%d" % i for i in range(2000)]).mean() < 0.2
+
+
 def test_defined_cases(odd, none):
     check(ODD, dv.audit(odd, 2), 2)
     check(ODD, dv.audit(odd, 10**6), 10**6)
