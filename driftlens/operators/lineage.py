@@ -3,12 +3,15 @@
 One distributed join per hop serves every root. Each hop is written to the shared
 folder before the next one starts, so plans stay short and a lost executor costs one
 hop. A hop's rows are counted while it is written, which ends the loop; its bytes are
-known to Catalyst, which picks the join.
+known to Catalyst, which picks the join. No hop reads all earlier ones (see ``Walk``).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from driftlens.session import scratch_dir
 
@@ -49,6 +52,83 @@ def one_hop(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
     return _neighbours(edges, frontier, direction).distinct()
 
 
+class Walk:
+    """Breadth-first layers (root, urn, hop) from ``roots``, one stored job per hop.
+
+    A layer holds whatever the hop before leads to, and is stored in hash buckets of (root,
+    urn). What earlier hops had reached is dropped when the layer is expanded: only the
+    buckets that the layer itself has are read of the earlier ones. Layers are merged in
+    levels of FAN_IN, so hop ``k`` opens its layer and O(log k) runs of files.
+    """
+
+    FAN_IN = 8
+
+    def __init__(self, edges: DataFrame, roots: DataFrame, direction: str, label: str = "reach"):
+        self.edges, self.direction, self.spark = edges, direction, edges.sparkSession
+        self.width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.base = scratch_dir(self.spark, label)
+        self.hop, self.layers, self.runs = 0, [], []
+        start = roots.select(F.col("urn").alias("root"), "urn").distinct().withColumn("hop", F.lit(0))
+        self.schema = StructType([*start.schema.fields, StructField("bucket", IntegerType())])
+        self.rows = self._store(start, "hop-0")
+
+    def _store(self, layer: DataFrame, name: str) -> int:
+        dealt = layer.withColumn("bucket", F.pmod(F.xxhash64("root", "urn"), F.lit(self.width)).cast("int"))
+        dealt = dealt.repartition(self.width, "bucket").dropDuplicates(["bucket", "root", "urn"])
+        path, seen = f"{self.base}/{name}", Observation()
+        dealt.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy("bucket").parquet(path)
+        self.layers.append(path)
+        return seen.get["rows"]
+
+    def _read(self, paths: list[str], buckets: set[int] | None = None) -> DataFrame:
+        parts = [self.spark.read.schema(self.schema).parquet(p) for p in paths]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        if buckets is not None:
+            out = out.filter(F.col("bucket").isin(sorted(buckets)))
+        return out
+
+    def layer(self, hop: int) -> DataFrame:
+        """What hop ``hop`` led to; some of it may have been reached before."""
+        return self._read([self.layers[hop]]).drop("bucket")
+
+    def _buckets(self, path: str) -> set[int]:
+        return {int(found) for f in self._read([path]).inputFiles() for found in re.findall(r"/bucket=(\d+)/", f)}
+
+    def frontier(self) -> DataFrame:
+        """The last layer without what earlier hops had reached."""
+        last = self.layers[-1]
+        fresh = self._read([last]).select("root", "urn", "hop")
+        if self.runs:
+            seen = self._read([path for _, path in self.runs], self._buckets(last)).select("root", "urn")
+            fresh = fresh.join(seen, ["root", "urn"], "left_anti")
+        return fresh
+
+    def step(self) -> int:
+        """Takes the next hop; the rows that it led to."""
+        frontier = self.frontier()
+        self.hop += 1
+        reached = _neighbours(self.edges, frontier, self.direction).withColumn("hop", F.lit(self.hop))
+        done = self.layers[-1]
+        self.rows = self._store(reached, f"hop-{self.hop}")
+        self._merge(done)
+        return self.rows
+
+    def _merge(self, path: str) -> None:
+        self.runs.append((0, path))
+        while len(self.runs) >= self.FAN_IN and len({level for level, _ in self.runs[-self.FAN_IN :]}) == 1:
+            level, paths = self.runs[-1][0] + 1, [p for _, p in self.runs[-self.FAN_IN :]]
+            self.runs[-self.FAN_IN :] = [(level, f"{self.base}/run-{self.hop}-{level}")]
+            self._read(paths).repartition(self.width, "bucket").write.partitionBy("bucket").parquet(self.runs[-1][1])
+
+    def reached(self) -> DataFrame:
+        """(root, urn, hop) of everything that a hop led to, with the least hop."""
+        if self.hop == 0:
+            return self._read(self.layers).drop("bucket").limit(0)
+        return self._read(self.layers[1:]).groupBy("root", "urn").agg(F.min("hop").alias("hop"))
+
+
 def reach(
     edges: DataFrame, roots: DataFrame, direction: str = "DOWNSTREAM", max_hops: int | None = None
 ) -> DataFrame:
@@ -58,27 +138,10 @@ def reach(
     ``max_hops`` the loop runs until a hop adds nothing.
     """
     _ends(direction)
-    spark = edges.sparkSession
-    base = scratch_dir(spark, "reach")
-    frontier = roots.select(F.col("urn").alias("root"), "urn").distinct()
-    frontier, stats = _store(frontier, f"{base}/roots")
-    rows, hop, layers = stats["rows"], 0, []
-    schema = None
-    while rows and (max_hops is None or hop < max_hops):
-        hop += 1
-        layer = _neighbours(edges, frontier, direction).withColumn("hop", F.lit(hop))
-        schema = layer.schema
-        if layers:
-            layer = layer.unionByName(spark.read.schema(schema).parquet(*layers))
-        # One shuffle both removes duplicates and drops what an earlier hop had reached.
-        layer = layer.groupBy("root", "urn").agg(F.min("hop").alias("hop")).filter(F.col("hop") == hop)
-        path = f"{base}/hop-{hop}"
-        frontier, stats = _store(layer, path)
-        rows = stats["rows"]
-        layers.append(path)
-    if not layers:
-        return frontier.withColumn("hop", F.lit(0)).limit(0)
-    return spark.read.schema(schema).parquet(*layers)
+    walk = Walk(edges, roots, direction)
+    while walk.rows and (max_hops is None or walk.hop < max_hops):
+        walk.step()
+    return walk.reached()
 
 
 def traverse(
@@ -148,30 +211,46 @@ def blast_radius(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
     """One row (hops, path) of a shortest path, or no row; a node reaches itself in no hop.
 
-    Among equally short paths the least one by node order is kept at every node.
+    Among equally short paths the least one by node order wins, the first node first.
+
+    The search walks from both ends, always on from the smaller layer, until two layers
+    meet. The nodes before the meeting that lead to it are found by walking back. Then the
+    path is read off node by node; only it, never a frontier, comes to the driver.
     """
     spark = edges.sparkSession
-    base = scratch_dir(spark, "path")
-    pairs = edges.select("source", F.col("target").alias("_next"))
-    first = roots_of(spark, edges, start).select("urn", F.array("urn").alias("path"))
-    frontier, stats = _store(first, f"{base}/hop-0")
-    layers, hop, hits = [f"{base}/hop-0"], 0, int(start == goal)
-    while stats["rows"] and not hits:
-        hop += 1
-        visited = spark.read.schema(first.schema).parquet(*layers).select("urn")
-        step = (
-            pairs.join(frontier, F.col("source") == F.col("urn"))
-            .select(F.col("_next").alias("urn"), F.array_append("path", F.col("_next")).alias("path"))
-            .groupBy("urn").agg(F.min("path").alias("path"))
-            .join(visited, "urn", "left_anti")
-        )
-        path = f"{base}/hop-{hop}"
-        frontier, stats = _store(step, path, hits=F.count_if(F.col("urn") == F.lit(goal)))
-        hits = stats["hits"]
-        layers.append(path)
-    return frontier.filter(F.col("urn") == F.lit(goal)).select(
-        (F.size("path") - 1).alias("hops"), "path"
-    )
+    ahead = Walk(edges, roots_of(spark, edges, start), "DOWNSTREAM", "path-ahead")
+    back = Walk(edges, roots_of(spark, edges, goal), "UPSTREAM", "path-back")
+    base = scratch_dir(spark, "path-useful")
+
+    def meeting() -> DataFrame:
+        return ahead.layer(ahead.hop).select("urn").join(back.layer(back.hop).select("urn"), "urn", "left_semi")
+
+    path = []
+    while ahead.rows and back.rows:
+        useful, met = _store(meeting(), f"{base}/{ahead.hop}-{back.hop}")
+        if met["rows"]:
+            path = _least_path(edges, start, ahead, back, useful, base)
+            break
+        (ahead if ahead.rows <= back.rows else back).step()
+    kind = edges.schema["source"].dataType.simpleString()
+    nodes = F.array(*[F.lit(n) for n in path]).cast(f"array<{kind}>")
+    return spark.range(int(bool(path))).select(F.lit(len(path) - 1).alias("hops"), nodes.alias("path"))
+
+
+def _least_path(edges: DataFrame, start, ahead: Walk, back: Walk, useful: DataFrame, base: str) -> list:
+    pairs = edges.select("source", "target")
+    layers = [useful]
+    for hop in range(ahead.hop - 1, 0, -1):
+        leads = pairs.join(layers[0].withColumnRenamed("urn", "target"), "target", "left_semi")
+        own = ahead.layer(hop).select("urn").join(leads.select(F.col("source").alias("urn")), "urn", "left_semi")
+        layers.insert(0, _store(own, f"{base}/back-{hop}")[0])
+    layers = layers if ahead.hop else []
+    layers += [back.layer(hop).select("urn") for hop in range(back.hop - 1, -1, -1)]
+    path = [start]
+    for layer in layers:
+        onward = pairs.filter(F.col("source") == F.lit(path[-1])).select(F.col("target").alias("urn"))
+        path.append(onward.join(layer, "urn", "left_semi").agg(F.min("urn").alias("urn")).first()["urn"])
+    return path
 
 
 def merge_first_seen(sightings: DataFrame, keys: list[str], arrival: str) -> DataFrame:

@@ -98,3 +98,47 @@ def test_ties_do_not_depend_on_order(spark):
     assert upsert_latest(a, b, ["k"], "ts").first()["v"] == "a" and upsert_latest(b, a, ["k"], "ts").first()["v"] == "z"
     seen = spark.createDataFrame([("k", 1, "z"), ("k", 1, "a")], schema)
     assert {L.merge_first_seen(seen.orderBy(F.col("v").asc() if up else F.col("v").desc()).coalesce(1), ["k"], "ts").first()["v"] for up in (0, 1)} == {"a"}
+
+
+def test_long_chain_reads_few_runs(spark):
+    """A chain of 60 hops: every hop opens few runs, and of these only the buckets it needs."""
+    chain = spark.range(60).selectExpr("id AS source", "id + 1 AS target").unionByName(spark.sql("SELECT 50L AS source, 10L AS target"))
+    walk = L.Walk(chain, L.roots_of(spark, chain, 0), "DOWNSTREAM")
+    most_runs = most_buckets = 0
+    while walk.rows:
+        most_runs = max(most_runs, len(walk.runs))
+        most_buckets = max(most_buckets, len(walk._buckets(walk.layers[-1])))
+        walk.step()
+    assert walk.hop in (61, 62) and most_runs <= 2 * L.Walk.FAN_IN and most_buckets <= 2
+    assert {(r["urn"], r["hop"]) for r in walk.reached().collect()} == {(i, i) for i in range(1, 61)}
+
+
+def test_every_root_is_walked_in_one_go(spark):
+    edges = [(i, (i * 7 + k) % 40) for i in range(40) for k in (1, 5)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    roots = [0, 3, 17]
+    want = set()
+    for root in roots:
+        seen, frontier, hop = {}, {root}, 0
+        while frontier:
+            hop += 1
+            frontier = {b for a, b in edges if a in frontier} - set(seen)
+            seen.update({n: hop for n in frontier})
+        want |= {(root, n, h) for n, h in seen.items()}
+    assert {tuple(r) for r in L.reach(df, L.roots_of(spark, df, *roots)).collect()} == want
+
+
+def test_shortest_path_on_a_dense_graph(spark):
+    """Against all shortest paths of a layered graph with many equally short ones."""
+    edges = [(f"{i}{a}", f"{i + 1}{b}") for i in range(5) for a in "abcd" for b in "abcd" if (a, b, i) not in {("a", "a", 1), ("a", "b", 1), ("b", "a", 3)}]
+    edges += [("s", f"0{a}") for a in "abcd"] + [(f"5{a}", "t") for a in "bcd"] + [("5a", "0a")]
+    df = spark.createDataFrame(edges, "source string, target string")
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    paths = [["s"]]
+    while not any(p[-1] == "t" for p in paths):
+        paths = [p + [n] for p in paths for n in out.get(p[-1], ())]
+    row = L.shortest_path(df, "s", "t").first()
+    assert row["path"] == min(p for p in paths if p[-1] == "t") and row["hops"] == len(row["path"]) - 1
+    assert L.shortest_path(df, "t", "s").count() == 0 and L.shortest_path(df, "zzz", "t").count() == 0
