@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftlens.llm.common import map_batches
+from driftlens.llm.common import STEP_ROWS, map_batches
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -221,16 +223,22 @@ def train(windows: list[list[str]], docs: np.ndarray, toxic: np.ndarray, epochs:
     index = np.full((len(windows), WINDOW), -1, np.int64)
     for k, words in enumerate(windows):
         index[k, : len(words)] = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-    words = list(vocabulary)
+    return train_numbered(list(vocabulary), index, docs, toxic, seed, epochs)
+
+
+def train_numbered(
+    words: list[str], index: np.ndarray, docs: np.ndarray, toxic: np.ndarray, seed: int = SEED, epochs: int = EPOCHS
+) -> dict[str, np.ndarray]:
+    """``train`` for windows whose words are numbers in ``words``, and -1 beyond a window's end."""
     index[index < 0] = len(words)
     word_keys, gram_keys = _tables(words, index, docs)
     everything = Inputs(words, word_keys, gram_keys)
     net, draw = Network.fresh(word_keys, gram_keys, seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: 0.0 for k in net.p}
-    batch = int(np.clip(len(windows) // 24, 64, 1024))
+    batch = int(np.clip(len(index) // 24, 64, 1024))
     clean = np.flatnonzero(~toxic)
-    repeats = index[draw.choice(clean, int(len(windows) * REPEATED_SHARE)), 0] if len(clean) else index[:0, 0]
+    repeats = index[draw.choice(clean, int(len(index) * REPEATED_SHARE)), 0] if len(clean) else index[:0, 0]
     real = len(index)
     index = np.concatenate([index, np.repeat(repeats[:, None], WINDOW, axis=1)])
     toxic = np.concatenate([toxic, np.zeros(len(repeats), bool)])
@@ -317,7 +325,7 @@ def _tables(words: list[str], index: np.ndarray, docs: np.ndarray) -> tuple[np.n
     return word_keys, np.sort(keys[often[held[often] >= least]])
 
 
-def training_windows(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
+def training_windows(docs: DataFrame, labels: DataFrame) -> pa.Table:
     """doc, toxic, words of at most TRAIN_WINDOWS windows of the sampled rows; ``labels`` may name held-out ids."""
     named = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("l_id"), "l_id"]
@@ -344,17 +352,22 @@ def training_windows(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
 
         return step
 
-    rows = map_batches(joined, "doc long, toxic long, words array<string>", make).toPandas()
-    rows["key"] = rows["words"].map(" ".join)
-    return rows.sort_values(["doc", "key"], kind="stable").reset_index(drop=True)
+    rows = map_batches(joined, "doc long, toxic long, words array<string>", make).toArrow()
+    order = pc.sort_indices(rows.append_column("key", pc.binary_join(rows.column("words"), " ")), [("doc", "ascending"), ("key", "ascending")])
+    return rows.take(order)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     rows = training_windows(docs, labels)
-    toxic = rows["toxic"].to_numpy() == 1
+    toxic = rows.column("toxic").to_numpy() == 1
     if not toxic.any() or toxic.all():
         return None
-    return train([list(w) for w in rows["words"]], pd.factorize(rows["doc"])[0], toxic)
+    # The driver holds each distinct word once, and numbers for the windows.
+    lists = rows.column("words").combine_chunks()
+    numbered = lists.flatten().dictionary_encode()
+    index = np.full((len(lists), WINDOW), -1, np.int64)
+    index[np.arange(WINDOW) < lists.value_lengths().to_numpy()[:, None]] = numbered.indices.to_numpy()
+    return train_numbered(numbered.dictionary.to_pylist(), index, pd.factorize(rows.column("doc").to_numpy())[0], toxic)
 
 
 class Scorer:
@@ -469,6 +482,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_on: Column | None = Non
     def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series(scorer.score([t if isinstance(t, str) else None for t in texts]))
+            # In slices, as ``score`` has them: a step holds the words of few texts.
+            slices = (texts.iloc[at : at + STEP_ROWS] for at in range(0, len(texts), STEP_ROWS))
+            found = [scorer.score([t if isinstance(t, str) else None for t in some]) for some in slices]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     return docs.filter(toxic_score(F.col("text").cast("string")) < THRESHOLD)
