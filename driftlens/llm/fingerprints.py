@@ -16,15 +16,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftlens.llm.common import SPACES, map_batches, materialize, text_or_empty
+from driftlens.llm.common import SPACES, bitmap, in_bitmap, map_batches, materialize, text_or_empty
 
 #: Two primes below 2**31: a chunk's weighted byte sum stays far inside 64 bits.
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 CHUNK_BYTES = 1 << 16
 KEY = ["f1", "f2", "n_bytes"]
+#: Bits of the table of shared fingerprints that every task is handed, at most.
+FILTER_BITS = 26
 
 
 class Hasher:
@@ -60,8 +63,11 @@ def normal_form(raw: bytes) -> bytes:
     return raw.translate(None, SPACES)
 
 
-def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_chars, f1, f2, n_bytes, text_sha256[, body]) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False, wanted=None) -> DataFrame:
+    """(doc_id, n_chars, f1, f2, n_bytes, text_sha256[, body]) of every row of ``docs``.
+
+    ``wanted``, a broadcast bitmap of fingerprints, leaves out rows whose fingerprint is not among them.
+    """
     source = docs.select(
         "doc_id", F.length(text_or_empty()).cast("long").alias("n_chars"), text_or_empty().cast("binary").alias("raw")
     )
@@ -74,6 +80,10 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
         def step(batch):
             bodies = [normal_form(x) for x in batch.column(2).to_pylist()]
             hashes = [hasher.of(x) for x in bodies]
+            if wanted is not None:
+                marks = np.array([(h[0] << 31) | h[1] for h in hashes], np.int64)
+                kept = np.flatnonzero(in_bitmap(wanted.value, marks)).tolist()
+                batch, bodies, hashes = batch.take(pa.array(kept, pa.int64())), [bodies[i] for i in kept], [hashes[i] for i in kept]
             out = {"doc_id": batch.column(0), "n_chars": batch.column(1)}
             out |= {name: [h[i] for h in hashes] for i, name in enumerate(KEY)}
             return out | {"text_sha256": [hashlib.sha256(x).hexdigest() for x in bodies], "body": bodies}
@@ -97,13 +107,18 @@ def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 def differing(docs: DataFrame, profile: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(f1, f2, n_bytes, text_sha256) whose text is not that of the row its fingerprint group keeps.
 
-    Only texts of groups with several rows travel. The kept row's chunks are stored once
-    per group; a hot group's members are a skewed join side that Spark splits.
+    Only texts of groups with several rows travel: a bitmap of the shared fingerprints, of
+    2**FILTER_BITS bits at most, drops the others in the pass that reads them. A bitmap that
+    is too full lets more texts travel and changes nothing else. The kept row's chunks are
+    stored once per group; a hot group's members are a skewed join side that Spark splits.
     """
     shared = _groups(profile, KEY).filter("group_size > 1").withColumnsRenamed({k: f"g_{k}" for k in KEY})
     # Stored, so that the texts' side is a plain exchange which can be split at a hot group.
     shared = materialize(shared, "dedup-shared")
-    texts = fingerprints(docs, chunk_bytes, with_text=True)
+    marks = shared.select(F.shiftleft("g_f1", 31).bitwiseOR(F.col("g_f2")).alias("h"))
+    bits = bitmap(marks, shared.count(), FILTER_BITS)
+    wanted = docs.sparkSession.sparkContext.broadcast(np.zeros(8, np.uint8) if bits is None else bits)
+    texts = fingerprints(docs, chunk_bytes, with_text=True, wanted=wanted)
     members = texts.join(shared, [F.col(k) == F.col(f"g_{k}") for k in KEY])
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(chunk_bytes).cast("long"))
     chunks = members.select(

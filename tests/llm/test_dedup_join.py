@@ -55,11 +55,22 @@ def test_equal_fingerprints_of_different_texts_are_told_apart(make_docs, monkeyp
     rows = [(i, f"t{i % 9}{'x' * 3}", "en", "s") for i in range(60)]
     docs = make_docs(rows)
     same = fp.fingerprints(docs).withColumn("f1", fp.F.lit(0).cast("long")).withColumn("f2", fp.F.lit(0).cast("long"))
-    monkeypatch.setattr(fp, "fingerprints", lambda d, c=0, with_text=False: same.join(
+    monkeypatch.setattr(fp, "fingerprints", lambda d, c=0, with_text=False, wanted=None: same.join(
         d.select(fp.F.col("doc_id"), fp.F.col("text").cast("binary").alias("body")), "doc_id").select(*same.columns, "body") if with_text else same)
     check_groups(rows, fp.exact_groups(docs).collect())
 
 
+def test_only_texts_of_shared_fingerprints_travel(make_docs):
+    rows = [(i, prose(i % 90, 30), "en", "s") for i in range(100)]
+    docs = make_docs(rows)
+    profile = fp.fingerprints(docs)
+    shared = profile.groupBy(*fp.KEY).count().filter("count > 1")
+    bits = fp.bitmap(shared.select(fp.F.shiftleft("f1", 31).bitwiseOR(fp.F.col("f2")).alias("h")), shared.count(), fp.FILTER_BITS)
+    kept = fp.fingerprints(docs, with_text=True, wanted=docs.sparkSession.sparkContext.broadcast(bits)).collect()
+    assert {r.doc_id for r in kept} >= set(range(10)) | set(range(90, 100)) and len(kept) < 40
+    assert all(r.body == normal(rows[r.doc_id][1]).encode() for r in kept)
+
+
 def test_dedup_defined_cases(odd, none):
     check_groups(ODD, fp.exact_groups(odd).collect())
     assert fp.exact_groups(none).count() == 0
