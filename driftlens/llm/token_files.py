@@ -45,6 +45,9 @@ FILE_BYTES = 256 << 20
 #: frequent, and starts anew after four times as many misses.
 CHUNK_ENTRIES = 900_000
 MARKS = ".,;:!?"
+#: New chunks that go to the library in one text.
+JOINED_CHUNKS = 256
+ANY_SPACE = re.compile(r"\s")
 #: Fixed values of the seekable format and of this file's own index frame.
 SKIPPABLE_SEEK = 0x184D2A5E
 SKIPPABLE_INDEX = 0x184D2A50
@@ -125,7 +128,8 @@ class LibraryEncoder:
     """The tokenizers library, asked once per distinct chunk between blanks.
 
     A chunk's ids do not depend on its neighbours unless white space surrounds a blank or a
-    special token's string occurs; such texts are handed to the library whole.
+    special token's string occurs; such texts are handed to the library whole. So new chunks
+    are asked for in texts of many: a token that begins with a blank begins a chunk.
     """
 
     def __init__(self, path: str):
@@ -137,6 +141,11 @@ class LibraryEncoder:
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special_starts = {t[0] for t in special}
+        blank = self.library.encode(" a", add_special_tokens=False).tokens[0][0]
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[n for token, n in vocabulary.items() if token.startswith(blank)]] = True
         self.after_blank: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.turned_away = 0
@@ -149,8 +158,31 @@ class LibraryEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", f.ids).tobytes() for f in found]
 
+    def _ask_after_blank(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that follow a blank each; a chunk with white space of its own is asked alone."""
+        groups, alone, found = [], [], {}
+        for at in range(0, len(chunks), JOINED_CHUNKS):
+            group = chunks[at : at + JOINED_CHUNKS]
+            if ANY_SPACE.search("".join(group)) or not all(group):
+                alone += [c for c in group if not c or ANY_SPACE.search(c)]
+                group = [c for c in group if c and not ANY_SPACE.search(c)]
+            if group:
+                groups.append(group)
+        for group, packed in zip(groups, self._ask([" " + " ".join(g) for g in groups])):
+            starts = np.flatnonzero(self.begins[np.frombuffer(packed, "<u4")])
+            if len(starts) != len(group):
+                alone += group
+                continue
+            ends = [*(4 * starts[1:]).tolist(), len(packed)]
+            found.update((c, packed[a:b]) for c, a, b in zip(group, (4 * starts).tolist(), ends))
+        found.update(zip(alone, self._ask([" " + c for c in alone])))
+        return found
+
+    def _has_special(self, text: str) -> bool:
+        return any(c in text for c in self.special_starts) and bool(self.special.search(text))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [n for n, t in enumerate(texts) if ENTANGLED.search(t) or self.special and self.special.search(t)]
+        whole = [n for n, t in enumerate(texts) if ENTANGLED.search(t) or self._has_special(t)]
         done = dict(zip(whole, self._ask([texts[n] for n in whole])))
         split = {n: t.split(" ") for n, t in enumerate(texts) if n not in done and t}
         firsts = dict(zip(split, self._ask([chunks[0] for chunks in split.values()])))
@@ -158,11 +190,11 @@ class LibraryEncoder:
         if self.turned_away > 4 * CHUNK_ENTRIES:
             known.clear()
             self.turned_away = 0
-        new = [c for c in set().union(*[c[1:] for c in split.values()]) if c not in known]
+        new = [c for c in set().union(*(islice(c, 1, None) for c in split.values())) if c not in known]
         # Marks after a word are a piece of their own, so such a chunk is put together from both.
         parts = {c: base for c in new if (base := c.rstrip(MARKS)) != c and base.isalpha()}
         asked = list({parts.get(c, c) for c in new} - known.keys())
-        fresh = dict(zip(asked, self._ask([" " + c for c in asked])))
+        fresh = self._ask_after_blank(asked)
         for c, base in parts.items():
             marks = c[len(base) :]
             if marks not in self.marks:
