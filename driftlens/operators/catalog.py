@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,6 +14,26 @@ def explode_column_maps(edges: DataFrame, maps: str = "column_map") -> DataFrame
     )
 
 
+def load_steps(source: DataFrame, edges: DataFrame) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
+    """The catalog's tables, in the order in which a release stores them (see ``sources.publish``).
+
+    ``source`` has one row per asset (urn, name, description, owners, tags, properties) and
+    ``edges`` a column map each. Lists become rows; owners, tags and properties hold only
+    what belongs to a stored asset.
+    """
+
+    def of_asset(rows: DataFrame) -> Callable[[dict[str, DataFrame]], DataFrame]:
+        return lambda stored: rows.join(stored["assets"].select("urn"), "urn", "left_semi")
+
+    return {
+        "assets": lambda stored: source.select("urn", "name", "description").dropDuplicates(["urn"]),
+        "owners": of_asset(source.select("urn", F.explode("owners").alias("owner")).distinct()),
+        "tags": of_asset(source.select("urn", F.explode("tags").alias("tag")).distinct()),
+        "properties": of_asset(source.select("urn", F.explode("properties").alias("key", "value")).distinct()),
+        "edges": lambda stored: explode_column_maps(edges),
+    }
+
+
 def introspect(tables: dict[str, DataFrame]) -> DataFrame:
     """(urn, field, type, position) of the given tables, read from their schemas."""
     spark = next(iter(tables.values())).sparkSession

@@ -93,23 +93,28 @@ def daily_profile(orders: DataFrame) -> DataFrame:
     )
 
 
-def table_profile(df: DataFrame, null_columns: list[str], values_of: str, values_name: str) -> DataFrame:
-    """Row count, null rates and the sorted distinct values of one column.
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n): every distinct value as a row, however many there are."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
-    Counting per value first leaves one small row per distinct value for the list.
+
+def table_profile(df: DataFrame, null_columns: list[str], values_of: str) -> DataFrame:
+    """Row count, null rates and the number of distinct values of one column.
+
+    Counting per value first is an aggregate that spills; no list of values is built.
     """
     per_value = df.groupBy(values_of).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in null_columns],
     )
     return per_value.agg(
-        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         *[F.try_divide(F.sum(f"null_{c}"), F.sum("n")).alias(f"{c}_null_rate") for c in null_columns],
-        sorted_values(values_of).alias(values_name),
+        F.count(values_of).alias("distinct_values"),
     )
 
 
-def range_profile(df: DataFrame, column: str, values_of: str, values_name: str) -> DataFrame:
+def range_profile(df: DataFrame, column: str, values_of: str) -> DataFrame:
     """Table profile plus the range of ``column``."""
     per_value = df.groupBy(values_of).agg(
         F.count(F.lit(1)).alias("n"),
@@ -118,9 +123,9 @@ def range_profile(df: DataFrame, column: str, values_of: str, values_name: str)
         F.max(column).alias("hi"),
     )
     return per_value.agg(
-        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.try_divide(F.sum("nulls"), F.sum("n")).alias(f"{column}_null_rate"),
-        sorted_values(values_of).alias(values_name),
+        F.count(values_of).alias("distinct_values"),
         round_to(F.min("lo"), 6).alias(f"{column}_min"),
         round_to(F.max("hi"), 6).alias(f"{column}_max"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -282,6 +282,26 @@ def build_variants(
     return out
 
 
+def layer_steps(
+    raw_orders: DataFrame,
+    raw_fx_rates: DataFrame,
+    excluded: tuple[str, ...] = EXCLUDED_STATUSES,
+    amount: Column | None = None,
+) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
+    """The layers in order, each built on the stored layers before it (see ``sources.publish``)."""
+
+    def rates(stored: dict[str, DataFrame]) -> DataFrame:
+        first, last, _ = order_bounds(stored["stg_orders"])
+        return stage_fx_rates(raw_fx_rates, first, last)
+
+    return {
+        "stg_orders": lambda stored: stage_orders(raw_orders, excluded, amount),
+        "stg_fx_rates": rates,
+        "fct_revenue": lambda stored: daily_revenue(stored["stg_orders"], stored["stg_fx_rates"]),
+        "exec_revenue_metric": lambda stored: executive_kpi(stored["fct_revenue"]),
+    }
+
+
 def _variants(amounts: Mapping[str, Column | None]) -> Column:
     values = [
         F.struct(F.lit(name).alias("variant"), (F.col("amount") if value is None else value).cast("double").alias("amount"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from driftlens.operators.profile import daily_profile, range_profile, table_profile
+from driftlens.operators.profile import daily_profile, range_profile, table_profile, value_counts
 from driftlens.plans.revenue import Warehouse
 
 # Declared columns of the raw extracts.
@@ -24,8 +24,10 @@ PROFILE_BASELINE = (
 )
 TRANSCRIPT = (
     "incident_id string, phase string, turn bigint, stop_reason string, text string,"
-    " tool_result_for string, result string"
+    " tool_result_for string, result string, tools array<struct<name: string, input_keys: array<string>>>,"
+    " usage struct<in: bigint, out: bigint>"
 )
+BAD_LINE = "_bad_line"
 EVAL_RUN = (
     "run bigint, started_at string, finished_at string, results array<struct<scenario: string, status: string,"
     " checks: map<string, boolean>, notes: array<string>, incident_id: string, wall_time_s: double, trial: int>>"
@@ -44,15 +46,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def refresh(wh: Warehouse, root: str) -> dict[str, DataFrame]:
-    """Rewrite every layer in full and return it as read back; running twice is harmless."""
-    out = {}
-    for name in ("stg_orders", "stg_fx_rates", "fct_revenue", "exec_revenue_metric"):
-        getattr(wh, name).write.mode("overwrite").parquet(f"{root}/{name}")
-        out[name] = wh.stg_orders.sparkSession.read.parquet(f"{root}/{name}")
-    return out
-
-
 def write_document(rows: DataFrame, path: str, array: bool = False) -> None:
     """One JSON document from an already bounded result (a calendar, a KPI row)."""
     body = F.to_json(F.struct(*rows.columns))
@@ -82,8 +75,8 @@ def capture_profiles(wh: Warehouse, customers: DataFrame, path: str) -> None:
     per_day = daily_profile(wh.stg_orders).withColumn("day", F.col("day").cast("string"))
     parts = {
         "stg_orders": per_day.agg(F.array_sort(F.collect_list(F.struct(*per_day.columns))).alias("per_day")),
-        "stg_customers": table_profile(customers, ["customer_id", "segment"], "segment", "segments"),
-        "stg_fx_rates": range_profile(wh.stg_fx_rates, "usd_rate", "currency", "currencies"),
+        "stg_customers": with_list(table_profile(customers, ["customer_id", "segment"], "segment"), customers, "segment", "segments"),
+        "stg_fx_rates": with_list(range_profile(wh.stg_fx_rates, "usd_rate", "currency"), wh.stg_fx_rates, "currency", "currencies"),
     }
     # Three one-row parts become one document: a union of rows, folded by column.
     schema = T.StructType.fromDDL(PROFILE_BASELINE)
@@ -101,6 +94,12 @@ def capture_profiles(wh: Warehouse, customers: DataFrame, path: str) -> None:
     )
 
 
+def with_list(profile: DataFrame, df: DataFrame, column: str, name: str) -> DataFrame:
+    """A one-row profile with the sorted values of ``column``, which the document holds as a list."""
+    listed = value_counts(df, column).filter(F.col("value").isNotNull()).agg(F.array_sort(F.collect_list("value")).alias(name))
+    return profile.join(listed).drop("distinct_values")  # both sides are one row
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROFILE_BASELINE).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
@@ -135,9 +134,38 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _transcript_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line, with its text in BAD_LINE where it is malformed, and the file that it stands in."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    parsed = lines.withColumn("_line", F.from_json("value", f"{TRANSCRIPT}, {BAD_LINE} string", options))
+    bad = F.when(F.col("_line").isNull() | F.col(f"_line.{BAD_LINE}").isNotNull(), F.col("value"))
+    return parsed.select("_line.*", "file", bad.alias("_bad")).drop(BAD_LINE).withColumnRenamed("_bad", BAD_LINE)
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; malformed lines are skipped."""
-    return spark.read.schema(TRANSCRIPT).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; malformed lines are left out (``quarantine`` keeps them)."""
+    return _transcript_lines(spark, path).filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE, "file")
+
+
+#: A malformed line with its file, why it was rejected and the incident that it still names.
+NAMED = r'"incident_id"\s*:\s*"((?:[^"\\]|\\.)*)"'
+REJECTED = "file string, reason string, incident_id string, line string"
+
+
+def quarantine(spark: SparkSession, path: str, rejects: str) -> tuple[DataFrame, DataFrame]:
+    """(good lines, rejected lines): what the transcript's schema does not hold is written to ``rejects``.
+
+    A line is rejected as a whole: fields that could be read before the fault are not used.
+    """
+    lines = _transcript_lines(spark, path)
+    bad = F.col(BAD_LINE)
+    reason = F.when(F.try_parse_json(bad).isNull(), "not JSON").otherwise("not a transcript line")
+    named = F.nullif(F.regexp_extract(bad, NAMED, 1), F.lit(""))
+    lines.filter(bad.isNotNull()).select(
+        "file", reason.alias("reason"), named.alias("incident_id"), bad.alias("line")
+    ).write.mode("error").parquet(rejects)
+    return lines.filter(bad.isNull()).drop(BAD_LINE, "file"), spark.read.schema(REJECTED).parquet(rejects)
 
 
 INCIDENT_DOC = (

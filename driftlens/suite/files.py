@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlens.functions import numeric as N
+from driftlens.operators import catalog
 from driftlens.plans import revenue as R
 from driftlens.session import scratch_dir
-from driftlens.sources import files as S
+from driftlens.sources import files as S, publish
 from driftlens.suite import inputs as fx
 from driftlens.suite.ledger import GRADED, _RUN, _STAGE, checked_runs, graded_evidence, graded_incidents
 from driftlens.suite.oracle import mart_ctes, orders_ctes, rnd, sql
@@ -54,10 +55,12 @@ def csv_build(spark, sf):
         UNION ALL SELECT 'exec_revenue_metric', count(*) FROM kpi"""),
 )
 def full_refresh(spark, sf):
+    """Every layer from the stored one before it, all switched at once; a second run replaces the first."""
     root = scratch_dir(spark, "warehouse")
-    wh = natural_build(spark, sf, store=True)
-    S.refresh(wh, root)
-    layers = S.refresh(wh, root)  # a second run replaces the first
+    steps = R.layer_steps(fx.natural_orders(spark, sf), fx.natural_feed(spark, sf), fx.EXCLUDED)
+    publish.publish(spark, root, steps)
+    publish.publish(spark, root, steps)
+    layers = publish.read(spark, root)
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "n") for name, df in layers.items()]
     out = counts[0]
     for c in counts[1:]:
@@ -65,6 +68,34 @@ def full_refresh(spark, sf):
     return out
 
 
+def _described(layer: str, source: str, columns: str) -> str:
+    names = columns.split()
+    kinds = ", ".join(f"typeof({c})" for c in names)
+    return f"""SELECT '{layer}' AS urn, unnest([{", ".join(f"'{c}'" for c in names)}]) AS field,
+        unnest([{kinds}]) AS kind, unnest(range(0, {len(names)}))::integer AS position FROM (SELECT * FROM {source} LIMIT 1)"""
+
+
+_LAYERS = " UNION ALL ".join([
+    _described("stg_orders", "stg_orders", "order_id order_ts order_day customer_id currency amount payment_processor status"),
+    _described("stg_fx_rates", "stg_fx", "rate_day currency usd_rate"),
+    _described("fct_revenue", "fct", "day order_count revenue_usd aov_usd aov_median_usd"),
+])
+
+
+@query(
+    "S9_introspected_layers",
+    sql(mart_ctes("natural"), f"""SELECT urn, field, case kind when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz'
+        else lower(kind) end AS type, position FROM ({_LAYERS})"""),
+)
+def introspected_layers(spark, sf):
+    """Schemas of the published layers, as their files have them."""
+    root = scratch_dir(spark, "warehouse")
+    steps = R.layer_steps(fx.natural_orders(spark, sf), fx.natural_feed(spark, sf), fx.EXCLUDED)
+    del steps["exec_revenue_metric"]
+    publish.publish(spark, root, steps)
+    return catalog.introspect(publish.read(spark, root))
+
+
 _DAILY = "SELECT day, revenue_usd, order_count, aov_median_usd FROM fct"
 
 
@@ -118,22 +149,60 @@ def kpi_snapshot(spark, sf):
        FROM conversations WHERE role <> 'system'""",
 )
 def transcript_scan(spark, sf):
-    """System rows become malformed lines, which the reader has to skip."""
+    """System rows become malformed lines, which the reader has to leave out."""
+    path = scratch_dir(spark, "transcripts")
+    write_transcripts(spark, sf, path)
+    return S.read_transcripts(spark, path).select("incident_id", "turn", "stop_reason", "tool_result_for", "text")
+
+
+def write_transcripts(spark, sf, path: str) -> None:
+    """Conversations as transcript lines; system rows break off, every third in a field of the wrong type."""
+    model = F.col("role") == "assistant"
     line = F.to_json(
         F.struct(
             F.col("conv_id").cast("string").alias("incident_id"), F.lit("investigation").alias("phase"), "turn",
-            F.expr("if(role = 'assistant', 'tool_use', null)").alias("stop_reason"),
-            F.expr("if(role = 'assistant', text, null)").alias("text"),
-            F.expr("if(role = 'user', 'run_sql', null)").alias("tool_result_for"),
-            F.expr("if(role = 'user', text, null)").alias("result"),
+            F.when(model, "tool_use").alias("stop_reason"),
+            F.when(model, F.col("text")).alias("text"),
+            F.when(~model, "run_sql").alias("tool_result_for"),
+            F.when(~model, F.col("text")).alias("result"),
+            F.when(model, F.array(F.struct(F.lit("run_sql").alias("name"), F.array(F.lit("query")).alias("input_keys")))).alias("tools"),
+            F.when(model, F.struct((F.length("text") + 100).alias("in"), F.length("text").alias("out"))).alias("usage"),
         )
     )
-    broken = F.concat(F.lit('{"phase": "investigation", "turn": '), F.col("turn").cast("string"))
-    path = scratch_dir(spark, "transcripts")
+    head = F.concat(F.lit('{"incident_id": "'), F.col("conv_id").cast("string"), F.lit('", "turn": '))
+    broken = F.when(F.col("conv_id") % 3 == 0, F.concat(head, F.lit('{"no": "number"}}'))).otherwise(
+        F.concat(head, F.col("turn").cast("string"))
+    )
     fx.table(spark, sf, "conversations").select(
         F.when(F.col("role") == "system", broken).otherwise(line).alias("value")
     ).write.mode("overwrite").text(path)
-    return S.read_transcripts(spark, path).select("incident_id", "turn", "stop_reason", "tool_result_for", "text")
+
+
+@query(
+    "S6_transcript_usage",
+    """SELECT cast(conv_id AS varchar) AS incident_id, count(*) FILTER (WHERE role <> 'system') AS good_lines,
+       count(*) FILTER (WHERE role = 'system' AND conv_id % 3 <> 0) AS not_json,
+       count(*) FILTER (WHERE role = 'system' AND conv_id % 3 = 0) AS not_a_line,
+       count(*) FILTER (WHERE role = 'assistant') AS tool_calls,
+       coalesce(sum(length(text) + 100) FILTER (WHERE role = 'assistant'), 0)::bigint AS tokens_in,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS tokens_out
+       FROM conversations GROUP BY 1""",
+)
+def transcript_usage(spark, sf):
+    """Good and quarantined lines, tool calls and tokens of every run."""
+    path = scratch_dir(spark, "transcripts")
+    write_transcripts(spark, sf, path)
+    good, rejected = S.quarantine(spark, path, f"{path}-rejected")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    both = good.select("incident_id", none.alias("reason"), F.coalesce(F.size("tools"), F.lit(0)).alias("calls"), "usage.in", "usage.out")
+    both = both.unionByName(rejected.select("incident_id", "reason", F.lit(0).alias("calls"), zero.alias("in"), zero.alias("out")))
+    return both.groupBy("incident_id").agg(
+        F.count_if(F.col("reason").isNull()).alias("good_lines"),
+        F.count_if(F.col("reason") == "not JSON").alias("not_json"),
+        F.count_if(F.col("reason") == "not a transcript line").alias("not_a_line"),
+        F.sum(F.greatest("calls", F.lit(0))).alias("tool_calls"),
+        F.coalesce(F.sum("in"), zero).alias("tokens_in"), F.coalesce(F.sum("out"), zero).alias("tokens_out"),
+    )
 
 
 def write_incidents(spark, sf, path: str) -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from driftlens.functions import naming
 from driftlens.operators import catalog as K, lineage as L
 from driftlens.operators.baseline import health_status
+from driftlens.session import scratch_dir
+from driftlens.sources import publish
 from driftlens.suite import inputs as fx
 from driftlens.suite.oracle import mart_ctes, sql
 from driftlens.suite.registry import query
@@ -216,6 +218,50 @@ walk(urn, hop) AS (
 nodes AS (SELECT urn, min(hop) AS hop FROM walk GROUP BY 1)"""
 
 
+_CATALOGS: dict[tuple[str, str], str] = {}
+
+
+def loaded_catalog(spark, sf) -> dict[str, DataFrame]:
+    """The five tables of the catalog, published as one release per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CATALOGS:
+        root = scratch_dir(spark, "catalog")
+        publish.publish(spark, root, K.load_steps(catalog_source(spark, sf), edges_with_maps(spark, sf)))
+        _CATALOGS[key] = root
+    return publish.read(spark, _CATALOGS[key])
+
+
+def catalog_source(spark, sf) -> DataFrame:
+    """One row per asset as its system describes it, with lists of owners and tags and a map of properties."""
+    people = owners(spark, sf).groupBy("urn").agg(F.collect_list("owner").alias("owners"))
+    described = assets(spark, sf).select(
+        "urn", "name", "description", F.array("tag", F.concat(F.lit("size-"), "p_size")).alias("tags"),
+        F.create_map(F.lit("pipeline"), naming.layer_of(F.col("name")), F.lit("size"), F.col("p_size").cast("string")).alias("properties"),
+    )
+    return described.join(people, "urn", "left")
+
+
+def _load(name: str, columns: str, text: str) -> None:
+    @query(f"L1_load_{name}", sql(ASSETS + "," + EDGES, text))
+    def run(spark, sf):
+        return loaded_catalog(spark, sf)[name].select(*columns.split())
+
+
+_load("assets", "urn name description", "SELECT urn, name, description FROM assets")
+_load("owners", "urn owner", "SELECT DISTINCT urn, owner FROM owners")
+_load("tags", "urn tag", "SELECT urn, tag FROM assets UNION SELECT urn, 'size-' || p_size FROM assets")
+_load(
+    "properties", "urn key value",
+    """SELECT urn, 'size' AS key, cast(p_size AS varchar) AS value FROM assets UNION ALL
+       SELECT urn, 'pipeline', case when last like 'raw\\_%' escape '\\' then 'source'
+         when last like 'stg\\_%' escape '\\' then 'staging' when last like 'fct\\_%' escape '\\' then 'marts'
+         when last like 'dim\\_%' escape '\\' then 'marts' when last like 'exec\\_%' escape '\\' then 'metric'
+         when last like '%metric%' or last like '%dashboard%' then 'metric' else 'marts' end
+       FROM (SELECT urn, split_part(name, '.', 2) AS last FROM assets)""",
+)
+_load("edges", "source target source_col target_col", "SELECT * FROM column_lineage")
+
+
 @query("L1_load_column_maps", sql(EDGES, "SELECT * FROM column_lineage"))
 def load_column_maps(spark, sf):
     return column_lineage(spark, sf)

@@ -358,29 +358,41 @@ def daily_profile(spark, sf):
     "A5_table_profile",
     """SELECT count(*) AS row_count, avg(case when c_custkey is null then 1.0 else 0.0 end)::double AS customer_id_null_rate,
        avg(case when c_mktsegment is null then 1.0 else 0.0 end)::double AS segment_null_rate,
-       string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments FROM customer""",
+       count(DISTINCT c_mktsegment) AS distinct_values FROM customer""",
 )
 def table_profile(spark, sf):
-    customers = R.stage_customers(fx.raw_customers(spark, sf))
-    return P.table_profile(customers, ["customer_id", "segment"], "segment", "segments").withColumn(
-        "segments", F.array_join("segments", ",")
-    )
+    return P.table_profile(R.stage_customers(fx.raw_customers(spark, sf)), ["customer_id", "segment"], "segment")
+
+
+@query("A5_distinct_values", "SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1")
+def distinct_values(spark, sf):
+    return P.value_counts(R.stage_customers(fx.raw_customers(spark, sf)), "segment")
+
+
+@query("A5_distinct_values_of_a_key", "SELECT c_name AS value, count(*) AS n FROM customer GROUP BY 1")
+def distinct_values_of_a_key(spark, sf):
+    """A column with as many values as rows."""
+    return P.value_counts(R.stage_customers(fx.raw_customers(spark, sf)), "name")
 
 
 @query(
     "A6_range_profile",
     sql(stage_ctes("natural"), f"""SELECT count(*) AS row_count,
       {rnd('avg(case when usd_rate is null then 1.0 else 0.0 end)', 6)} AS usd_rate_null_rate,
-      string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies,
+      count(DISTINCT currency) AS distinct_values,
       {rnd('min(usd_rate)', 6)} AS usd_rate_min, {rnd('max(usd_rate)', 6)} AS usd_rate_max FROM stg_fx"""),
 )
 def range_profile(spark, sf):
-    return P.range_profile(natural_rates(spark, sf), "usd_rate", "currency", "currencies").select(
-        "row_count", N.round_to(F.col("usd_rate_null_rate"), 6).alias("usd_rate_null_rate"),
-        F.array_join("currencies", ",").alias("currencies"), "usd_rate_min", "usd_rate_max",
+    return P.range_profile(natural_rates(spark, sf), "usd_rate", "currency").withColumn(
+        "usd_rate_null_rate", N.round_to(F.col("usd_rate_null_rate"), 6)
     )
 
 
+@query("A6_distinct_values", sql(stage_ctes("natural"), "SELECT currency AS value, count(*) AS n FROM stg_fx GROUP BY 1"))
+def range_values(spark, sf):
+    return P.value_counts(natural_rates(spark, sf), "currency")
+
+
 @query("A7_duplicate_count", "SELECT count(*) - count(DISTINCT l_orderkey) AS duplicates FROM lineitem")
 def duplicate_count(spark, sf):
     lines = fx.table(spark, sf, "lineitem")

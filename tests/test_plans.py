@@ -164,3 +164,19 @@ def test_numeric_helpers(spark):
 def test_run_status(spark):
     df = spark.createDataFrame([({"a": True}, False), ({"a": True, "b": False}, False), ({}, False), (None, False), ({"a": True}, True)], "c map<string,boolean>, s boolean")
     assert [r[0] for r in df.select(G.run_status(F.col("c"), F.col("s"))).collect()] == ["passed", "failed", "error", "error", "skipped"]
+
+
+def test_quarantine_keeps_every_bad_line(spark):
+    path = scratch_dir(spark, "lines")
+    lines = [
+        '{"incident_id": "a", "turn": 1, "stop_reason": "tool_use", "tools": [{"name": "t", "input_keys": ["q"]}], "usage": {"in": 7, "out": 2}}',
+        '{"incident_id": "a", "turn"', "", "no JSON at all", '{"incident_id": "b\\"c", "turn": "x"}', '[1, 2]',
+    ]
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(path)
+    good, rejected = S.quarantine(spark, path, scratch_dir(spark, "rejected"))
+    row = good.first()
+    assert good.count() == 1 and (row["usage"]["in"], row["tools"][0]["name"]) == (7, "t")
+    got = {r["line"]: (r["reason"], r["incident_id"]) for r in rejected.collect()}
+    assert got[lines[1]] == ("not JSON", "a") and got["no JSON at all"] == ("not JSON", None)
+    assert got[lines[4]] == ("not a transcript line", 'b\\"c') and all(r["file"] for r in rejected.collect())
+    assert "" not in got and S.read_transcripts(spark, path).count() == 1
