@@ -84,7 +84,7 @@ def capture_profiles(wh: Warehouse, customers: DataFrame, path: str) -> None:
     for name, df in parts.items():
         row = df.select(
             *[
-                (F.struct(*df.columns) if f.name == name else F.lit(None)).cast(f.dataType).alias(f.name)
+                (F.struct(*f.dataType.names) if f.name == name else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in schema.fields
             ]
         )
