@@ -478,13 +478,16 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_on: Column | None = Non
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(params)
 
-    @F.pandas_udf("double")
-    def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for texts in batches:
+        for batch in batches:
             # In slices, as ``score`` has them: a step holds the words of few texts.
-            slices = (texts.iloc[at : at + STEP_ROWS] for at in range(0, len(texts), STEP_ROWS))
-            found = [scorer.score([t if isinstance(t, str) else None for t in some]) for some in slices]
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                some = batch.slice(at, STEP_ROWS)
+                scores = scorer.score(some.column(at_text).cast(pa.string()).to_pylist())
+                yield some.filter(pa.array(scores < THRESHOLD))
 
-    return docs.filter(toxic_score(F.col("text").cast("string")) < THRESHOLD)
+    # The rows pass through the worker whole: a filter by a UDF would queue them beside it.
+    return docs.mapInArrow(run, docs.schema)
