@@ -10,7 +10,7 @@ from driftlens.plans import revenue as R
 from driftlens.session import scratch_dir
 from driftlens.sources import files as S, publish
 from driftlens.suite import inputs as fx
-from driftlens.suite.ledger import GRADED, _RUN, _STAGE, checked_runs, graded_evidence, graded_incidents
+from driftlens.suite.ledger import GRADED, _RUN, checked_runs, graded_evidence, graded_incidents
 from driftlens.suite.oracle import mart_ctes, orders_ctes, rnd, sql
 from driftlens.suite.registry import query
 from driftlens.suite.revenue import incident_build, natural_build
@@ -227,33 +227,48 @@ def write_evidence(spark, sf, path: str) -> None:
 
 @query(
     "S7_incident_documents",
-    sql(GRADED, """SELECT 'inc_' || i.incident_id AS id, stage, cause_urn, coalesce(n, 0) AS evidence_items FROM inc i
-        LEFT JOIN (SELECT incident_id, count(*) AS n FROM (SELECT DISTINCT incident_id, kind, source FROM ev) GROUP BY 1) e
-          ON i.incident_id = e.incident_id"""),
+    sql(GRADED, """SELECT 'inc_' || i.incident_id AS id, stage, cause_urn, coalesce(n, 0) AS evidence_items,
+        coalesce(k, 0) AS distinct_ids, first_id, last_id FROM inc i
+        LEFT JOIN (SELECT incident_id, count(*) AS n, count(DISTINCT evidence_id) AS k, min(evidence_id) AS first_id,
+                          max(evidence_id) AS last_id FROM ev GROUP BY 1) e ON i.incident_id = e.incident_id"""),
 )
 def incident_documents(spark, sf):
-    """Incident documents and their evidence rows, written as JSON lines and scanned back.
-
-    Every evidence item is written; the twin counts distinct kinds and sources.
-    """
+    """Incident documents and all their evidence rows, written as JSON lines and scanned back."""
     path = scratch_dir(spark, "incidents")
     write_incidents(spark, sf, path)
     write_evidence(spark, sf, f"{path}-evidence")
-    facts = S.read_incident_evidence(spark, f"{path}-evidence").select("incident_id", "kind", "source").distinct()
-    counted = facts.groupBy(F.col("incident_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return S.read_incidents(spark, path).join(counted, "id", "left").select(
-        "id", "stage", F.col("root_cause.asset_urn").alias("cause_urn"), F.coalesce("n", F.lit(0)).alias("evidence_items")
+    counted = S.read_incident_evidence(spark, f"{path}-evidence").groupBy(F.col("incident_id").alias("of")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("k"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+    return S.read_incidents(spark, path).join(counted, F.col("id") == F.col("of"), "left").select(
+        "id", "stage", F.col("root_cause.asset_urn").alias("cause_urn"), F.coalesce("n", F.lit(0)).alias("evidence_items"),
+        F.coalesce("k", F.lit(0)).alias("distinct_ids"), "first_id", "last_id",
     )
 
 
+@query(
+    "S7_evidence_rows",
+    sql(GRADED, """SELECT 'inc_' || incident_id AS incident_id, evidence_id AS id, kind, source, title FROM ev"""),
+)
+def evidence_rows(spark, sf):
+    """Every evidence item as the file gives it back."""
+    path = scratch_dir(spark, "evidence")
+    write_evidence(spark, sf, path)
+    return S.read_incident_evidence(spark, path).select("incident_id", "id", "kind", "source", "title")
+
+
 @query(
     "S7_incident_fetch",
-    f"SELECT 'inc_' || o_orderkey AS id, {_STAGE} AS stage FROM orders WHERE o_orderkey = 42",
+    sql(GRADED, """SELECT 'inc_' || incident_id AS id, stage, cause_detail AS report_text, cause_urn, cause_field,
+        case when cause_urn is not null then cause_summary end AS cause_summary,
+        case when cause_urn is not null then cause_detail end AS cause_detail FROM inc WHERE incident_id = 42"""),
 )
 def incident_fetch(spark, sf):
+    """One document with its own and its root cause's fields."""
     path = scratch_dir(spark, "incidents")
     write_incidents(spark, sf, path)
-    return S.incident(S.read_incidents(spark, path), "inc_42").select("id", "stage")
+    cause = [F.col(f"root_cause.{c}").alias(f"cause_{n}") for c, n in (("asset_urn", "urn"), ("field", "field"), ("summary", "summary"), ("detail", "detail"))]
+    return S.incident(S.read_incidents(spark, path), "inc_42").select("id", "stage", "report_text", *cause)
 
 
 @query("S7_incident_ids", "SELECT 'inc_' || o_orderkey AS id FROM orders")
