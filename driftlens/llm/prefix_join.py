@@ -1,10 +1,12 @@
 """Jaccard join of word n-gram sets with prefix trees.
 
-1. Every text becomes a set of 64-bit shingle hashes. All shingles of all documents are
-   counted in a table of fixed size; a token is the shingle's hash below its count's level,
-   so sorting tokens is the global order, rare first, and equal sets have one node.
-2. Two linked sets share a token among their first ``n - ceil(0.9 n) + 1`` (prefix bound).
-   Nodes that share such a token meet in the group of the token's least node. Only
+1. Every text becomes a sorted set of 64-bit shingle hashes, its tokens; equal sets are one node.
+2. Two linked sets share a token among their first ``n - ceil(0.9 n) + 1`` of any global order
+   (prefix bound). Here a fixed quarter of the hash space comes first: tokens that one set
+   alone has, then the others by their exact count. Whatever is left follows by hash. As a
+   prefix is a tenth of a set, the counts of that quarter fix nearly every prefix, and a
+   set with enough tokens of its own has no partner and goes no further.
+   Nodes that share a prefix token meet in the group of the token's least node. Only
    (token, node) pairs travel; whole sets are sent once per group, later.
 3. Sets in a group that merely share a passage are told apart by occupancy: the hash space
    has PARTS parts, and an intersection is at most the sum of the smaller occupancies. A
@@ -32,17 +34,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftlens.llm.common import map_batches, materialize
+from driftlens.llm.common import bitmap, in_bitmap, map_batches, materialize
 from driftlens.llm.components import components
 
 WORDS = 3
 #: Linked when PERCENT_OF * intersection >= PERCENT * union.
 PERCENT, PERCENT_OF = 90, 100
-SLOT_BITS = 20
-BLOCK_SLOTS = 1 << 16
-FILTER_BITS = 23
+#: One token in so many is counted exactly and comes first in the global order (a power of two).
+COUNTED = 4
+#: Largest filter of the nodes whose sets are needed, as a power of two of bits; 16 bits a node below it.
+FILTER_BITS = 26
 #: Tokens of one comparison unit (8 bytes each), and common members of the blocks of a large group.
 GROUP_TOKENS = 1 << 20
 COMMON_MEMBERS = 64
@@ -85,16 +88,20 @@ class Shingler:
         return np.unique(total)
 
 
-def tokens(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Tokens in global order: a level of about a fifth of a doubling, then the hash."""
-    level = np.floor(4 * np.log2(counts[(hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)] + 1.0)).astype(np.uint64)
-    return np.sort((level << np.uint64(56)) | (hashes >> np.uint64(8)))
-
-
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // PERCENT_OF) + 1 if n else 0
 
 
+def leading(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Tokens that a set's prefix may hold, and how many of the prefix lie beyond the counted ones (less than 0: none)."""
+    counted = (hashes & np.uint64(COUNTED - 1)) == 0
+    first = hashes[counted]
+    beyond = prefix_length(len(hashes)) - len(first)
+    if beyond > 0:
+        first = np.concatenate([first, hashes[~counted][:beyond]])
+    return first.view(np.int64), beyond
+
+
 def node_of(hashes: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
 
@@ -146,110 +153,67 @@ def _texts(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     return docs.select(*texts) if digest is None else docs.select(*texts, digest.alias("digest"))
 
 
-PROFILE = "doc_id long, n long, node long, digest binary, parts binary, block int, counts binary"
+PROFILE = "doc_id long, n long, node long, digest binary, parts binary, beyond long, first array<long>"
 
 
 def _profile(docs: DataFrame, words: int, digest: Column | None = None) -> DataFrame:
-    """One row per document, and each task's shingle counts in blocks (rows with ``block`` set)."""
-    digest = F.lit(None).cast("binary") if digest is None else digest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(words), np.zeros(1 << SLOT_BITS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("digest", pa.binary()), ("parts", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
-            sizes, nodes, parts, seen = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingler.hashes(text)
-                sizes.append(len(hashes))
-                nodes.append(node_of(hashes))
-                parts.append(occupancy(hashes) if len(hashes) else None)
-                seen.append((hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32))
-                if len(seen) == 512:
-                    counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
-                    seen = []
-            if seen:
-                counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
-            rest = [None] * len(sizes)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "n": sizes, "node": nodes, "digest": batch.column(2), "parts": parts, "block": rest, "counts": rest}, schema=schema
-            )
-        blocks = counts.reshape(-1, BLOCK_SLOTS)
-        none = [None] * len(blocks)
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": none, "n": none, "node": none, "digest": none, "parts": none, "block": list(range(len(blocks))), "counts": [b.tobytes() for b in blocks]}, schema=schema
-        )
-
-    return materialize(_texts(docs, digest).mapInArrow(run, PROFILE), "join-profile")
-
-
-def _summed(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Adds count blocks up while streaming over them; holds one block per key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(data, np.uint32).astype(np.uint64)
-                total[block] = np.minimum(total[block] + part, 0xFFFFFFFF) if block in total else part
-        if total:
-            yield pa.RecordBatch.from_pydict(
-                {"block": list(total), "counts": [v.astype(np.uint32).tobytes() for v in total.values()]},
-                schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]),
-            )
-
-    return rows.repartition(width, *keys).select("block", "counts").mapInArrow(run, "block int, counts binary")
-
-
-def shingle_counts(profile: DataFrame) -> np.ndarray:
-    """The fixed-size table of counts, of all shingles of all documents."""
-    width = int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = profile.filter("block is not null").withColumn("salt", F.spark_partition_id() % 64)
-    rows = _summed(_summed(parts, ["block", "salt"], width), ["block"], width).collect()
-    table = np.zeros((1 << SLOT_BITS) // BLOCK_SLOTS * BLOCK_SLOTS, np.uint32).reshape(-1, BLOCK_SLOTS)
-    for row in rows:
-        table[row["block"]] = np.frombuffer(row["counts"], np.uint32)
-    return table.ravel()
-
-
-def _postings(docs: DataFrame, counts, words: int) -> DataFrame:
-    """(token, node) for the prefix of every set; each distinct set once per batch."""
+    """One row per document; ``first`` has the leading tokens of every distinct set, once per slice."""
 
     def make():
-        shingler, table = Shingler(words), counts.value
+        shingler = Shingler(words)
 
         def step(batch):
-            out, nodes, done = [], [], set()
+            out = {name: [] for name in ("n", "node", "parts", "beyond", "first")}
+            done = set()
             for text in batch.column(1).to_pylist():
                 hashes = shingler.hashes(text)
                 node = node_of(hashes)
-                if node is None or node in done:
-                    continue
+                first, beyond = (None, None) if node is None else leading(hashes)
+                out["n"].append(len(hashes))
+                out["node"].append(node)
+                out["parts"].append(None if node is None else occupancy(hashes))
+                out["beyond"].append(beyond)
+                out["first"].append(None if node in done else first)
                 done.add(node)
-                first = tokens(hashes, table)[: prefix_length(len(hashes))]
-                out.append(first.view(np.int64))
-                nodes.append(np.full(len(first), node, np.int64))
-            if not out:
-                return None
-            return {"token": pa.array(np.concatenate(out)), "node": pa.array(np.concatenate(nodes))}
+            return {"doc_id": batch.column(0), "digest": batch.column(2), **out}
 
         return step
 
-    return map_batches(_texts(docs), "token long, node long", make)
+    digest = F.lit(None).cast("binary") if digest is None else digest
+    return materialize(map_batches(_texts(docs, digest), PROFILE, make), "join-profile")
 
 
-def _sets(docs: DataFrame, counts, wanted, words: int) -> DataFrame:
+def _prefixes(profile: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, node) of the prefix tokens that several sets have among their leading ones."""
+    postings = profile.filter("first is not null").select("node", F.explode("first").alias("token"))
+    seen = postings.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.min("node").alias("least"), F.max("node").alias("most"))
+    # Stored, so that the join's sides are plain exchanges and a hot token can be split.
+    shared = materialize(seen.filter("least < most").select(F.col("token").alias("of_token"), "seen"), "join-shared")
+    hits = materialize(postings.join(shared, F.col("token") == F.col("of_token")).select("node", "token", "seen"), "join-hits")
+    counted = F.col("token").bitwiseAND(COUNTED - 1) == 0
+    each = hits.join(nodes.select("node", "beyond"), "node").dropDuplicates(["node", "token"]).withColumn("counted", counted)
+    of_node = Window.partitionBy("node")
+    # Counted tokens that no other set has lead the prefix; the shared ones take the places left.
+    ranked = each.withColumn("shared", F.count(F.when(F.col("counted"), 1)).over(of_node)).withColumn(
+        "place", F.row_number().over(of_node.orderBy(~F.col("counted"), "seen", "token"))
+    )
+    within = ranked.filter(~F.col("counted") | (F.col("place") <= F.col("beyond") + F.col("shared")))
+    return materialize(within.select("token", "node"), "join-prefixes")
+
+
+def _sets(docs: DataFrame, wanted, words: int) -> DataFrame:
     """(node, tokens) of the sets that a group may need; ``wanted`` has no false negatives."""
 
     def make():
-        shingler, table, bits = Shingler(words), counts.value, wanted.value
+        shingler, bits = Shingler(words), wanted.value
 
         def step(batch):
             found = {}
             for text in batch.column(1).to_pylist():
                 hashes = shingler.hashes(text)
                 node = node_of(hashes)
-                if node is not None and node not in found and _bit(bits, node):
-                    found[node] = tokens(hashes, table).tobytes()
+                if node is not None and node not in found and in_bitmap(bits, np.array([node]))[0]:
+                    found[node] = hashes.tobytes()
             return {"node": list(found), "tokens": list(found.values())} if found else None
 
         return step
@@ -257,22 +221,6 @@ def _sets(docs: DataFrame, counts, wanted, words: int) -> DataFrame:
     return map_batches(_texts(docs), "node long, tokens binary", make)
 
 
-def _bit(bits: np.ndarray, node: int) -> bool:
-    at = (node & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the nodes' leading bits."""
-    at = F.shiftrightunsigned("node", 64 - FILTER_BITS)
-    rows = nodes.select(F.shiftright(at, 5).alias("word"), F.pow(F.lit(2.0), at % 32).cast("long").alias("bit"))
-    words = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
-    if words:
-        out[[w["word"] for w in words]] = np.array([w["bits"] for w in words], np.int64).astype(np.uint32)
-    return out.view(np.uint8)
-
-
 # ---------------------------------------------------------------- the trie of one group
 
 
@@ -473,14 +421,15 @@ def _placed(sized: DataFrame, group_tokens: int) -> DataFrame:
 def links(docs: DataFrame, profile: DataFrame, words: int = WORDS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """(node, root) of all sets that are linked with another."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(shingle_counts(profile))  # fixed size: 4 bytes for each of 2**SLOT_BITS slots
     named = profile.filter("node is not null")
-    nodes = materialize(named.groupBy("node").agg(F.max("n").alias("n"), F.first("parts").alias("parts")), "join-nodes")
-    members = _without_subsets(_examined(_groups(_postings(docs, counts, words)), nodes))
+    nodes = materialize(named.groupBy("node").agg(F.max("n").alias("n"), F.max("beyond").alias("beyond"), F.first("parts").alias("parts")), "join-nodes")
+    members = _without_subsets(_examined(_groups(_prefixes(profile, nodes)), nodes))
     placed = _placed(members, group_tokens)
-    wanted = spark.sparkContext.broadcast(_filter_bits(members))  # fixed size: 2**FILTER_BITS bits
+    needed = members.select(F.col("node").alias("h")).distinct()
+    bits = bitmap(needed, needed.count(), FILTER_BITS)
+    wanted = spark.sparkContext.broadcast(np.zeros(1, np.uint8) if bits is None else bits)  # at most 2**FILTER_BITS bits
     sets = materialize(
-        _sets(docs, counts, wanted, words).join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")),
+        _sets(docs, wanted, words).join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")),
         "join-sets",
     )
     common = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(2)), F.col("members")) < COMMON_MEMBERS)
@@ -518,12 +467,11 @@ def link_components(docs: DataFrame, words: int = WORDS, group_tokens: int = GRO
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     profile = _profile(docs, words)
     labels = materialize(links(docs, profile, words, group_tokens), "join-roots")
-    rows = profile.filter("block is null")
-    own = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    own = profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     rooted = materialize(own.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "join-least")
     named = materialize(rooted.join(least, "root").select(F.col("node").alias("of_node"), "component_id"), "join-named-nodes")
-    return rows.join(named, F.col("node") == F.col("of_node"), "left").select(
+    return profile.join(named, F.col("node") == F.col("of_node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
@@ -536,12 +484,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     profile = _profile(docs, WORDS, digest)
     labels = materialize(links(docs, profile, WORDS, GROUP_TOKENS), "join-roots")
-    rows = profile.filter("block is null and doc_id is not null")
+    rows = profile.filter("doc_id is not null")
     own = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     rooted = own.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     # Texts without words are linked with none.
     first = rooted.select("first.doc_id", "first.digest").unionByName(rows.filter("node is null").select("doc_id", "digest").distinct())
-    first = materialize(first.select(F.col("doc_id").alias("_first_id"), F.col("digest").alias("_first_digest")), "join-first")
-    same = (F.col("doc_id") == F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest"))
-    kept = docs.filter("doc_id is not null").withColumn("_digest", digest).join(first, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return kept.drop("_digest").unionByName(docs.filter("doc_id is null"))
+    first = materialize(first.select("doc_id", "digest"), "join-first")
+    # Rows travel as one struct, so that no column of theirs can clash with another.
+    boxed = docs.select("doc_id", digest.alias("digest"), F.struct("*").alias("row"))
+    kept = boxed.join(first, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return kept.unionByName(boxed.filter("doc_id is null")).select("row.*")
