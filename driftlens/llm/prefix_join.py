@@ -2,9 +2,9 @@
 
 1. Every text becomes a sorted set of 64-bit shingle hashes, its tokens; equal sets are one node.
 2. Two linked sets share a token among their first ``n - ceil(0.9 n) + 1`` of any global order
-   (prefix bound). Here a fixed quarter of the hash space comes first: tokens that one set
+   (prefix bound). Here a fixed sixth of the hash space comes first: tokens that one set
    alone has, then the others by their exact count. Whatever is left follows by hash. As a
-   prefix is a tenth of a set, the counts of that quarter fix nearly every prefix, and a
+   prefix is a tenth of a set, the counts of that sixth fix nearly every prefix, and a
    set with enough tokens of its own has no partner and goes no further.
    Nodes that share a prefix token meet in the group of the token's least node. Only
    (token, node) pairs travel; whole sets are sent once per group, later.
@@ -42,8 +42,8 @@ from driftlens.llm.components import components
 WORDS = 3
 #: Linked when PERCENT_OF * intersection >= PERCENT * union.
 PERCENT, PERCENT_OF = 90, 100
-#: One token in so many is counted exactly and comes first in the global order (a power of two).
-COUNTED = 4
+#: So many 256ths of the hash space are counted exactly and come first in the global order.
+COUNTED = 44
 #: Largest filter of the nodes whose sets are needed, as a power of two of bits; 16 bits a node below it.
 FILTER_BITS = 26
 #: Tokens of one comparison unit (8 bytes each), and common members of the blocks of a large group.
@@ -52,7 +52,7 @@ COMMON_MEMBERS = 64
 #: Parts of the hash space (2 bytes each per set), and the members up to which a group is examined by them.
 PARTS, EXAMINED_MEMBERS = 256, 4096
 #: Words whose hashes one Python worker keeps; a full table starts anew.
-WORD_TABLE = 400_000
+WORD_TABLE = 65_536
 
 
 class WordHashes(dict):
@@ -94,7 +94,7 @@ def prefix_length(n: int) -> int:
 
 def leading(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     """Tokens that a set's prefix may hold, and how many of the prefix lie beyond the counted ones (less than 0: none)."""
-    counted = (hashes & np.uint64(COUNTED - 1)) == 0
+    counted = ((hashes >> np.uint64(32)) & np.uint64(255)) < COUNTED
     first = hashes[counted]
     beyond = prefix_length(len(hashes)) - len(first)
     if beyond > 0:
@@ -190,7 +190,7 @@ def _prefixes(profile: DataFrame, nodes: DataFrame) -> DataFrame:
     # Stored, so that the join's sides are plain exchanges and a hot token can be split.
     shared = materialize(seen.filter("least < most").select(F.col("token").alias("of_token"), "seen"), "join-shared")
     hits = materialize(postings.join(shared, F.col("token") == F.col("of_token")).select("node", "token", "seen"), "join-hits")
-    counted = F.col("token").bitwiseAND(COUNTED - 1) == 0
+    counted = F.shiftright("token", 32).bitwiseAND(255) < COUNTED
     each = hits.join(nodes.select("node", "beyond"), "node").dropDuplicates(["node", "token"]).withColumn("counted", counted)
     of_node = Window.partitionBy("node")
     # Counted tokens that no other set has lead the prefix; the shared ones take the places left.
