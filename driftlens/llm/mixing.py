@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every source's documents form one stream of words, cut into blocks of a fixed length. A
-source's target becomes a quota of block draws. Draw ``i`` of a source goes to an output
-shard chosen by its hash: each quota is dealt over the shards as one multinomial draw, so a
-shard's source counts are random while the totals are the quotas. The draw is mapped to a
+source's target becomes a quota of block draws. Each quota is dealt over the output shards
+as one multinomial draw, one trial for each unit, so a shard's source counts are random while
+the totals are the quotas. A shard has as many slots of a source as it drew; its slots follow
+those of the shards before it in the source's order. A slot's number there is mapped to a
 block by the source's pseudorandom index permutation (a new one for every pass over the
 source) and joined with the blocks by index.
 
@@ -25,7 +26,9 @@ BLOCK_WORDS = 128
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 BLOCKS_PER_SHARD = 4096
+#: Trials that one row is unfolded into at a time, and shards whose slots are numbered in one task.
 DRAWS_PER_PIECE = 4096
+SHARDS_PER_RUN = 1024
 SEED = 20_11
 #: Digest of a row, of which no column is left out.
 ROW = "_row"
@@ -108,23 +111,47 @@ def permuted(draw: Column, blocks: Column, src: Column) -> Column:
     return (product % blocks.cast("decimal(19,0)")).cast("long")
 
 
-def draws(sources: DataFrame) -> DataFrame:
-    """One row per block draw: src, draw, block, shard, slot_key."""
+def shard_counts(sources: DataFrame, per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
+    """The multinomial draws: shard, src, n, and ``ahead``, the source's slots in the shards before."""
     spark = sources.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = sources.agg(F.sum("quota")).first()[0] or 0
-    shards = max(1, -(-total // BLOCKS_PER_SHARD))
-    pieces = sources.filter("quota > 0").select(
-        "src", "blocks", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(DRAWS_PER_PIECE).cast("long"))).alias("piece")
+    shards = max(1, -(-total // per_shard))
+
+    def unfold(rows: DataFrame, of: str, to: str, reach: int, step: int) -> DataFrame:
+        last = F.least(F.col("quota"), F.col(of) + reach) - 1
+        return rows.withColumn(to, F.explode(F.sequence(F.col(of), last, F.lit(step).cast("long"))))
+
+    # In three levels, so that no row unfolds into more than a bounded array.
+    wide = sources.filter("quota > 0").select(
+        "src", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(DRAWS_PER_PIECE**2).cast("long"))).alias("part")
     )
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = pieces.repartition(width, "src", "piece")
-    last = F.least(F.col("quota"), F.col("piece") + DRAWS_PER_PIECE) - 1
-    each = spread.withColumn("draw", F.explode(F.sequence("piece", last)))
-    dealt = F.xxhash64("src", "draw", F.lit(SEED + 2))
-    return each.select(
-        "src", "draw", permuted(F.col("draw"), F.col("blocks"), F.col("src")).alias("block"),
-        F.pmod(dealt, F.lit(shards)).alias("shard"), F.xxhash64("src", "draw", F.lit(SEED + 3)).alias("slot_key"),
+    pieces = unfold(wide.repartition(width, "src", "part"), "part", "piece", DRAWS_PER_PIECE**2, DRAWS_PER_PIECE)
+    trials = unfold(pieces.repartition(width, "src", "piece"), "piece", "trial", DRAWS_PER_PIECE, 1)
+    shard = F.pmod(F.xxhash64("src", "trial", F.lit(SEED + 2)), F.lit(shards))
+    counts = trials.groupBy("src", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.withColumn("run", F.floor(F.col("shard") / SHARDS_PER_RUN)), "mix-shard-counts")
+    within = Window.partitionBy("src", "run").orderBy("shard")
+    runs = counts.groupBy(F.col("src").alias("r_src"), F.col("run").alias("r_run")).agg(F.sum("n").alias("all_n"))
+    runs = runs.withColumn("before", F.sum("all_n").over(Window.partitionBy("r_src").orderBy("r_run")) - F.col("all_n"))
+    numbered = counts.withColumn("inside", F.sum("n").over(within) - F.col("n"))
+    return numbered.join(runs, (F.col("src") == F.col("r_src")) & (F.col("run") == F.col("r_run"))).select(
+        "shard", "src", "n", (F.col("before") + F.col("inside")).alias("ahead")
+    )
+
+
+def slots(sources: DataFrame, per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
+    """One row per slot of an output shard: shard, src, slot, turn, block, slot_key (its place in the shard)."""
+    width = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = shard_counts(sources, per_shard).join(sources.select(F.col("src").alias("s_src"), "blocks"), F.col("src") == F.col("s_src"))
+    each = drawn.repartition(width, "shard", "src").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draw = F.col("ahead") + F.col("slot")
+    out = each.select(
+        "shard", "src", "slot", F.floor(draw / F.col("blocks")).alias("turn"), permuted(draw, F.col("blocks"), F.col("src")).alias("block"),
+        F.xxhash64("shard", "src", "slot", F.lit(SEED + 3)).alias("slot_key"),
     )
+    # Stored, as Catalyst would take slots made from a few sources for a few rows and broadcast them.
+    return materialize(out, "mix-slots")
 
 
 def block_spans(placed: DataFrame) -> DataFrame:
@@ -138,23 +165,41 @@ def block_spans(placed: DataFrame) -> DataFrame:
     )
 
 
-def mixed_spans(placed: DataFrame, sources: DataFrame) -> DataFrame:
-    """The mixture: every drawn stretch of words, with its output shard and place there."""
-    return materialize(draws(sources), "mix-draws").join(block_spans(placed), ["src", "block"])
+def mixed_spans(placed: DataFrame, slotted: DataFrame) -> DataFrame:
+    """The mixture: every slot with the stretches of words that its block holds."""
+    return slotted.join(block_spans(placed), ["src", "block"])
 
 
-def taken_words(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``."""
+def taken_words(docs: DataFrame, per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
+    """doc_id, size, source_size, target, taken, n_shards (output shards with words of it) of every row of ``docs``."""
     placed, sources = layout(docs, ["doc_id"])
-    # Stored, as Catalyst would take draws made from a few sources for a few rows and broadcast them.
-    times = materialize(draws(sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times")), "mix-times")
-    words = F.col("times") * (F.col("word_to") - F.col("word_from"))
-    taken = block_spans(placed).join(times, ["src", "block"]).groupBy("src", "start").agg(F.sum(words).alias("words"))
-    taken = taken.withColumnsRenamed({"src": "t_src", "start": "t_start"})
+    words = F.sum(F.col("word_to") - F.col("word_from"))
+    by_shard = mixed_spans(placed, slots(sources, per_shard)).groupBy("src", "start", "shard").agg(words.alias("words"))
+    taken = by_shard.groupBy(F.col("src").alias("t_src"), F.col("start").alias("t_start")).agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("in_shards"))
     same = (F.col("src") == F.col("t_src")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0)
     return placed.join(taken, same, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), F.coalesce("in_shards", F.lit(0)).alias("n_shards")
+    )
+
+
+def mixed_blocks(docs: DataFrame, per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
+    """The output shards themselves: shard, slot_key, doc_id, source, text, one row per slot and document in its block.
+
+    Sorted by ``slot_key``, a shard's rows are its text in mixed order.
+    """
+    keyed_docs = docs.select("doc_id", "source", "text", _row_digest(docs).alias(ROW))
+    placed, sources = layout(keyed_docs, ["doc_id", ROW])
+    spans = mixed_spans(placed, slots(sources, per_shard)).groupBy("src", "start").agg(
+        F.collect_list(F.struct("shard", "slot_key", "word_from", "word_to")).alias("spans")
     )
+    drawn = placed.filter("size > 0").select(ROW, "src", "start").join(spans, ["src", "start"]).select(ROW, "spans")
+    texts = keyed_docs.dropDuplicates([ROW]).join(drawn, ROW)
+    split = texts.select("doc_id", "source", "spans", F.split(F.btrim(F.col("text"), F.lit(SPACES.decode())), JAVA_SPACES + "+").alias("words"))
+    pieces = F.transform("spans", lambda s: F.struct(
+        s["shard"].alias("shard"), s["slot_key"].alias("slot_key"),
+        F.array_join(F.slice("words", s["word_from"].cast("int") + 1, (s["word_to"] - s["word_from"]).cast("int")), " ").alias("text"),
+    ))
+    return split.select("doc_id", "source", F.inline(pieces)).select("shard", "slot_key", "doc_id", "source", "text")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -165,11 +210,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     keyed_docs = docs.withColumn(ROW, _row_digest(docs))
     placed, sources = layout(keyed_docs, ["doc_id", ROW])
-    with_turn = draws(sources).join(
-        sources.select(F.col("src").alias("s_src"), "blocks"), F.col("src") == F.col("s_src")
-    ).select("src", "block", F.floor(F.col("draw") / F.col("blocks")).alias("turn"))
-    with_turn = materialize(with_turn, "mix-draws")
-    drawn = block_spans(placed).join(with_turn, ["src", "block"]).groupBy("src", "start", "turn").agg(
+    drawn = mixed_spans(placed, slots(sources)).groupBy("src", "start", "turn").agg(
         F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"),
         F.sum(F.col("word_to") - F.col("word_from")).alias("words"),
     )

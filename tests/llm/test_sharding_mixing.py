@@ -106,6 +106,43 @@ def test_documents_without_an_id_or_with_a_shared_one_are_mixed_whole(make_docs)
         assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_shards_draw_multinomial_counts_and_slots_cover_the_quota(make_docs):
+    rows = [(i, prose(i, 100 + i % 300), "en", ["a", "b", "c"][min(i % 6, 2)]) for i in range(500)]
+    _, sources = mixing.layout(make_docs(rows), ["doc_id"])
+    quota = {r.src: (r.quota, r.blocks) for r in sources.collect()}
+    counts = mixing.shard_counts(sources, per_shard=64).collect()
+    shards = len({r.shard for r in counts})
+    assert shards == -(-sum(q for q, _ in quota.values()) // 64)
+    for src, (q, blocks) in quota.items():
+        mine = sorted((r.shard, r.n, r.ahead) for r in counts if r.src == src)
+        assert sum(n for _, n, _ in mine) == q and len({n for _, n, _ in mine}) > 1
+        assert all(ahead == sum(n for s, n, _ in mine if s < shard) for shard, _, ahead in mine)
+        # Six standard deviations of a binomial count.
+        assert all(abs(n - q / shards) <= 6 * (q / shards) ** 0.5 for _, n, _ in mine)
+    got = mixing.slots(sources, per_shard=64).collect()
+    drawn = collections.Counter((r.src, r.turn, r.block) for r in got)
+    for src, (q, blocks) in quota.items():
+        # Every pass draws a block once; all but the last are whole.
+        assert max(drawn.values()) == 1 and sum(s == src for s, _, _ in drawn) == q
+        assert all(sum((s, t) == (src, turn) for s, t, _ in drawn) == blocks for turn in range(q // blocks))
+    for r in counts:
+        assert sorted(x.slot for x in got if (x.shard, x.src) == (r.shard, r.src)) == list(range(r.n))
+
+
+def test_mixed_blocks_hold_the_taken_words(make_docs):
+    rows = [(i, prose(i, 60 + 5 * i), "en", "ab"[i % 2]) for i in range(60)] + [(3, None, "en", "a"), (4, " ", None, None)]
+    docs = make_docs(rows)
+    blocks = mixing.mixed_blocks(docs, per_shard=16).collect()
+    n, within = collections.Counter(), collections.defaultdict(set)
+    for r in blocks:
+        n[r.doc_id] += len(words_of(r.text))
+        within[r.doc_id].add(r.shard)
+        assert r.text in " ".join(words_of(rows[r.doc_id][1])) and r.source == rows[r.doc_id][3]
+    taken = [r for r in mixing.taken_words(docs, per_shard=16).collect() if r.taken]
+    assert {r.doc_id: (r.taken, r.n_shards) for r in taken} == {i: (k, len(within[i])) for i, k in n.items()}
+    assert max(r.n_shards for r in taken) > 1 and mixing.mixed_blocks(docs.limit(0)).count() == 0
+
+
 def test_index_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
