@@ -46,9 +46,9 @@ REPEATED_SHARE = 0.05
 TOXIC_WEIGHT = 0.3
 THRESHOLD = 0.7
 #: Words whose gate inputs one Python worker keeps; a full table keeps what it has.
-WORD_TABLE = 250_000
+WORD_TABLE = 65_536
 #: Characters and windows that one step of scoring holds.
-STEP_CHARS, STEP_WINDOWS = 1_500_000, 4096
+STEP_CHARS, STEP_WINDOWS = 400_000, 2048
 NOT_WORD = re.compile(r"[\W_]+")
 
 
