@@ -98,10 +98,16 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def table_profile(df: DataFrame, null_columns: list[str], values_of: str) -> DataFrame:
-    """Row count, null rates and the number of distinct values of one column.
+def _listed(values_of: str, values_name: str | None) -> list[Column]:
+    """The sorted list of the values that a table of one row per value has, if it is asked for."""
+    return [F.array_sort(F.collect_list(values_of)).alias(values_name)] if values_name else []
 
-    Counting per value first is an aggregate that spills; no list of values is built.
+
+def table_profile(df: DataFrame, null_columns: list[str], values_of: str, values_name: str | None = None) -> DataFrame:
+    """Row count, null rates and the distinct values of one column: their number and, named, their sorted list.
+
+    Counting per value first is an aggregate that spills. The list is a part of the one row
+    that the profile is; ``value_counts`` gives rows for a column with very many values.
     """
     per_value = df.groupBy(values_of).agg(
         F.count(F.lit(1)).alias("n"),
@@ -110,11 +116,12 @@ def table_profile(df: DataFrame, null_columns: list[str], values_of: str) -> Dat
     return per_value.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         *[F.try_divide(F.sum(f"null_{c}"), F.sum("n")).alias(f"{c}_null_rate") for c in null_columns],
+        *_listed(values_of, values_name),
         F.count(values_of).alias("distinct_values"),
     )
 
 
-def range_profile(df: DataFrame, column: str, values_of: str) -> DataFrame:
+def range_profile(df: DataFrame, column: str, values_of: str, values_name: str | None = None) -> DataFrame:
     """Table profile plus the range of ``column``."""
     per_value = df.groupBy(values_of).agg(
         F.count(F.lit(1)).alias("n"),
@@ -125,6 +132,7 @@ def range_profile(df: DataFrame, column: str, values_of: str) -> DataFrame:
     return per_value.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.try_divide(F.sum("nulls"), F.sum("n")).alias(f"{column}_null_rate"),
+        *_listed(values_of, values_name),
         F.count(values_of).alias("distinct_values"),
         round_to(F.min("lo"), 6).alias(f"{column}_min"),
         round_to(F.max("hi"), 6).alias(f"{column}_max"),

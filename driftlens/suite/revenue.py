@@ -354,14 +354,23 @@ def daily_profile(spark, sf):
     )
 
 
+def _joined(values: str):
+    """A list of values as text; none where there is no value."""
+    return F.when(F.size(values) > 0, F.array_join(values, ","))
+
+
 @query(
     "A5_table_profile",
     """SELECT count(*) AS row_count, avg(case when c_custkey is null then 1.0 else 0.0 end)::double AS customer_id_null_rate,
        avg(case when c_mktsegment is null then 1.0 else 0.0 end)::double AS segment_null_rate,
+       string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments,
        count(DISTINCT c_mktsegment) AS distinct_values FROM customer""",
 )
 def table_profile(spark, sf):
-    return P.table_profile(R.stage_customers(fx.raw_customers(spark, sf)), ["customer_id", "segment"], "segment")
+    customers = R.stage_customers(fx.raw_customers(spark, sf))
+    return P.table_profile(customers, ["customer_id", "segment"], "segment", "segments").withColumn(
+        "segments", _joined("segments")
+    )
 
 
 @query("A5_distinct_values", "SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1")
