@@ -122,7 +122,7 @@ def table_profile(df: DataFrame, null_columns: list[str], values_of: str, values
 
 
 def range_profile(df: DataFrame, column: str, values_of: str, values_name: str | None = None) -> DataFrame:
-    """Table profile plus the range of ``column``."""
+    """Table profile, with the list if it is named, plus the range of ``column``."""
     per_value = df.groupBy(values_of).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(column).isNull()).alias("nulls"),

@@ -388,13 +388,13 @@ def distinct_values_of_a_key(spark, sf):
     "A6_range_profile",
     sql(stage_ctes("natural"), f"""SELECT count(*) AS row_count,
       {rnd('avg(case when usd_rate is null then 1.0 else 0.0 end)', 6)} AS usd_rate_null_rate,
-      count(DISTINCT currency) AS distinct_values,
+      string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies, count(DISTINCT currency) AS distinct_values,
       {rnd('min(usd_rate)', 6)} AS usd_rate_min, {rnd('max(usd_rate)', 6)} AS usd_rate_max FROM stg_fx"""),
 )
 def range_profile(spark, sf):
-    return P.range_profile(natural_rates(spark, sf), "usd_rate", "currency").withColumn(
-        "usd_rate_null_rate", N.round_to(F.col("usd_rate_null_rate"), 6)
-    )
+    return P.range_profile(natural_rates(spark, sf), "usd_rate", "currency", "currencies").withColumns({
+        "usd_rate_null_rate": N.round_to(F.col("usd_rate_null_rate"), 6), "currencies": _joined("currencies"),
+    })
 
 
 @query("A6_distinct_values", sql(stage_ctes("natural"), "SELECT currency AS value, count(*) AS n FROM stg_fx GROUP BY 1"))
