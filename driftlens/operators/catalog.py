@@ -22,14 +22,15 @@ def load_steps(source: DataFrame, edges: DataFrame) -> dict[str, Callable[[dict[
     what belongs to a stored asset.
     """
 
-    def of_asset(rows: DataFrame) -> Callable[[dict[str, DataFrame]], DataFrame]:
-        return lambda stored: rows.join(stored["assets"].select("urn"), "urn", "left_semi")
+    def of_asset(rows: Callable[[DataFrame], DataFrame]) -> Callable[[dict[str, DataFrame]], DataFrame]:
+        # Whole assets meet the stored ones: once dealt by urn, their lists unfold and lose repeats in place.
+        return lambda stored: rows(source.join(stored["assets"].select("urn"), "urn", "left_semi")).distinct()
 
     return {
         "assets": lambda stored: source.select("urn", "name", "description").dropDuplicates(["urn"]),
-        "owners": of_asset(source.select("urn", F.explode("owners").alias("owner")).distinct()),
-        "tags": of_asset(source.select("urn", F.explode("tags").alias("tag")).distinct()),
-        "properties": of_asset(source.select("urn", F.explode("properties").alias("key", "value")).distinct()),
+        "owners": of_asset(lambda own: own.select("urn", F.explode("owners").alias("owner"))),
+        "tags": of_asset(lambda own: own.select("urn", F.explode("tags").alias("tag"))),
+        "properties": of_asset(lambda own: own.select("urn", F.explode("properties").alias("key", "value"))),
         "edges": lambda stored: explode_column_maps(edges),
     }
 

@@ -46,7 +46,7 @@ def publish(spark: SparkSession, root: str, steps: Mapping[str, Step]) -> int:
     for name, step in steps.items():
         path = f"{root}/{release}/{name}"
         built = step(dict(stored))
-        built.write.mode("error").parquet(path)
+        built.write.mode("error").option("compression", "zstd").parquet(path)
         stored[name] = spark.read.schema(built.schema).parquet(path)
     version = (before["version"] if before else 0) + 1
     row = spark.createDataFrame([(version, release, list(steps))], MANIFEST)

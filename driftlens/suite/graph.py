@@ -55,10 +55,9 @@ def edges(spark, sf) -> DataFrame:
     """The edge table of the catalog."""
 
     def derive() -> DataFrame:
-        keys = fx.table(spark, sf, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").alias("target"))
-        halves = keys.select(F.expr("target div 2").alias("source"), "target")
-        thirds = keys.select(F.expr("target div 3").alias("source"), "target")
-        return halves.unionByName(thirds).distinct()
+        # Both edges of an order end in it, so distinct keys give distinct edges: keys move, not pairs.
+        keys = fx.table(spark, sf, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").alias("target")).distinct()
+        return keys.select(F.expr("explode(array_distinct(array(target div 2, target div 3)))").alias("source"), "target")
 
     return fx.stored(spark, sf, "lineage-edges", derive)
 
@@ -109,13 +108,16 @@ health AS (SELECT urn, string_agg(e, '; ' ORDER BY e) AS health FROM entries GRO
 ASSETS = ASSETS.replace(" as string)", " as varchar)")
 
 
+_DESCRIPTION = "concat_ws(' ', p_name, coalesce(text, ''))"
+
+
 def assets(spark, sf) -> DataFrame:
     docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
     return fx.table(spark, sf, "part").join(docs, "p_partkey", "left").select(
         F.col("p_partkey").alias("id"),
         F.expr(urn_sql("p_partkey")).alias("urn"),
         F.expr(name_sql("p_partkey")).alias("name"),
-        F.expr("concat_ws(' ', p_name, coalesce(text, ''))").alias("description"),
+        F.expr(_DESCRIPTION).alias("description"),
         F.expr("case when p_size % 3 = 0 then concat('Edited: ', p_name) else '' end").alias("editable_description"),
         F.col("p_brand").alias("tag"),
         "p_size",
@@ -232,13 +234,22 @@ def loaded_catalog(spark, sf) -> dict[str, DataFrame]:
 
 
 def catalog_source(spark, sf) -> DataFrame:
-    """One row per asset as its system describes it, with lists of owners and tags and a map of properties."""
+    """One row per asset as its system describes it, with lists of owners and tags and a map of properties.
+
+    All parts are dealt by urn, which is also how the catalog drops repeats, so a text moves
+    once; and they have one row per urn, so a table that needs no text or owner leaves them out.
+    """
     people = owners(spark, sf).groupBy("urn").agg(F.collect_list("owner").alias("owners"))
-    described = assets(spark, sf).select(
-        "urn", "name", "description", F.array("tag", F.concat(F.lit("size-"), "p_size")).alias("tags"),
+    docs = fx.table(spark, sf, "documents").select(F.expr(urn_sql("doc_id")).alias("urn"), "text")
+    docs = docs.repartition("urn").dropDuplicates(["urn"])
+    parts = fx.table(spark, sf, "part").select(
+        F.expr(urn_sql("p_partkey")).alias("urn"), F.expr(name_sql("p_partkey")).alias("name"), "p_name", "p_brand", "p_size"
+    )
+    return parts.join(docs, "urn", "left").join(people, "urn", "left").select(
+        "urn", "name", F.expr(_DESCRIPTION).alias("description"), F.array("p_brand", F.concat(F.lit("size-"), "p_size")).alias("tags"),
         F.create_map(F.lit("pipeline"), naming.layer_of(F.col("name")), F.lit("size"), F.col("p_size").cast("string")).alias("properties"),
+        "owners",
     )
-    return described.join(people, "urn", "left")
 
 
 def _load(name: str, columns: str, text: str) -> None:

@@ -73,3 +73,33 @@ def test_variants_share_a_build(spark):
         assert sorted(variants[name].fct_revenue.collect()) == sorted(own.fct_revenue.collect())
         assert variants[name].order_rows == own.order_rows
         assert sorted(map(str, variants[name].order_ledger().select(own.ledger.columns).collect())) == sorted(map(str, own.ledger.collect()))
+
+
+def test_the_catalog_moves_no_text_twice(spark, sf):
+    """Texts are dealt by urn once; tables without text or owners read neither."""
+    from driftlens.operators import catalog as K
+    from driftlens.suite import graph
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = K.load_steps(graph.catalog_source(spark, sf), graph.edges_with_maps(spark, sf))
+        assets = steps["assets"]({})
+        moved = [line for line in plan(assets).splitlines() if "Exchange" in line]
+        stored = {"assets": assets.select("urn")}
+        tags = plan(steps["tags"](stored))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(moved) == 2  # documents and parts
+    assert "n_name" not in tags and "s_name" not in tags and "text#" not in tags
+
+
+def test_edges_are_distinct_pairs(spark, tmp_path):
+    """Keys that come back and keys whose half is their third give each edge once."""
+    from driftlens.suite import graph
+
+    spark.createDataFrame([(k,) for k in (0, 1, 1, 2, 6, 6, -4, None)], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    got = [tuple(r) for r in graph.edges(spark, str(tmp_path)).select("source", "target").collect()]
+    assert sorted(got) == [(0, 1), (0, 2), (1, 2), (2, 6), (3, 6)]
