@@ -8,8 +8,6 @@ known to Catalyst, which picks the join. No hop reads all earlier ones (see ``Wa
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -55,10 +53,12 @@ def one_hop(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
 class Walk:
     """Breadth-first layers (root, urn, hop) from ``roots``, one stored job per hop.
 
-    A layer holds whatever the hop before leads to, and is stored in hash buckets of (root,
-    urn). What earlier hops had reached is dropped when the layer is expanded: only the
-    buckets that the layer itself has are read of the earlier ones. Layers are merged in
-    levels of FAN_IN, so hop ``k`` opens its layer and O(log k) runs of files.
+    A layer holds whatever the hop before leads to, and is dealt by hash buckets of (root,
+    urn) and sorted by them. What earlier hops had reached is dropped when the layer is
+    expanded: of the earlier ones, row groups without a bucket of the layer are skipped.
+    Layers are plain folders of as many files as their size asks for, so a small hop is a
+    task and a file, and none is listed by a job. They are merged in levels of FAN_IN, so
+    hop ``k`` opens its layer and O(log k) runs of files.
     """
 
     FAN_IN = 8
@@ -67,25 +67,24 @@ class Walk:
         self.edges, self.direction, self.spark = edges, direction, edges.sparkSession
         self.width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.base = scratch_dir(self.spark, label)
-        self.hop, self.layers, self.runs = 0, [], []
+        self.hop, self.layers, self.runs, self.held = 0, [], [], {}
         start = roots.select(F.col("urn").alias("root"), "urn").distinct().withColumn("hop", F.lit(0))
         self.schema = StructType([*start.schema.fields, StructField("bucket", IntegerType())])
         self.rows = self._store(start, "hop-0")
 
     def _store(self, layer: DataFrame, name: str) -> int:
         dealt = layer.withColumn("bucket", F.pmod(F.xxhash64("root", "urn"), F.lit(self.width)).cast("int"))
-        dealt = dealt.repartition(self.width, "bucket").dropDuplicates(["bucket", "root", "urn"])
+        dealt = dealt.repartition("bucket").dropDuplicates(["bucket", "root", "urn"]).sortWithinPartitions("bucket")
         path, seen = f"{self.base}/{name}", Observation()
-        dealt.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy("bucket").parquet(path)
+        metrics = F.count(F.lit(1)).alias("rows"), F.collect_set("bucket").alias("buckets")  # at most ``width`` numbers
+        dealt.observe(seen, *metrics).write.parquet(path)
         self.layers.append(path)
+        self.held[path] = set(seen.get["buckets"])
         return seen.get["rows"]
 
     def _read(self, paths: list[str], buckets: set[int] | None = None) -> DataFrame:
-        parts = [self.spark.read.schema(self.schema).parquet(p) for p in paths]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        if buckets is not None:
+        out = self.spark.read.schema(self.schema).parquet(*paths)
+        if buckets is not None and len(buckets) < self.width:
             out = out.filter(F.col("bucket").isin(sorted(buckets)))
         return out
 
@@ -94,7 +93,7 @@ class Walk:
         return self._read([self.layers[hop]]).drop("bucket")
 
     def _buckets(self, path: str) -> set[int]:
-        return {int(found) for f in self._read([path]).inputFiles() for found in re.findall(r"/bucket=(\d+)/", f)}
+        return self.held[path]
 
     def frontier(self) -> DataFrame:
         """The last layer without what earlier hops had reached."""
@@ -120,7 +119,7 @@ class Walk:
         while len(self.runs) >= self.FAN_IN and len({level for level, _ in self.runs[-self.FAN_IN :]}) == 1:
             level, paths = self.runs[-1][0] + 1, [p for _, p in self.runs[-self.FAN_IN :]]
             self.runs[-self.FAN_IN :] = [(level, f"{self.base}/run-{self.hop}-{level}")]
-            self._read(paths).repartition(self.width, "bucket").write.partitionBy("bucket").parquet(self.runs[-1][1])
+            self._read(paths).repartition("bucket").sortWithinPartitions("bucket").write.parquet(self.runs[-1][1])
 
     def reached(self) -> DataFrame:
         """(root, urn, hop) of everything that a hop led to, with the least hop."""

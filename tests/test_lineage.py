@@ -142,3 +142,25 @@ def test_shortest_path_on_a_dense_graph(spark):
     row = L.shortest_path(df, "s", "t").first()
     assert row["path"] == min(p for p in paths if p[-1] == "t") and row["hops"] == len(row["path"]) - 1
     assert L.shortest_path(df, "t", "s").count() == 0 and L.shortest_path(df, "zzz", "t").count() == 0
+
+
+def test_a_small_hop_is_one_file(spark):
+    """Layers are not spread over a folder per bucket, which had to be listed by jobs of their own."""
+    import pathlib
+
+    chain = spark.range(6).selectExpr("id AS source", "id + 1 AS target")
+    walk = L.Walk(chain, L.roots_of(spark, chain, 0), "DOWNSTREAM")
+    while walk.rows:
+        walk.step()
+    files = [len(list(pathlib.Path(layer).rglob("*.parquet"))) for layer in walk.layers]
+    folders = [p for layer in walk.layers for p in pathlib.Path(layer).iterdir() if p.is_dir()]
+    assert max(files) == 1 and not folders
+    assert all(len(walk._buckets(layer)) == 1 for layer in walk.layers[:-1])
+
+
+def test_layers_are_merged_without_loss(spark):
+    """A wide graph of 20 hops: merged runs still hold what was reached, whatever the buckets."""
+    edges = [(h * 100 + i, (h + 1) * 100 + (3 * i + k) % 30) for h in range(20) for i in range(30) for k in (0, 1)] + [(1505, 3), (2007, 100)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    got = {r["urn"]: r["hop"] for r in L.reach(df, L.roots_of(spark, df, 0)).collect()}
+    assert got == brute_reach(edges, 0)
