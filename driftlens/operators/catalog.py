@@ -136,10 +136,19 @@ def enrich(nodes: DataFrame, assets: DataFrame, owners: DataFrame, health: DataF
     )
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many parts as the session shuffles into.
+
+    Names compress so well that parts merged by their stored bytes are many times larger once
+    a task sorts them; a given number of parts is not merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Fields added, removed or retyped between two snapshots."""
-    old = before.select("urn", "field", F.col("type").alias("old_type"))
-    new = after.select("urn", "field", F.col("type").alias("new_type"))
+    old = dealt(before.select("urn", "field", F.col("type").alias("old_type")), "urn", "field")
+    new = dealt(after.select("urn", "field", F.col("type").alias("new_type")), "urn", "field")
     change = (
         F.when(F.col("old_type").isNull(), "added")
         .when(F.col("new_type").isNull(), "removed")

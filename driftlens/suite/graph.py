@@ -501,7 +501,7 @@ after_fields AS (
 def schema_changes(spark, sf):
     before = asset_fields(spark, sf).select("urn", "field", "type")
     sizes = fx.table(spark, sf, "part").select(F.expr(urn_sql("p_partkey")).alias("urn"), "p_size")
-    kept = before.join(sizes, "urn").filter("NOT (field = 'currency' AND p_size % 5 = 0)").select(
+    kept = K.dealt(before, "urn").join(K.dealt(sizes, "urn"), "urn").filter("NOT (field = 'currency' AND p_size % 5 = 0)").select(
         "urn", "field", F.expr("if(p_size % 3 = 0 AND field = 'amount', 'decimal', type)").alias("type")
     )
     added = sizes.filter("p_size % 4 = 0").select("urn", F.lit("region").alias("field"), F.lit("string").alias("type"))

@@ -125,3 +125,15 @@ def test_transport_resolution(spark):
     )
     got = {r["evidence_id"]: r["transport"] for r in E.resolve_transport(items).collect()}
     assert got == {"a": "{}", "b": "x", "c": None, "d": "z"}
+
+
+def test_schema_changes_sort_unmerged_parts(spark, sf):
+    """What a task sorts is the table over the session's parts, not what compresses to one merged part."""
+    from driftlens.suite import catalogue
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["L14_schema_changes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("REPARTITION_BY_NUM") == 4 and "ENSURE_REQUIREMENTS" not in plan
