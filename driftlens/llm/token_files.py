@@ -19,24 +19,25 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from driftlens.llm.bpe import CACHED_CHARS, ENTANGLED, TOKENIZER
-from driftlens.llm.common import STEP_ROWS, materialize, scratch_dir, text_or_empty
+from driftlens.llm.bpe import CACHED_CHARS, TOKENIZER
+from driftlens.llm.common import materialize, scratch_dir, text_or_empty
 
 END_ID = 0
 #: A task starts another file once its current one has this many bytes.
@@ -44,10 +45,24 @@ FILE_BYTES = 256 << 20
 #: Chunks whose ids one Python worker keeps. A full table keeps what it has, which is what is
 #: frequent, and starts anew after four times as many misses.
 CHUNK_ENTRIES = 900_000
-MARKS = ".,;:!?"
+#: Marks at a chunk's end are asked apart from the word before them.
+MARKS = string.punctuation
+#: Longer runs of marks stay with their word.
+MOST_MARKS = 8
 #: New chunks that go to the library in one text.
 JOINED_CHUNKS = 256
+#: Texts of a library call, whose answers take many times the memory of their ids.
+ASKED_TEXTS = 16
+#: Bytes of text that are encoded in one step, unless one text is longer.
+STEP_BYTES = 4 << 20
 ANY_SPACE = re.compile(r"\s")
+#: A newline that the tokenizer takes as a piece of its own, whatever stands around it.
+NEWLINE = re.compile(r"\n(?<=\S\n)(?=\S)")
+#: What begins the chunk of a text's start or of a line's; texts that hold one are asked whole.
+START, LINE = "\ue000", "\ue001"
+#: bpe.ENTANGLED for Arrow, whose \s has ASCII only.
+_ARROW_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACED_BLANK = rf"(?:{_ARROW_SPACE}|\A) (?:{_ARROW_SPACE}|\z)"
 #: Fixed values of the seekable format and of this file's own index frame.
 SKIPPABLE_SEEK = 0x184D2A5E
 SKIPPABLE_INDEX = 0x184D2A50
@@ -125,11 +140,16 @@ class FrameReader:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once per distinct chunk between blanks.
+    """The tokenizers library, asked once per distinct chunk.
 
-    A chunk's ids do not depend on its neighbours unless white space surrounds a blank or a
-    special token's string occurs; such texts are handed to the library whole. So new chunks
-    are asked for in texts of many: a token that begins with a blank begins a chunk.
+    Texts are cut at blanks and at single newlines inside a line of text. A chunk's ids do not
+    depend on its neighbours unless white space surrounds a blank or a special token's string
+    occurs; such texts are handed to the library whole. So Arrow finds the distinct chunks of
+    many texts, new ones are asked for in texts of many (a token that begins with the separator
+    begins a chunk), and Arrow puts the ids of all chunks in order.
+
+    Chunks are known by their first character: LINE for one after a newline, START for a
+    text's first one, anything else for one after a blank.
     """
 
     def __init__(self, path: str):
@@ -142,12 +162,15 @@ class LibraryEncoder:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.special_starts = {t[0] for t in special}
-        blank = self.library.encode(" a", add_special_tokens=False).tokens[0][0]
         vocabulary = self.library.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[n for token, n in vocabulary.items() if token.startswith(blank)]] = True
-        self.after_blank: dict[str, bytes] = {}
+        self.begins = {}
+        for lead in (" ", "\n"):
+            letter = self.library.encode(lead + "a", add_special_tokens=False).tokens[0][0]
+            self.begins[lead] = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[lead][[n for token, n in vocabulary.items() if token.startswith(letter)]] = True
+        self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.ending: dict[str, bool] = {}
         self.turned_away = 0
 
     @property
@@ -155,63 +178,114 @@ class LibraryEncoder:
         return self.library.get_vocab_size() > 1 << 16
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", f.ids).tobytes() for f in found]
+        found = []
+        for at in range(0, len(texts), ASKED_TEXTS):
+            asked = self.library.encode_batch_fast(texts[at : at + ASKED_TEXTS], add_special_tokens=False)
+            found += [array("I", f.ids).tobytes() for f in asked]
+        return found
 
-    def _ask_after_blank(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that follow a blank each; a chunk with white space of its own is asked alone."""
+    def _ask_after(self, lead: str, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that follow the separator each, its own included; a word with white space is asked alone."""
         groups, alone, found = [], [], {}
-        for at in range(0, len(chunks), JOINED_CHUNKS):
-            group = chunks[at : at + JOINED_CHUNKS]
+        for at in range(0, len(words), JOINED_CHUNKS):
+            group = words[at : at + JOINED_CHUNKS]
             if ANY_SPACE.search("".join(group)) or not all(group):
-                alone += [c for c in group if not c or ANY_SPACE.search(c)]
-                group = [c for c in group if c and not ANY_SPACE.search(c)]
+                alone += [w for w in group if not w or ANY_SPACE.search(w)]
+                group = [w for w in group if w and not ANY_SPACE.search(w)]
             if group:
                 groups.append(group)
-        for group, packed in zip(groups, self._ask([" " + " ".join(g) for g in groups])):
-            starts = np.flatnonzero(self.begins[np.frombuffer(packed, "<u4")])
+        for group, packed in zip(groups, self._ask([lead + lead.join(g) for g in groups])):
+            starts = np.flatnonzero(self.begins[lead][np.frombuffer(packed, "<u4")])
             if len(starts) != len(group):
                 alone += group
                 continue
             ends = [*(4 * starts[1:]).tolist(), len(packed)]
-            found.update((c, packed[a:b]) for c, a, b in zip(group, (4 * starts).tolist(), ends))
-        found.update(zip(alone, self._ask([" " + c for c in alone])))
+            found.update((w, packed[a:b]) for w, a, b in zip(group, (4 * starts).tolist(), ends))
+        found.update(zip(alone, self._ask([lead + w for w in alone])))
+        return found
+
+    def _ask_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, each with the blank or newline before it."""
+        lines, firsts = [c for c in chunks if c[:1] == LINE], [c for c in chunks if c[:1] == START]
+        found = self._ask_after(" ", [c for c in chunks if c[:1] not in (START, LINE)])
+        # With white space of its own a first chunk could grow together with a newline.
+        alone = [c for c in firsts if len(c) == 1 or ANY_SPACE.search(c)]
+        found.update(zip(alone, self._ask([c[1:] for c in alone])))
+        firsts = [c for c in firsts if c not in found]
+        after = self._ask_after("\n", list({c[1:] for c in (*lines, *firsts)}))
+        found.update((c, after[c[1:]]) for c in lines)
+        found.update((c, after[c[1:]][4:]) for c in firsts)  # without the newline's id
         return found
 
+    def _ends(self, letter: str) -> bool:
+        """Whether marks after this character are a piece of their own."""
+        if letter not in self.ending:
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(letter + ".")
+            self.ending[letter] = len(pieces) == 2 and not letter.isspace()
+        return self.ending[letter]
+
     def _has_special(self, text: str) -> bool:
         return any(c in text for c in self.special_starts) and bool(self.special.search(text))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [n for n, t in enumerate(texts) if ENTANGLED.search(t) or self._has_special(t)]
-        done = dict(zip(whole, self._ask([texts[n] for n in whole])))
-        split = {n: t.split(" ") for n, t in enumerate(texts) if n not in done and t}
-        firsts = dict(zip(split, self._ask([chunks[0] for chunks in split.values()])))
-        known = self.after_blank
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, from the table or the library."""
+        known = self.known
         if self.turned_away > 4 * CHUNK_ENTRIES:
             known.clear()
             self.turned_away = 0
-        new = [c for c in set().union(*(islice(c, 1, None) for c in split.values())) if c not in known]
-        # Marks after a word are a piece of their own, so such a chunk is put together from both.
-        parts = {c: base for c in new if (base := c.rstrip(MARKS)) != c and base.isalpha()}
-        asked = list({parts.get(c, c) for c in new} - known.keys())
-        fresh = self._ask_after_blank(asked)
-        for c, base in parts.items():
-            marks = c[len(base) :]
-            if marks not in self.marks:
-                if len(self.marks) >= CHUNK_ENTRIES:
-                    self.marks.clear()
-                self.marks[marks] = self._ask([marks])[0]
-            fresh[c] = (known[base] if base in known else fresh[base]) + self.marks[marks]
-        keep = len(known) < CHUNK_ENTRIES and not self.turned_away
-        known.update(fresh)
-        for n, chunks in split.items():
-            done[n] = firsts[n] + b"".join(map(known.__getitem__, islice(chunks, 1, None)))
-        if not keep:
+        found = list(map(known.get, chunks))
+        fresh = self._ask_chunks([c for c, ids in zip(chunks, found) if ids is None])
+        if len(known) < CHUNK_ENTRIES and not self.turned_away:
+            known.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_CHARS)
+        else:
             self.turned_away += len(fresh)
-        for c in fresh:
-            if not keep or len(c) > CACHED_CHARS:
-                del known[c]
-        return [np.frombuffer(done.get(n, b""), "<u4") for n in range(len(texts))]
+        return [fresh[c] if ids is None else ids for c, ids in zip(chunks, found)]
+
+    def _known_marks(self, marks: list[str]) -> list[bytes]:
+        new = [m for m in marks if m not in self.marks]
+        fresh = dict(zip(new, self._ask(new)))
+        found = [fresh[m] if m in fresh else self.marks[m] for m in marks]
+        if len(self.marks) < CHUNK_ENTRIES:
+            self.marks.update(fresh)
+        return found
+
+    def _look_up(self, chunks: pa.Array) -> pa.Array:
+        """Ids of distinct chunks; marks at a chunk's end are looked up apart from the word before them."""
+        word = pc.utf8_rtrim(chunks, MARKS)
+        last = pc.utf8_slice_codeunits(word, -1).dictionary_encode()
+        n_marks = pc.subtract(pc.binary_length(chunks), pc.binary_length(word)).to_numpy().copy()
+        apart = np.array([self._ends(c) for c in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        n_marks[~apart | (n_marks > MOST_MARKS)] = 0
+        words = pc.if_else(pa.array(n_marks > 0), word, chunks).dictionary_encode()
+        values = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # Every chunk is a word's ids and then those of its marks, or none.
+        both = np.full((len(chunks), 2), len(values), np.int64)
+        both[:, 0] = words.indices.to_numpy()
+        values.append(b"")
+        for n in np.unique(n_marks[n_marks > 0]).tolist():
+            rows = np.flatnonzero(n_marks == n)
+            marks = pc.utf8_slice_codeunits(chunks.take(pa.array(rows)), -n).dictionary_encode()
+            both[rows, 1] = len(values) + marks.indices.to_numpy()
+            values += self._known_marks(marks.dictionary.to_pylist())
+        _, ends, data = pa.array(values, pa.large_binary()).take(pa.array(both.ravel())).buffers()
+        ends = np.frombuffer(ends, np.int64, both.size + 1)[::2].copy()
+        return pa.Array.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        entangled = pc.match_substring_regex(pa.array(texts, pa.string()), SPACED_BLANK).to_pylist()
+        whole = [n for n, t in enumerate(texts) if entangled[n] or START in t or LINE in t or self._has_special(t)]
+        done = dict(zip(whole, self._ask([texts[n] for n in whole])))
+        cut = [START + NEWLINE.sub(" " + LINE, t) for n, t in enumerate(texts) if n not in done]
+        split = pc.split_pattern(pa.array(cut, pa.string()), " ")
+        chunks = split.flatten().dictionary_encode()
+        ids = self._look_up(chunks.dictionary).take(chunks.indices)
+        _, ends, data = ids.buffers()
+        borders = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()] // 4 if cut else []
+        tokens = np.frombuffer(data, "<u4", borders[-1]) if cut and borders[-1] else np.empty(0, "<u4")
+        joined = (tokens[a:b] for a, b in zip(borders, borders[1:]))
+        return [np.frombuffer(done[n], "<u4") if n in done else next(joined) for n in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
@@ -219,6 +293,16 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with up to STEP_BYTES of text (column 1), or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = before = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+        yield batch.slice(at, upto - at)
+        at, before = upto, ends[upto - 1]
+
+
 def file_system(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -247,8 +331,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                step = batch.slice(at, STEP_ROWS)
+            for step in steps(batch):
                 for doc_id, ids in zip(step.column(0).to_pylist(), own.encode(step.column(1).to_pylist())):
                     if current is None:
                         name = f"tokens-{part:06d}-{seq:04d}-{attempt}.zst"

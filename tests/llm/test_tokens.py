@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -64,6 +65,36 @@ def test_a_full_table_changes_nothing(library, texts, monkeypatch):
     assert [list(x) for at in range(0, len(some), 100) for x in asking.encode(some[at : at + 100])] == want
 
 
+def test_known_words_are_not_asked_again(library, monkeypatch):
+    own, draw = tf.LibraryEncoder(public_tokenizers.path(bpe.TOKENIZER)), random.Random(3)
+    words, marks = ["quatorze", "Ströme", "the", "señor", "x1"], ["", ",", ".", "!!", "%%%", ")."]
+    own.encode([" ".join(["a", *words]), *words, *("a\n" + w for w in words), *("a" + m for m in marks)])
+    texts = ["".join(f"{draw.choice(words)}{draw.choice(marks)}{draw.choice([' ', chr(10)])}" for _ in range(40)) + "the" for _ in range(50)]
+    asked, ask = [], own._ask
+    monkeypatch.setattr(own, "_ask", lambda some: asked.extend(some) or ask(some))
+    assert [list(x) for x in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert asked == []
+
+
+def test_odd_chunks_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(tf, "ASKED_TEXTS", 3)
+    own, draw = tf.LibraryEncoder(public_tokenizers.path(bpe.TOKENIZER)), random.Random(4)
+    pieces = [*PIECES, tf.START, tf.LINE, "\n\n", " \n", "\n ", "\n", "a\nb", "\u2003", "\u2028", "it's.", "r'", "'.", "x" + "." * 20, "日本.", "٣.", "\u0378.", "ʰ!"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 20))) for _ in range(4000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for at in range(0, len(texts), 400) for x in own.encode(texts[at : at + 400])] == want
+
+
+def test_steps_hold_every_row_and_few_bytes(monkeypatch):
+    monkeypatch.setattr(tf, "STEP_BYTES", 100)
+    texts = ["a" * n for n in (0, 0, 99, 1, 1, 300, 0, 60, 40, 50, 51, 0)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    got = list(tf.steps(batch.slice(1)))
+    assert [r for s in got for r in s.column(0).to_pylist()] == list(range(1, len(texts)))
+    assert all(s.num_rows == 1 or sum(map(len, s.column(1).to_pylist())) <= 100 for s in got)
+    assert list(tf.steps(batch.slice(0, 0))) == []
+
+
 def test_bpe_defined_cases(odd, none, library):
     got = bpe.encode_documents(odd).collect()
     assert len(got) == len(ODD)
