@@ -167,6 +167,64 @@ def test_prefixes_are_the_first_tokens_of_one_order(make_docs):
         assert mine <= want and not any(map(counted, want - mine))
 
 
+def test_sets_of_common_shingles_only_go_no_further(make_docs, monkeypatch):
+    # Every shingle is in some fifty sets, so no prefix is rare; few sets are near another one.
+    draw, words = random.Random(17), [f"w{i}" for i in range(12)]
+    texts = [[draw.choice(words) for _ in range(300)] for _ in range(300)]
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join([*t[:150], "new", *t[151:]]), "en", "s") for i, t in enumerate(texts[:20])]
+    reached, groups = set(), pj._groups
+    monkeypatch.setattr(pj, "_groups", lambda postings: reached.update(r.node for r in postings.select("node").collect()) or groups(postings))
+    check_components(rows, pj.link_components(make_docs(rows)).collect())
+    near = {pj.node_of(pj.Shingler().hashes(t)) for i, t, *_ in rows if i < 20 or i >= 1000}
+    assert near <= reached and len(reached) < len(rows) / 3
+
+
+def test_linked_sets_agree_in_a_range():
+    draw, tried = np.random.default_rng(6), 0
+    for n in [*range(1, 120), 400, 3000] * 4:
+        a = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+        for less, more in ((n // 10, 0), (0, n // 9), (n // 20, n // 20), (1, 1)):
+            b = np.unique(np.concatenate([draw.permutation(a)[less:], draw.integers(0, 1 << 64, more, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 0 < both < max(len(a), len(b)) and 100 * both >= 90 * (len(a) + len(b) - both):
+                tried += 1
+                assert np.intersect1d(pj.range_hashes(a), pj.range_hashes(b)).size, (len(a), len(b), both)
+    assert tried > 800
+    # Sets that differ much have none in common, nor have those that only their equals are linked with.
+    sets = [np.unique(draw.integers(0, 1 << 64, 300, dtype=np.uint64)) for _ in range(300)]
+    found = np.concatenate([pj.range_hashes(s) for s in sets])
+    assert len(np.unique(found)) > 0.999 * len(found) and not pj.range_hashes(sets[0][:8]).size
+
+
+def test_partners_are_found_across_batches(spark):
+    rows = [(i, 5, i, None, [7, i * 1000, -1 if i % 50 == 3 else i * 1000 + 1]) for i in range(1, 400)]
+    rows += [(i, 5, 1000, 1000, None) for i in range(3)] + [(5000, 5, 1000, 1000, [8, 8, 9])]
+    outline = spark.createDataFrame([(i, n, node, h or node + 10**6, None, ranges) for i, n, node, h, ranges in rows], pj.OUTLINE)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        got = {(r.node, r.h) for r in pj._partnered(outline).collect()}
+        assert got == {(i, i + 10**6) for i in range(1, 400)}
+        got = {r.node for r in pj._partnered(outline.withColumn("ranges", pj.F.expr("slice(ranges, 2, 2)"))).collect()}
+        assert got == {i for i in range(1, 400) if i % 50 == 3}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    size = pj.HASHED_BYTES
+    long = "Q" * (size + 5000) + "z" * size + "e"
+    for text in ("", " ", "a", "A b", "a B\x0bc\x0cD\r\te\n", "é É İ\x1cx\x85y\xa0z", "ab cd " * 40_000, long, "a b c " + long + " d", "a " * 30_000 + long, "k" * 70_000 + " " + long + "\n"):
+        raw = text.encode()
+        words = raw.lower().split()
+        got = np.concatenate([np.zeros(0, np.uint64), *(pj.word_hashes(piece) for piece in pj.windows(raw, size))]).tolist()
+        alone = {w: pj.word_hashes(w).tolist() for w in set(words)}
+        assert [[h] for h in got] == [alone[w] for w in words] and len(set(got)) == len(set(words))
+        assert pj.Shingler().hashes(text).tolist() == pj.Shingler().hashes(raw).tolist()
+        assert len(pj.Shingler().hashes(text)) == len(shingles(text))
+
+
 def test_columns_of_any_name_survive(make_docs):
     docs = make_docs([(1, prose(1, 80), "en", "a"), (2, prose(1, 80), "en", "a"), (3, "x y z", "en", "a")])
     for name in ("_digest", "digest", "_first_id", "row"):
